@@ -24,3 +24,18 @@ def attach_counted(big: DataFrame, counted: DataFrame, key: str, total: int, hot
     busy = marked.where("_hw_hot").drop("_hw_hot").join(F.broadcast(hot), key)
     rest = marked.where("_hw_hot IS NULL").drop("_hw_hot").join(cold, key)
     return busy.unionByName(rest)
+
+
+def join_counted(big: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``big`` with ``counted``, which has one row per key, by hash.
+
+    Nothing is aggregated after the shuffle on the key, so adaptive execution may split the
+    partition of a hot key among tasks (skew join); ``counted``'s one row is copied to each.
+    That needs spark.sql.adaptive.skewJoin.enabled, on by default. Unlike attach_counted it
+    evaluates ``big`` once, which matters where its columns are costly.
+    """
+    spark = big.sparkSession
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true" or spark.conf.get("spark.sql.adaptive.skewJoin.enabled") != "true":
+        sizes = big.groupBy(key).agg(F.count(F.lit(1)).alias("_hw_n"))
+        return attach_counted(big, counted.join(sizes, key), key, big.count(), count="_hw_n").drop("_hw_n")
+    return big.join(counted, key)
