@@ -8,7 +8,7 @@ to rows in classes with several members at the level above:
 3. the parsed content of both fields.
 
 A class is a hash; counts per class come from map-side combined aggregation, and
-rows of hot classes are never moved (see attach_counted). Two rows are joined only
+rows of a hot class are spread over tasks (see join_counted). Two rows are joined only
 if their parsed contents are equal, so a coincidence of hashes cannot join them.
 """
 
@@ -17,36 +17,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import attach_counted
+from ..operators.skew import join_counted
 from .contact_forms import with_contact
 
 
 def _stripped(col: Column) -> Column:
-    """Letters and digits only, after the optional opening of a web address."""
-    low = F.regexp_replace(F.lower(col), r"mailto:|:(?:80|443)(?!\d)", "")
-    return F.regexp_replace(F.regexp_replace(low, r"\A[^\p{L}\p{N}/]*(?:h\s*t\s*t\s*p\s*s?\s*:)?[\s/]*(?:www\s*\.)?", ""), r"[^\p{L}\p{N}]+", "")
+    """The letters and digits that no optional piece of an address (mailto:, http(s)://, www., :80, :443) can bring in."""
+    return F.regexp_replace(F.lower(F.when(col.contains("ailto:"), F.regexp_replace(col, "(?i)mailto:", "")).otherwise(col)), "[^a-gi-oqruvx-z125679]+", "")
 
 
-def _letter_classes(text: Column) -> list[Column]:
-    """How many characters fall into each of a few classes of letters."""
-    return [F.length(text) - F.length(F.translate(text, letters, "")) for letters in ("aeiou", "bcdfg", "hjklm", "npqrs", "tvwxyz")]
+def cheap_class(a: Column, b: Column) -> Column:
+    """Level 1 of two stripped fields: their length and how many letters of a few classes they have.
 
-
-def cheap_class(email: Column, website: Column) -> Column:
-    """Level 1: independent of form, of the order of parts and of the order of the two fields."""
-    a, b = _stripped(email), _stripped(website)
-    return F.xxhash64(F.length(a) + F.length(b), *[x + y for x, y in zip(_letter_classes(a), _letter_classes(b), strict=True)])
+    Independent of form, of the order of parts and of the order of the two fields.
+    """
+    kinds = [F.length(F.translate(a, letters, "")) + F.length(F.translate(b, letters, "")) for letters in ("aeiou", "bcdfg", "klmn")]
+    return F.xxhash64(F.length(a) + F.length(b), *kinds)
 
 
-def histogram_class(email: Column, website: Column) -> Column:
-    """Level 2: the letters of both fields, sorted."""
-    return F.xxhash64(F.array_join(F.array_sort(F.split(F.concat(_stripped(email), _stripped(website)), "")), ""))
+def histogram_class(a: Column, b: Column) -> Column:
+    """Level 2: the letters of both stripped fields, sorted."""
+    return F.xxhash64(F.array_join(F.array_sort(F.split(F.concat(a, b), "")), ""))
 
 
-def _several(df: DataFrame, key: str, total: int) -> DataFrame:
+def _several(df: DataFrame, key: str) -> DataFrame:
     """The rows of classes with two or more members."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return attach_counted(df, counts, key, total).drop("n")
+    return join_counted(df, counts.select(key), key)
 
 
 def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", website: str = "website") -> DataFrame:
@@ -56,14 +53,15 @@ def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", web
     Rows with a NULL, blank or stand-in in either field belong to no group. A NULL row_id
     counts as a copy but never is the smallest. An empty table gives an empty result.
     """
-    total = df.count()
     rows = df.select(F.col(row_id).alias("row_idx"), F.col(email).alias("email"), F.col(website).alias("website")).where("email IS NOT NULL AND website IS NOT NULL")
-    level1 = _several(rows.withColumn("k1", cheap_class(F.col("email"), F.col("website"))), "k1", total)
-    level2 = _several(level1.drop("k1").withColumn("k2", histogram_class(F.col("email"), F.col("website"))), "k2", total)
+    keyed = rows.withColumns({"a": _stripped(F.col("email")), "b": _stripped(F.col("website"))})
+    level1 = _several(keyed.select("row_idx", "email", "website", cheap_class(F.col("a"), F.col("b")).alias("k1")), "k1")
+    again = level1.drop("k1").withColumns({"a": _stripped(F.col("email")), "b": _stripped(F.col("website"))})
+    level2 = _several(again.select("row_idx", "email", "website", histogram_class(F.col("a"), F.col("b")).alias("k2")), "k2")
     exact = with_contact(level2.drop("k2"), mail="mail", web="web").where("mail IS NOT NULL AND web IS NOT NULL")
     exact = exact.select("row_idx", F.concat_ws(" ", "mail", "web").alias("k3"))
     groups = exact.groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
-    return attach_counted(exact, groups, "k3", total).select("row_idx", "first_row", F.col("n").alias("copies"))
+    return join_counted(exact, groups, "k3").select("row_idx", "first_row", F.col("n").alias("copies"))
 
 
 def copy_pairs(df: DataFrame) -> DataFrame:

@@ -29,6 +29,10 @@ from .edit_tree import EditTree, distance
 #: Largest reference list that is built into every worker.
 MAX_ENTRIES = 20_000
 
+#: Rows of a task whose titles are looked up together, and titles whose results a worker keeps; both bound memory, not results.
+LOOKED_UP_AT_ONCE = 100_000
+KEPT_TITLES = 300_000
+
 #: Other names of roles, as "reference form: names". Wording, order and
 #: abbreviation of the reference forms themselves need no entry here.
 ALIASES = """
@@ -199,9 +203,8 @@ class TitleIndex:
 
     # -- lookup ---------------------------------------------------------------------------
 
-    def _pieces(self, title: str) -> tuple[list[list[str]], list[str]]:
-        """The words of each piece; for a cut-off title also what it may begin, longest first."""
-        text = spelled(title)
+    def _pieces(self, text: str) -> tuple[list[list[str]], list[str]]:
+        """The words of each piece of a spelled-out title; for a cut-off one also what it may begin, longest first."""
         cut = bool(_CUT.search(text))
         text = _CUT.sub("", text)
         at, spans = 0, []
@@ -259,6 +262,12 @@ class TitleIndex:
 
     def look_up(self, titles: list[str]) -> list[int | None]:
         """The priority that each title denotes; the catch-all's if none, NULL if there is no catch-all."""
+        forms = [spelled(t) for t in titles]
+        each = list(dict.fromkeys(forms))
+        known = dict(zip(each, self._look_up(each), strict=True))
+        return [known[f] for f in forms]
+
+    def _look_up(self, titles: list[str]) -> list[int | None]:
         denoted: list[set[int]] = []
         queries: list[str] = []
         asked: list[int] = []
@@ -345,16 +354,26 @@ def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: s
 
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
+        waiting: list[pd.Series] = []
+        rows = 0
         for texts in batches:
-            there = list(texts.dropna().unique())
-            new = [t for t in there if t not in index.memory]
-            answers = dict(zip(new, index.look_up(new), strict=True))
-            if len(index.memory) + len(answers) > 200_000:  # bounds the memory of a worker, not the result
-                index.memory.clear()
-            local = {t: index.memory[t] for t in there if t in index.memory} | answers
-            index.memory.update(answers)
-            blank = {t for t in local if not any(unicodedata.category(c)[0] not in "ZC" for c in t)}
-            yield texts.map(lambda t: None if t is None or t in blank else local.get(t)).astype("Int32")
+            waiting.append(texts)
+            rows += len(texts)
+            if rows >= LOOKED_UP_AT_ONCE:
+                yield from answered(index, waiting)
+                waiting, rows = [], 0
+        yield from answered(index, waiting)
+
+    def answered(index: TitleIndex, parts: list[pd.Series]) -> Iterator[pd.Series]:
+        there = dict.fromkeys(t for texts in parts for t in texts.dropna().unique())
+        new = [t for t in there if t not in index.memory]
+        if len(index.memory) + len(new) > KEPT_TITLES:
+            index.memory.clear()
+            new = list(there)
+        index.memory.update(zip(new, index.look_up(new), strict=True))
+        local = {t: index.memory[t] for t in there if any(unicodedata.category(c)[0] not in "ZC" for c in t)}
+        for texts in parts:
+            yield texts.map(local.get).astype("Int32")
 
     @F.pandas_udf("int")
     def lookup(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
