@@ -21,23 +21,28 @@ from ..operators.skew import join_counted
 from .contact_forms import with_contact
 
 
-def _stripped(col: Column) -> Column:
-    """The letters and digits that no optional piece of an address (mailto:, http(s)://, www., :80, :443) can bring in."""
-    return F.regexp_replace(F.lower(F.when(col.contains("ailto:"), F.regexp_replace(col, "(?i)mailto:", "")).otherwise(col)), "[^a-gi-oqruvx-z125679]+", "")
+def _stripped(email: Column, website: Column) -> Column:
+    """The letters of both fields that no optional piece of an address (mailto:, http(s)://, www.) can bring in."""
 
+    def letters(col: Column) -> Column:
+        plain = F.lower(col)
+        return F.regexp_replace(F.when(plain.contains("mailto:"), F.regexp_replace(plain, "mailto:", "")).otherwise(plain), "[^a-z]", "")
 
-def cheap_class(a: Column, b: Column) -> Column:
-    """Level 1 of two stripped fields: their length and how many letters of a few classes they have.
+    return F.translate(F.concat(letters(email), letters(website)), "htpsw", "")
+
+
+def cheap_class(text: Column) -> Column:
+    """Level 1 of the stripped fields: their length and how many letters of a few classes they have.
 
     Independent of form, of the order of parts and of the order of the two fields.
     """
-    kinds = [F.length(F.translate(a, letters, "")) + F.length(F.translate(b, letters, "")) for letters in ("aeiou", "bcdfg", "klmn")]
-    return F.xxhash64(F.length(a) + F.length(b), *kinds)
+    kinds = [F.length(F.translate(text, letters, "")) for letters in ("a", "e", "i", "o", "bd", "cfg", "km", "ln", "rv")]
+    return F.xxhash64(F.length(text), *kinds)
 
 
-def histogram_class(a: Column, b: Column) -> Column:
-    """Level 2: the letters of both stripped fields, sorted."""
-    return F.xxhash64(F.array_join(F.array_sort(F.split(F.concat(a, b), "")), ""))
+def histogram_class(text: Column) -> Column:
+    """Level 2: the stripped letters, sorted."""
+    return F.xxhash64(F.array_join(F.array_sort(F.split(text, "")), ""))
 
 
 def _several(df: DataFrame, key: str) -> DataFrame:
@@ -54,13 +59,11 @@ def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", web
     counts as a copy but never is the smallest. An empty table gives an empty result.
     """
     rows = df.select(F.col(row_id).alias("row_idx"), F.col(email).alias("email"), F.col(website).alias("website")).where("email IS NOT NULL AND website IS NOT NULL")
-    keyed = rows.withColumns({"a": _stripped(F.col("email")), "b": _stripped(F.col("website"))})
-    level1 = _several(keyed.select("row_idx", "email", "website", cheap_class(F.col("a"), F.col("b")).alias("k1")), "k1")
-    again = level1.drop("k1").withColumns({"a": _stripped(F.col("email")), "b": _stripped(F.col("website"))})
-    level2 = _several(again.select("row_idx", "email", "website", histogram_class(F.col("a"), F.col("b")).alias("k2")), "k2")
-    exact = with_contact(level2.drop("k2"), mail="mail", web="web").where("mail IS NOT NULL AND web IS NOT NULL")
-    exact = exact.select("row_idx", F.concat_ws(" ", "mail", "web").alias("k3"))
-    groups = exact.groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
+    letters = _stripped(F.col("email"), F.col("website"))
+    level1 = _several(rows.withColumn("t", letters).select("row_idx", "email", "website", cheap_class(F.col("t")).alias("k1")), "k1").drop("k1")
+    level2 = _several(level1.withColumn("t", letters).select("row_idx", "email", "website", histogram_class(F.col("t")).alias("k2")), "k2")
+    exact = with_contact(level2.drop("k2"), mail="mail", web="web").select("row_idx", F.concat(F.col("mail"), F.lit(" "), F.col("web")).alias("k3"))
+    groups = exact.where("k3 IS NOT NULL").groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
     return join_counted(exact, groups, "k3").select("row_idx", "first_row", F.col("n").alias("copies"))
 
 
