@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import settled
 from ..functions.missing import INVISIBLE, is_stand_in, visible
 
 REASONS = ("quoting", "column_count", "email", "company_name")
@@ -185,9 +186,7 @@ def parse_rows(rows: DataFrame, files: DataFrame, line: str = "raw_line", email:
         .when(bad_name, "company_name")
     )
     reason = F.when(raw.isNull(), "column_count").when(F.col("_hw_whole") & ~bad_name, text).otherwise(broken)
-    # The id is never negative. Being no deterministic expression, it keeps a later filter on
-    # the verdict from being pushed below this projection, which would copy every pattern.
-    reason = F.when(F.monotonically_increasing_id() >= 0, reason)
+    reason = settled(reason)  # a later filter on the verdict would else be pushed down with a copy of every pattern
     cells = per_schema(lambda s: F.regexp_extract_all(raw, F.lit(s.each_field()), F.lit(1)), F.lit(None).cast("array<string>"))
     out = out.withColumn("parse_reason", reason).drop(*tests)
     return out.withColumn("parse_fields", F.when(F.col("parse_reason").isNull(), F.transform(cells, unquoted)))
