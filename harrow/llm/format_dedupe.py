@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import settled
 from ..operators.skew import join_counted
 from .contact_forms import with_contact
 
@@ -62,7 +63,9 @@ def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", web
     letters = _stripped(F.col("email"), F.col("website"))
     level1 = _several(rows.withColumn("t", letters).select("row_idx", "email", "website", cheap_class(F.col("t")).alias("k1")), "k1").drop("k1")
     level2 = _several(level1.withColumn("t", letters).select("row_idx", "email", "website", histogram_class(F.col("t")).alias("k2")), "k2")
-    exact = with_contact(level2.drop("k2"), mail="mail", web="web").select("row_idx", F.concat(F.col("mail"), F.lit(" "), F.col("web")).alias("k3"))
+    # Parsing belongs above the joins; the test for NULL keys would else be pushed down to all rows.
+    few = level2.select("row_idx", settled(F.col("email")).alias("email"), settled(F.col("website")).alias("website"))
+    exact = with_contact(few, mail="mail", web="web").select("row_idx", F.concat(F.col("mail"), F.lit(" "), F.col("web")).alias("k3"))
     groups = exact.where("k3 IS NOT NULL").groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
     return join_counted(exact, groups, "k3").select("row_idx", "first_row", F.col("n").alias("copies"))
 
