@@ -37,7 +37,7 @@ def cheap_class(text: Column) -> Column:
 
     Independent of form, of the order of parts and of the order of the two fields.
     """
-    kinds = [F.length(F.translate(text, letters, "")) for letters in ("a", "e", "i", "o", "bd", "cfg", "km", "ln", "rv")]
+    kinds = [F.length(F.translate(text, letters, "")) for letters in ("ae", "io", "bcd", "fgk", "lmn", "ruv")]
     return F.xxhash64(F.length(text), *kinds)
 
 
