@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 
 from ..functions.barrier import settled
 from ..operators.skew import join_counted
+from ..session import checkpointed
 from .contact_forms import with_contact
 
 
 def _stripped(email: Column, website: Column) -> Column:
     """The letters of both fields that no optional piece of an address (mailto:, http(s)://, www.) can bring in."""
-
-    def letters(col: Column) -> Column:
-        plain = F.lower(col)
-        return F.regexp_replace(F.when(plain.contains("mailto:"), F.regexp_replace(plain, "mailto:", "")).otherwise(plain), "[^a-z]", "")
-
-    return F.translate(F.concat(letters(email), letters(website)), "htpsw", "")
+    plain = F.lower(F.concat(email, website))
+    plain = F.when(plain.contains("mailto:"), F.regexp_replace(plain, "mailto:", "")).otherwise(plain)
+    return F.translate(F.regexp_replace(plain, "[^a-z]", ""), "htpsw", "")
 
 
 def cheap_class(text: Column) -> Column:
@@ -37,7 +35,7 @@ def cheap_class(text: Column) -> Column:
 
     Independent of form, of the order of parts and of the order of the two fields.
     """
-    kinds = [F.length(F.translate(text, letters, "")) for letters in ("ae", "io", "bcd", "fgk", "lmn", "ruv")]
+    kinds = [F.length(F.translate(text, letters, "")) for letters in ("ae", "io", "bcd", "fg", "km", "ln", "ruv")]
     return F.xxhash64(F.length(text), *kinds)
 
 
@@ -66,7 +64,8 @@ def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", web
     # Parsing belongs above the joins; the test for NULL keys would else be pushed down to all rows.
     few = level2.select("row_idx", settled(F.col("email")).alias("email"), settled(F.col("website")).alias("website"))
     exact = with_contact(few, mail="mail", web="web").select("row_idx", F.concat(F.col("mail"), F.lit(" "), F.col("web")).alias("k3"))
-    groups = exact.where("k3 IS NOT NULL").groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
+    exact = checkpointed(exact.where("k3 IS NOT NULL"))  # the costliest key is worked out once
+    groups = exact.groupBy("k3").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row")).where("n > 1")
     return join_counted(exact, groups, "k3").select("row_idx", "first_row", F.col("n").alias("copies"))
 
 

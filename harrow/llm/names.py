@@ -68,12 +68,26 @@ def business_of(token: str, dotted: bool) -> tuple[str, ...]:
             return squeezed
         if re.fullmatch(r"[^aeiou]+", token):
             return tuple(b for b in BUSINESS if b[0] == token[0] and _subsequence(token, b) and len(b) <= 2 * len(token) + 2)
-    for b in BUSINESS:
-        if len(token) >= 5 and abs(len(b) - len(token)) <= 1 and distance(token, b) <= 1:
-            return (b,)
+    if len(token) >= 5:
+        for b in BUSINESS:
+            if -2 < len(b) - len(token) < 2 and _one_edit(token, b):
+                return (b,)
     return ()
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether two different strings are one insertion, deletion, substitution or swap of neighbours apart."""
+    n, m = len(a), len(b)
+    i = 0
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and j < m - i and a[n - 1 - j] == b[m - 1 - j]:
+        j += 1
+    x, y = a[i : n - j], b[i : m - j]
+    return max(len(x), len(y)) <= 1 or (len(x) == 2 and x == y[::-1])
+
+
 def _subsequence(short: str, text: str) -> bool:
     it = iter(text)
     return all(c in it for c in short)

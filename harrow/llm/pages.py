@@ -14,6 +14,7 @@ _VOID = frozenset(("meta", "br", "img", "hr", "input", "link", "base", "wbr", "s
 _CLOSED_BY = {"li": ("li",), "p": ("p", "div", "h1", "h2", "h3", "li", "table", "section"), "tr": ("tr",), "td": ("td", "tr"), "th": ("th", "td", "tr")}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<!--.*?-->|<![^>]*>")
+_LEAF = re.compile(r"<(p|span|div|li|h[1-6])(?: class=\"([^\"<>]*)\")?>(?:<a [^<>]*>([^<]*)</a>|([^<]*))</\1>\s*$")
 _CLASS = re.compile(r"\bclass\s*=\s*[\"']?([^\"'>]*)")
 _LEFTOVER = re.compile(r"<[/!]?[a-zA-Z][^<>]*$")
 
@@ -62,6 +63,17 @@ def html_blocks(body: str) -> list[Block]:
     for n, raw in enumerate(body.split("\n"), 1):
         if hidden and f"</{hidden}" not in raw.lower():
             continue
+        simple = _LEAF.match(raw) if not hidden else None
+        if simple is not None:  # the commonest lines: one leaf with its text, or a linked list entry
+            leaf = ""
+            name, kind, link, text = simple.groups()
+            text = link if text is None else text
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            if text:
+                top = open_containers[-1] if open_containers else ("", "", "")
+                out.append(Block(n, text, name + ("." if kind is not None and name == "div" else ""), link is not None, top[1], top[2], len(open_containers), fresh))
+                fresh = False
+            continue
         parts: list[str] = []
         at = 0
         first = ""
@@ -87,14 +99,14 @@ def html_blocks(body: str) -> list[Block]:
                         hidden = ""
                     continue
                 if m[1]:
-                    if name in CONTAINERS:
+                    if name == leaf:
+                        leaf = ""
+                    elif name in CONTAINERS:
                         for i in range(len(open_containers) - 1, -1, -1):
                             if open_containers[i][0] == name:
                                 del open_containers[i:]
                                 break
                         fresh = True
-                    if name == leaf:
-                        leaf = ""
                     continue
                 if name in HIDDEN:
                     hidden = name

@@ -45,7 +45,8 @@ DEFAULT = re.compile(
     re.I,
 )
 _BLANK = re.compile(r"\b(?:to|in|of|at|by|from|with|dear|hello|hi|choose)\s+(?=[,!?](?:\s|$))", re.I)
-_QUICK = re.compile(r"[{\[$%@#*_<]|TODO|FIXME|TBD|XXX|INSERT|\bhere\b|\((?:[Aa]dd|[Ii]nsert|[Ee]nter)|\b(?:to|in|of|at|by|from|with|ear|ello|i|choose)\s+[,!?]")
+#: What every variable, default or blank has some of.
+_QUICK = ("{", "[", "$", "%", "@", "#", "*|", "__", "<", "TODO", "FIXME", "TBD", "XXX", "INSERT", " here", "(Add", "(add", "(Insert", "(insert", "(Enter", "(enter", " ,", " !", " ?")
 _WEAK = re.compile(r"\b(?:error|sorry|oops|unavailable|denied|blocked|please|try|browser|page|server|request|session|loading|address|link|access|visitors?|service|shop|app|application|content|site)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -58,8 +59,11 @@ def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
     Certain are a token that is all there is of a sentence, and a default that asks to be replaced.
     """
     sure, found = False, []
+    whole = "\n".join(texts)
+    if not any(sign in whole for sign in _QUICK):
+        return sure, found
     for text in texts:
-        if not _QUICK.search(text):
+        if not any(sign in text for sign in _QUICK):
             continue
         for sentence in _SENTENCE.split(text):
             if DEFAULT.search(sentence):
