@@ -13,3 +13,8 @@ def settled(col: Column) -> Column:
     projection's place in the plan.
     """
     return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
+def once(udf):
+    """The same Python function, not evaluated again in filters that the optimizer derives from its result."""
+    return udf.asNondeterministic()
