@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import once
 from .page_words import FURNITURE, MENU_WORDS, NEUTRAL, is_filler, is_menu, is_notice
 from .pages import Block, blocks_of, plain_blocks
 
@@ -179,7 +180,7 @@ def with_main_lines(df: DataFrame, text: str, out: str = "main_lines", excerpt:
         for part in parts:
             yield pd.Series([main_lines(t, field, excerpt) for t in part], dtype=object)
 
-    return df.withColumn(out, lines(F.col(text).cast("string")))
+    return df.withColumn(out, once(lines)(F.col(text).cast("string")))
 
 
 def found_main(pages: DataFrame, signals: DataFrame) -> DataFrame:
@@ -206,4 +207,4 @@ def main_text(df: DataFrame, text: str, out: str = "main_text", excerpt: bool =
                 result.append("" if kind in ("notice", "filler") else "\n".join(b.text for b in main))
             yield pd.Series(result, dtype=object)
 
-    return df.withColumn(out, joined(F.col(text).cast("string")))
+    return df.withColumn(out, once(joined)(F.col(text).cast("string")))

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import once
+
 #: Fixed value: the pattern that cuts texts into pieces for byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Default tokenizer file: base64 token and rank on each line.
@@ -227,7 +229,7 @@ def with_ids(df: DataFrame, text: str = "text", out: str = "ids", file: str = DE
             done = [pd.Series(own.encode(piece.tolist()), dtype=object) for piece in _small_batches(part)]
             yield pd.concat(done, ignore_index=True) if done else pd.Series([], dtype=object)
 
-    return df.withColumn(out, encode(F.col(text).cast("string")))
+    return df.withColumn(out, once(encode)(F.col(text).cast("string")))
 
 
 def with_size(df: DataFrame, text: str = "text", out: str = "tokens", file: str = DEFAULT_FILE, pattern: str = PATTERN) -> DataFrame:
@@ -241,4 +243,4 @@ def with_size(df: DataFrame, text: str = "text", out: str = "tokens", file: str
             done = [pd.Series([len(i) for i in own.encode(piece.tolist())], dtype="int64") for piece in _small_batches(part)]
             yield pd.concat(done, ignore_index=True) if done else pd.Series([], dtype="int64")
 
-    return df.withColumn(out, count(F.col(text).cast("string")))
+    return df.withColumn(out, once(count)(F.col(text).cast("string")))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions.barrier import once
 from ..functions.missing import STAND_INS
 from ..session import checkpointed
 from .edit_tree import distance
@@ -189,7 +190,7 @@ def companies(df: DataFrame, name: str = "company_name", edit_cost: float = 4.0)
     keyed = cores.select("core", "n", F.explode(keys_of(F.col("core"), F.col("first"))).alias("key"))
     other = keyed.select(F.col("core").alias("to"), F.col("n").alias("m"), "key")
     near = keyed.join(other, "key").where("(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to) <= 4")
-    near = near.select("core", "n", "to", "m").distinct().withColumn("d", _edits("core", "to"))
+    near = near.select("core", "n", "to", "m").distinct().withColumn("d", once(_edits)("core", "to"))
     likely = (F.col("d") <= 1) & (F.length("core") >= 6) | (F.col("d") == 2) & (F.length("core") >= 10) & ((F.col("n") <= 4) | (2 * F.col("n") <= F.col("m")))
     posterior = F.log("m") - F.lit(edit_cost) * F.col("d")
     best = near.where(likely).groupBy("core").agg(F.max_by("to", F.struct(posterior, "to")).alias("parent"))

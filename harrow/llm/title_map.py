@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import once
 from ..functions.missing import is_blank
 from .edit_tree import EditTree, distance
 
@@ -379,7 +380,7 @@ def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: s
     def lookup(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from mapped(parts)
 
-    return df.withColumn(out, lookup(F.col(title).cast("string")))
+    return df.withColumn(out, once(lookup)(F.col(title).cast("string")))
 
 
 def found_titles(leads: DataFrame, hooks: DataFrame) -> DataFrame:
