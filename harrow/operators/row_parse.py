@@ -93,8 +93,8 @@ class RowSchema:
         return rf"\A{self.prefix(special, len(self.header))}\z"
 
     def each_field(self) -> str:
-        """Pattern whose successive matches have the row's raw fields as group 1."""
-        return rf"(?:\A|{self._d})({self.field})"
+        """Pattern whose successive matches have the raw fields of a row with a delimiter put before it as group 1."""
+        return rf"{self._d}({self.field})"
 
     def capture(self, position: int) -> str:
         """Pattern whose group 1 is the raw field at ``position``."""
@@ -187,7 +187,7 @@ def parse_rows(rows: DataFrame, files: DataFrame, line: str = "raw_line", email:
     )
     reason = F.when(raw.isNull(), "column_count").when(F.col("_hw_whole") & ~bad_name, text).otherwise(broken)
     reason = settled(reason)  # a later filter on the verdict would else be pushed down with a copy of every pattern
-    cells = per_schema(lambda s: F.regexp_extract_all(raw, F.lit(s.each_field()), F.lit(1)), F.lit(None).cast("array<string>"))
+    cells = per_schema(lambda s: F.regexp_extract_all(F.concat(F.lit(s.delimiter), raw), F.lit(s.each_field()), F.lit(1)), F.lit(None).cast("array<string>"))
     out = out.withColumn("parse_reason", reason).drop(*tests)
     return out.withColumn("parse_fields", F.when(F.col("parse_reason").isNull(), F.transform(cells, unquoted)))
 
