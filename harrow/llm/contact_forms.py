@@ -67,17 +67,22 @@ def with_contact(df: DataFrame, email: str = "email", website: str = "website",
     return df.withColumn(web, F.when(F.col("_hw_place").rlike(_WEB_HOST), whole)).drop("_hw_w", "_hw_q", "_hw_place", "_hw_query")
 
 
+def cut_off(col: Column) -> Column:
+    """True for text that ends in dots which mark an omission."""
+    return F.coalesce(col.rlike(rf"(?:\.{{3,}}|…)[{INVISIBLE}]*\z"), F.lit(False))
+
+
 def real_text(col: Column) -> Column:
     """True for text that is no blank, stand-in, keyboard junk or cut-off value.
 
-    Keyboard junk: the words of KEY_RUNS, one character repeated, or no letter at all.
-    Cut off: ends in dots that mark an omission.
+    Keyboard junk: runs along the rows of a keyboard, words typed to try a field, one character
+    repeated, or fewer than two letters.
     """
     tight = F.lower(F.regexp_replace(col, rf"[{INVISIBLE}]+", ""))
     junk = (
-        tight.rlike(r"\A(?:asdf|qwert|qwertz|zxcv|yxcv|hjkl|test|abc|xyz|foo|dummy|sample)+[a-z0-9]{0,4}\z")
+        tight.rlike(r"\A(?:asdf|sdfg|dfgh|qwert|werty|wertz|zxcv|xcvb|yxcv|hjkl|jkl|uiop)+[a-zö]{0,4}\z")
+        | tight.rlike(r"\A(?:test|abc|xyz|foo|bar|dummy|sample|blah?|lorem)+\d*\z")
         | tight.rlike(r"\A(.)\1*\z")
-        | tight.rlike(r"(?:\.{2,}|…)\z")
-        | ~tight.rlike(r"\p{L}{2}")
+        | ~tight.rlike(r"\p{L}.*\p{L}")
     )
-    return F.coalesce(~(is_stand_in(col) | junk), F.lit(False))
+    return F.coalesce(~(is_stand_in(col) | junk | cut_off(col)), F.lit(False))

@@ -15,7 +15,7 @@ from harrow.llm.survivor import survivors
     [
         (mail_content, [" <A.B@X.example>; ", "a b@x.example", "mailto:a@x.example", "none", None, "a@x"], ["a.b@x.example", "ab@x.example", "a@x.example", None, None, None]),
         (web_content, ["HTTPS://www.X.example/A/?b=2&a=1", "//x.example/a?a=1&b=2", "x.example:443", "http://www.", "n/a", None, "a@x.example"], ["x.example/a?a=1&b=2", "x.example/a?a=1&b=2", "x.example", None, None, None, None]),
-        (real_text, ["Head of IT", "n/a", "qwerty", "Head of Res...", "*****", "CEO", "test", None, "123"], [True, False, False, False, False, True, False, False, False]),
+        (real_text, ["Head of IT", "n/a", "qwerty", "Head of Res...", "*****", "C.E.O.", "test", None, "123", "Tester", "Head of Res… ", "asdfgh"], [True, False, False, False, False, True, False, False, False, True, False, False]),
     ],
 )
 def test_contents(spark, make, inputs, wanted):
