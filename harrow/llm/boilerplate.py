@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -125,13 +126,19 @@ class ChainField:
         return out[::-1]
 
 
+@lru_cache(maxsize=100_000)
+def _known_furniture(text: str) -> bool:
+    """Whether a short line is worded like a known piece of furniture; checked behind the decoding."""
+    return bool(FURNITURE.match(text))
+
+
 def judged(blocks: list[Block], labels: list[bool]) -> tuple[str, list[Block]]:
     """What a page's main blocks amount to, and those blocks.
 
     ``notice``/``filler``: every main block is a notice or filler, or says nothing; ``content``
     if one says something; ``empty`` without a main block or with headings only.
     """
-    main = [b for b, y in zip(blocks, labels, strict=True) if y and b.tag != "noscript" and not b.text.endswith(TEASER_ENDS)]
+    main = [b for b, y in zip(blocks, labels, strict=True) if y and b.tag != "noscript" and not b.text.endswith(TEASER_ENDS) and not (len(b.text) <= 80 and _known_furniture(b.text))]
     notice = filler = 0
     for b in main:
         t = b.text

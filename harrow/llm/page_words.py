@@ -18,7 +18,7 @@ FURNITURE = re.compile(
     .*\b(?:which\ trackers|tracking\ categories)\b.* | .*\bcookies?\b.*\b(?:accept|agree|reject|akzeptieren|aceptar|accepter|ok)\b.* |
     .*\b(?:use|our\ use\ of|verwenden|usamos|utilisons\ des)\ cookies\b.* | .*\bcookie(?:s|-|\ )?(?:settings|preferences|policy|banner|einstellungen)\b.* |
     .*\bpartners\ would\ like\ to\ measure\b.* | .*\bstores?\ small\ files\ on\ your\ device\b.* | strictly\ necessary\ storage\b.* | we\ value\ your\ privacy\b.* | your\ privacy\ matters\b.* |
-    functional\ \[.* | consent\ choices | no\ thanks,\ only.* | .{0,4}ok,\ got\ it | .*by\ continuing\ to\ browse.* | puede\ retirar\ su\ consentimiento.* | gérer\ vos\ préférences.* | .*einwilligung.*widerrufen.* |
+    functional\ \[.* | consent\ choices | no\ thanks,\ only.* | .{0,4}ok,\ got\ it | .*by\ continuing\ to\ browse.* | puede\ retirar\ su\ consentimiento.* | gérer\ vos\ préférences.* | .*einwilligung.*widerrufen.* | .*datenschutz.*einstellungen.* | languages?:.* | sprachen?:.* | langues?\ ?:.* | idiomas?:.* |
     some\ features\ need\ javascript.* |
     related\ articles | quick\ links | back\ to\ (?:top|overview).* | skip\ to\ content | print\ this\ page | (?:.*:\ )?share\ this\ page | follow\ us | (?:.*:\ )?subscribe | (?:.*:\ )?advertisement | most\ read | latest\ news |
     you\ may\ also\ like | chat\ with\ us | leave\ a\ comment | enter\ your\ email.* | sign\ up\ for.* | get\ our\ guide.* | your\ basket\ is.* | request\ a\ call.* | download\ the\ brochure.* | .*people\ are\ viewing.* |
