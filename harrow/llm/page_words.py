@@ -45,7 +45,7 @@ NOTICE = re.compile(
     forbidden | access\ (?:to\ this\ (?:page|site|resource)\ )?(?:is\ )?denied | permission\ to\ (?:view|access) | refused\ by | (?:are|is|were|was|been)\ (?:temporarily\ )?(?:blocked|banned|refused|denied) | unauthori[sz]ed | valid\ sign-in | sign\ in\ (?:again|to\ continue|required) | please\ (?:sign|log)\ in | log\ in\ to\ continue | session\ (?:has\ )?expired |
     verify\ you\ are | are\ you\ (?:a\ )?human | captcha | complete\ the\ puzzle | checking\ your\ browser | takes\ up\ to\ .{1,10}seconds | automated\ requests | unusual\ traffic | ad\ blocker |
     too\ many\ requests | slow\ down\ and | over\ its\ limit | rate\ limit | try\ (?:again|later|the\ search) | (?:bad\ gateway|gateway\ time-?out|internal\ server|server\ error|internal\ error) | upstream | service\ (?:temporarily\ )?unavailable | temporarily\ (?:unavailable|offline) |
-    something\ went\ wrong | having\ a\ moment | hit\ a\ snag | is\ not\ answering | did\ not\ answer | could\ not\ complete | engineers\ have\ been | be\ right\ back | back\ (?:shortly|soon|online) | maintenance | planned\ works | under\ construction | coming\ soon |
+    something\ went\ wrong | having\ a\ moment | hit\ a\ snag | is\ not\ answering | did\ not\ answer | could\ not\ complete | engineers\ have\ been | be\ right\ back | back\ (?:shortly|soon|online) | (?:maintenance\ (?:in\ progress|mode|window|page)|(?:under|down\ for|scheduled|undergoing)\ maintenance) | planned\ works | under\ construction | coming\ soon |
     error\ establishing | fatal\ error | warning:\ | traceback | uncaught | exception | stack\ trace | keyerror | typeerror | connection\ is\ not\ private | err_[a-z_]+ | certificate | account\ (?:has\ been\ )?suspended | hosting\ provider |
     domain\ is\ (?:parked|for\ sale) | parked | not\ yet\ published | related\ searches | index\ of\ / | parent\ directory | apache\ (?:server|http) | it\ works! | welcome\ to\ nginx |
     start\ page | (?:vuelva|volver)\ al?\ inicio | retour(?:nez)?\ à\ l[’']accueil | zur(?:ück\ zur)?\ startseite | contact\ the\ site\ owner | contact\ your | (?:cargando|loading|chargement|laden)\b | requested\ (?:url|page|address) | gewünschte\ seite | cette\ adresse | dieser\ (?:seite|dienst) | mistake

@@ -48,6 +48,11 @@ def test_notices_have_no_main_lines():
         assert kind in ("notice", "filler") and main_lines(body, field()) == []
 
 
+def test_content_that_speaks_of_notices_stays():
+    body = "<h1>Alarm maintenance for data halls</h1>\n<p>We keep spare stock for marinas so that alarm maintenance can restart the same afternoon.</p>"
+    assert main_lines(body, field()) == [1, 2]
+
+
 def test_long_and_broken_pages():
     assert len(main_lines(PAGE.replace("</main>", "<p>Our planners sit next to the people who carry out gate readers.</p>\n" * 20_000 + "</main>"), field())) >= 20_000
     for broken in ("<div", "<p>a < b</p>", "</div></div><p>x", "<script>never closed", "<!-- x"):
