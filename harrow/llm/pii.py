@@ -136,6 +136,8 @@ def normal_form(text: str) -> Normal:
 _EMAIL = re.compile(r"(?<![\w.+@-])[A-Za-z0-9_](?:[\w.+%'-]*[\w+])?(?:@| @ | @|@ )(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])")
 _RUN = re.compile(r"\d[\d ()./<-]{4,}")
 _EXT = r"(?:,?\ ?(?:ext\.?|extension|x|Durchwahl|poste|Nst\.)\ ?\d{1,6})?"
+#: Characters behind a run that a match and what it looks ahead to may take: the longest extension and, behind it, a unit.
+_BEYOND = len(", extension 123456") + len(" units") + 2
 _PHONE = re.compile(
     rf"""(?<![\w.,:/#£€$-])(?:
     \+\d{{1,3}}[ .-]?(?:\(0\)[ ]?)?\d(?:[ ./-]?\d){{6,12}} |
@@ -294,14 +296,11 @@ def find(text: str | None, lexicon: NameLexicon) -> list[tuple[int, int, str]]:
             take(m.start(), m.end(), "address")
     upto = 0
     for run in _RUN.finditer(t):
-        a, b = max(upto, run.start() - 8), min(len(t), run.end() + 14)
-        window_end = min(b, run.end() + 14)
+        a, b = max(upto, run.start() - 8), min(len(t), run.end() + _BEYOND)
         for pattern, kind in ((_ID, "id"), (_PHONE, "phone")):
-            for m in pattern.finditer(t, a, window_end):
+            for m in pattern.finditer(t, a, b):
                 if m.start() >= run.end():  # it belongs to the next run, which sees all of it
                     break
-                if m.end() == window_end < len(t) and t[window_end].isalnum():
-                    continue
                 take(m.start(), m.end(), kind)
         upto = run.end() if run.end() - run.start() < 40 else run.start()
     for a, b in names_in(t, lexicon, taken):

@@ -65,3 +65,10 @@ def test_frame(spark):
     docs = spark.createDataFrame([(1, "Ana and Ana Nibheim, Ana"), (2, None), (None, "Ana")], "doc_id long, text string")
     found = {(r.doc_id, r.kind, r.pii_text) for r in found_items(docs, people).collect()}
     assert found == {(1, "name", "Ana"), (1, "name", "Ana Nibheim"), (None, "name", "Ana")}
+
+
+@pytest.mark.parametrize("phone", ["020 7946 0123, extension 4567", "020 7946 0123, extension 456789", "030/1234567, Durchwahl 123456", "020 7946 0123, ext. 456"])
+def test_long_extensions(phone):
+    text = f"Call {phone} now."
+    assert [(k, text[a:b]) for a, b, k in find(text, LEXICON)] == [("phone", phone)]
+    assert find(f"Call {phone}", LEXICON)[0][:2] == (5, 5 + len(phone))
