@@ -40,6 +40,9 @@ _DISGUISE = re.compile(
     (?P<gone>[{_WIDTHLESS}]+)""",
     re.X,
 )
+#: What each alternative of _DISGUISE holds; with brackets, found by its own pattern.
+_BRACKETED = re.compile(rf"[\[({{<]\ ?(?:{_AT}|{_DOT})\ ?[\])}}>]")
+_SPELT = (" AT ", " DOT ", " dot ", *_WIDTHLESS)
 _PROSE_AT = re.compile(r"(?<![\w.+-])([\w-]*[\d._+-][\w.+-]*\w)( at )(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b)")
 #: Digits in words (English, German, French, Spanish).
 _SPOKEN = {
@@ -50,7 +53,8 @@ _SPOKEN = {
     for w in words.split()
 }
 _SPOKEN_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ -])?(?:(?:(?:double|triple)[ -])?(?:{'|'.join(_SPOKEN)})[ ,-]+){{5,}}(?:{'|'.join(_SPOKEN)})(?!\w)", re.I)
-_SPOKEN_HINT = ("zero", "null", "zéro", "cero", " oh ", "double", "Zero", "Null", "Cero", "seven", "sieben", "siete", "sept")
+#: The second and third number of a run, in texts without case.
+_SPOKEN_PAIR = re.compile(rf"[ ,-](?:{'|'.join(_SPOKEN)})[ ,-]+(?:(?:double|triple)[ -])?(?:{'|'.join(_SPOKEN)})(?!\w)")
 
 
 @dataclass
@@ -83,6 +87,11 @@ def _single(c: str) -> str:
     return plain if len(plain) == 1 and plain.isascii() else c
 
 
+def _caseless(text: str) -> str:
+    """Folded case, with I and its dot as one letter, as patterns that ignore case compare."""
+    return text.casefold() if text.isascii() else text.casefold().replace("i̇", "i")
+
+
 _SINGLES: dict[int, str] = {}
 
 
@@ -96,16 +105,16 @@ def normal_form(text: str) -> Normal:
                 _SINGLES[ord(c)] = _single(c)
         t = t.translate(_SINGLES)
     cuts: list[tuple[int, int, str]] = []
-    if (not ascii_only and any(c in t for c in _WIDTHLESS)) or " AT " in t or " dot " in t or "at]" in t or "at)" in t or "AT]" in t or "AT)" in t or "@]" in t or "@)" in t or "at}" in t or "ät" in t or "arroba" in t:
+    if any(sign in t for sign in _SPELT) or _BRACKETED.search(t):
         for m in _DISGUISE.finditer(t):
             kind = m.lastgroup
             cuts.append((m.start(), m.end(), "" if kind == "gone" else "@" if kind.startswith("at") else "."))
     if " at " in t:
         cuts += [(m.start(2), m.end(2), "@") for m in _PROSE_AT.finditer(t)]
-    if any(h in t for h in _SPOKEN_HINT):
+    if _SPOKEN_PAIR.search(_caseless(t)):
         for m in _SPOKEN_RUN.finditer(t):
             digits, times = "", 1
-            for w in re.findall(r"[^\W\d_]+", m[0].lower()):
+            for w in re.findall(r"[^\W\d_]+", _caseless(m[0])):
                 if w in ("double", "triple"):
                     times = 2 if w == "double" else 3
                 elif w == "plus":
@@ -149,6 +158,8 @@ _PHONE = re.compile(
     ){_EXT}(?![\w]|[.,:/-]\d)""",
     re.X,
 )
+#: A number in words has no groups; these are the forms of ten digits that _PHONE takes in groups alone.
+_SPOKEN_PHONE = re.compile(r"\+?1?[2-9]\d\d[2-9]\d{6}")
 _ID = re.compile(
     r"""(?<![\w.,:/#£€$+-])(?:
     [A-Z]{2}\ ?\d\d\ ?\d\d\ ?\d\d\ ?[A-D] | [XYZ]-?\d{7}-?[A-Z]{1,2} | \d{8}-?[A-Z] | [A-Z]{2}\d{6}<\d |
@@ -174,14 +185,12 @@ _ADDRESS = re.compile(
     )""",
     re.X,
 )
-_ADDRESS_HINT = ("Street", "Road", "Lane", "Close", "Ave", "Blvd", "Boulevard", "Box ", "Cottage", "House,", "Farm", "Lodge", "Way", "Row", "Quay", "Drive", "Court", "Gardens", "Terrace", "Hill", "Place", "straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "Am ", "Calle", "Avenida", "Plaza", "Paseo", "C/", "rue ", "avenue ", "boulevard ", "chemin", "impasse", "quai", "Postfach", "Apartado")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _PARTICLE = re.compile(r"\s(?:van\sder|van\sden|van|von\sder|von|zu|de\sla|de\slos|de|del|della|di|da|dos|den|der|le|la|af|ter|bin|el|al)\s", re.I)
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn|Herr|Frau|Madame|Monsieur|Mme|Mlle|señora|señor|señorita|Señora|Señor|Sra|Sr|Signor|Signora)"
 _TITLED = re.compile(rf"(?<!\w){_TITLES}\.?\s((?:[{_UP}]\.\s)?[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?(?:\s[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)?)")
 _TITLE_BEFORE = re.compile(rf"(?<!\w)(?:{_TITLES}|M)\.?\s$")
-_TITLE_HINT = ("Mr", "Ms", "Mrs", "Miss", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Mme", "señor", "Señor", "Sr", "Signor")
 _INITIALS_BEFORE = re.compile(rf"(?<![\w.])(?:[{_UP}]\.\s?)+$")
 _INITIALS_AFTER = re.compile(rf"(?:\s[{_UP}]\.)+(?!\w)")
 _FRENCH = re.compile(r"\b(?:les|des|nous|répond|habite|une|votre|est|aux)\b", re.I)
@@ -263,13 +272,12 @@ def names_in(text: str, lexicon: NameLexicon, taken: list[tuple[int, int]]) -> l
                             last = m.end()
             out.append((first, last))
             at = last
-    if any(h in text for h in _TITLE_HINT):
-        for m in _TITLED.finditer(text):
-            a, b = m.span(1)
-            if m[1].lower().split()[0] in _NO_NAMES or any(x < b and a < y for x, y in out) or any(x < b and a < y for x, y in taken):
-                continue
-            first = re.match(r"(?:\S\.\s)?\S+", m[1])[0].rstrip("'’")
-            out.append((a, a + len(first)))
+    for m in _TITLED.finditer(text):
+        a, b = m.span(1)
+        if m[1].lower().split()[0] in _NO_NAMES or any(x < b and a < y for x, y in out) or any(x < b and a < y for x, y in taken):
+            continue
+        first = re.match(r"(?:\S\.\s)?\S+", m[1])[0].rstrip("'’")
+        out.append((a, a + len(first)))
     return sorted(out)
 
 
@@ -291,9 +299,11 @@ def find(text: str | None, lexicon: NameLexicon) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(t):
             if not (" " in m[0] and m[0].split("@")[0].strip().isdigit()):
                 take(m.start(), m.end(), "email")
-    if any(h in t for h in _ADDRESS_HINT):
-        for m in _ADDRESS.finditer(t):
-            take(m.start(), m.end(), "address")
+    for m in _ADDRESS.finditer(t):
+        take(m.start(), m.end(), "address")
+    for at, _, length, _ in form.pieces:
+        if _SPOKEN_PHONE.fullmatch(t, at, at + length) and not t[at + length : at + length + 1].isalnum():
+            take(at, at + length, "phone")
     upto = 0
     for run in _RUN.finditer(t):
         a, b = max(upto, run.start() - 8), min(len(t), run.end() + _BEYOND)

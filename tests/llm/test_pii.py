@@ -72,3 +72,22 @@ def test_long_extensions(phone):
     text = f"Call {phone} now."
     assert [(k, text[a:b]) for a, b, k in find(text, LEXICON)] == [("phone", phone)]
     assert find(f"Call {phone}", LEXICON)[0][:2] == (5, 5 + len(phone))
+
+
+@pytest.mark.parametrize(
+    ("kind", "item"),
+    [
+        *(("email", e) for e in ("zo@firm[dot]example", "zo@firm (punkt) example", "zo [ at ] firm.example", "zo<at>firm.example", "zo{@}firm.example", "zo(At)firm.example", "zo (chez) firm.example", "zo[arroba]firm[.]example")),
+        *(("phone", p) for p in ("two one two five five five three one four five", "SEVEN ONE TWO FIVE FIVE FIVE THREE ONE FOUR FIVE", "Oh two oh five five five three one four five", "nought two one five five five three one four five", "Fünf eins zwei drei vier eins zwei drei vier fünf")),
+        *(("address", a) for a in ("12 Tevwood Crescent", "12 Tevwood Square", "12 Tevwood Mews", "12 Tevwood Walk", "Nephurstring 35", "Nephurstdamm 35", "Nephurstufer 35", "An der Nephurst 35", "Im Nephurst 3", "Zum Nephurst 3", "Unter den Linden 5", "B.P. 12", "BP 12", "Avda. Nephurst, 3", "Camino Nephurst 3", "Ronda Nephurst 3")),
+        *(("address", a) for a in ("3 place Nephurst", "3, allée des Nephurst", "3 cours Nephurst", "3 square Nephurst")),
+    ],
+)
+def test_no_form_needs_another_hint(kind, item):
+    text = f"It goes to {item}."
+    assert [(k, text[a:b]) for a, b, k in find(text, LEXICON)] == [(kind, item)]
+
+
+def test_titles_need_no_hint():
+    assert masked("Mlle Unbekannt and Mx Unseen ring", LEXICON) == "Mlle [NAME] and Mx [NAME] ring"
+    find("fİve ſix ſeven one two three four five six", LEXICON)
