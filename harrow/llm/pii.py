@@ -6,8 +6,8 @@ the source it came from. Mail addresses, phone numbers, identity numbers and str
 are found in the normal form by their grammar, names by a lexicon and by salutations; the
 spans are then mapped back, so what comes out is text exactly as it stands in the source.
 
-The lexicon of names is learned from columns of given names and surnames: the most frequent
-ones, up to a documented bound, are broadcast.
+The names are all those of columns of given names and surnames. Up to a documented bound they
+are broadcast; more are joined by hash with the words of the documents, with the same result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.barrier import once
+from ..operators.skew import join_counted
 
 KINDS = ("email", "phone", "id", "address", "name")
 
@@ -354,37 +355,95 @@ def learn_lexicon(people: DataFrame, given: str = "first_name", surname: str = "
     return NameLexicon(top(given), top(surname))
 
 
-def with_items(documents: DataFrame, lexicon: NameLexicon, text: str = "text", out: str = "items") -> DataFrame:
-    """Add the items of each text: array of (start, end, kind, pii_text), offsets in code points from 0.
+def all_names(people: DataFrame, given: str = "first_name", surname: str = "last_name") -> DataFrame:
+    """(w, given, surname): every given name and surname of a table, lower case, each word once.
 
-    NULL, empty and blank texts get an empty array. Whole texts are searched. No shuffle.
+    Blank values, values with digits and single letters are left out.
     """
+
+    def words(column: str, first: bool) -> DataFrame:
+        word = F.explode(F.split(F.lower(F.trim(F.col(column).cast("string"))), r"[\s -]+"))
+        return people.select(word.alias("w")).where(r"w rlike '^[\\p{L}\\p{M}]{2,}$'").withColumns({"given": F.lit(first), "surname": F.lit(not first)})
+
+    return words(given, True).unionByName(words(surname, False)).groupBy("w").agg(F.max("given").alias("given"), F.max("surname").alias("surname"))
+
+
+def candidates(text: str | None) -> list[str]:
+    """Every word of a text that ``names_in`` may look up, lower case, each once."""
+    if not text:
+        return []
+    form = normal_form(text).text
+    words = {*_WORD.findall(form.lower()), *(w.lower() for w in _WORD.findall(form))}
+    words |= {re.sub(r"['’]s$", "", w) for w in words}
+    return sorted(words | {p for w in words if "-" in w for p in w.split("-")})
+
+
+def _by_names(documents: DataFrame, people: DataFrame, text: str, out: str, kind: str, read: Callable, bound: int) -> DataFrame:
+    """Add ``read(text, lexicon)`` for each text, where the lexicon holds all names of ``people`` that the text may need.
+
+    Up to ``bound`` names are broadcast. More are joined by hash with the words of each
+    distinct text (by its SHA-256), and each text gets the names among its own words.
+    """
+    names = all_names(people)
+    few = names.limit(bound + 1).collect()
+    if len(few) <= bound:
+        return _with_lexicon(documents, NameLexicon(frozenset(r.w for r in few if r.given), frozenset(r.w for r in few if r.surname)), text, out, kind, read)
+
+    @F.pandas_udf("array<string>")
+    def words_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([candidates(t) for t in part], dtype=object)
+
+    @F.pandas_udf(kind)
+    def reading(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, given, surnames in parts:
+            none = ()
+            yield pd.Series([read(t, NameLexicon(frozenset(none if g is None else g), frozenset(none if n is None else n))) for t, g, n in zip(texts, given, surnames, strict=True)], dtype=object)
+
+    whole = F.col(text).cast("string")
+    words = documents.select(F.sha2(whole, 256).alias("_hw_text"), F.explode(once(words_of)(whole)).alias("w"))
+    met = join_counted(words, names, "w").groupBy("_hw_text").agg(
+        F.collect_set(F.when(F.col("given"), F.col("w"))).alias("_hw_given"), F.collect_set(F.when(F.col("surname"), F.col("w"))).alias("_hw_surnames")
+    )
+    held = documents.withColumn("_hw_text", F.sha2(whole, 256)).join(met, "_hw_text", "left")
+    return held.withColumn(out, once(reading)(whole, "_hw_given", "_hw_surnames")).drop("_hw_text", "_hw_given", "_hw_surnames")
+
+
+def _with_lexicon(documents: DataFrame, lexicon: NameLexicon, text: str, out: str, kind: str, read: Callable) -> DataFrame:
+    """Add ``read(text, lexicon)`` for each text, with one broadcast lexicon. No shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
 
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string,pii_text:string>>")
-    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def reading(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
         for part in parts:
-            yield pd.Series([[{"start": a, "end": b, "kind": k, "pii_text": t[a:b]} for a, b, k in find(t, known)] for t in part], dtype=object)
+            yield pd.Series([read(t, known) for t in part], dtype=object)
 
-    return documents.withColumn(out, once(items)(F.col(text).cast("string")))
+    return documents.withColumn(out, once(reading)(F.col(text).cast("string")))
 
 
-def found_items(documents: DataFrame, people: DataFrame) -> DataFrame:
-    """(doc_id, kind, pii_text): each distinct item of each document."""
-    found = with_items(documents.select("doc_id", "text"), learn_lexicon(people))
-    distinct = F.array_distinct(F.transform("items", lambda i: F.struct(i["kind"].alias("kind"), i["pii_text"].alias("pii_text"))))
-    return found.select("doc_id", F.explode(distinct).alias("item")).select("doc_id", "item.kind", "item.pii_text")
+_ITEMS = "array<struct<start:int,end:int,kind:string,pii_text:string>>"
 
 
-def with_masked(documents: DataFrame, people: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:
-    """Add the text with typed placeholders in place of personal data; NULL stays NULL and empty text empty."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn_lexicon(people))
+def _items(text: str | None, lexicon: NameLexicon) -> list[dict]:
+    return [{"start": a, "end": b, "kind": k, "pii_text": text[a:b]} for a, b, k in find(text, lexicon)]
+
+
+def with_items(documents: DataFrame, lexicon: NameLexicon, text: str = "text", out: str = "items") -> DataFrame:
+    """Add the items of each text: array of (start, end, kind, pii_text), offsets in code points from 0.
+
+    NULL, empty and blank texts get an empty array. Whole texts are searched. No shuffle.
+    """
+    return _with_lexicon(documents, lexicon, text, out, _ITEMS, _items)
+
+
+def found_items(documents: DataFrame, people: DataFrame, bound: int = 2 * LEXICON_BOUND) -> DataFrame:
+    """(doc_id, kind, pii_text): each distinct item of each document; up to ``bound`` names are broadcast."""
+    found = _by_names(documents.select("doc_id", "text"), people, "text", "items", _ITEMS, _items, bound)
+    distinct = F.array_distinct(F.transform("items", lambda i: F.struct(i["kind"].alias("kind"), i["pii_text"].alias("pii_text"))))
+    return found.select("doc_id", F.explode(distinct).alias("item")).select("doc_id", "item.kind", "item.pii_text")
 
-    @F.pandas_udf("string")
-    def mask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        for part in parts:
-            yield pd.Series([masked(t, known) for t in part], dtype=object)
 
-    return documents.withColumn(out, once(mask)(F.col(text).cast("string")))
+def with_masked(documents: DataFrame, people: DataFrame, text: str = "text", out: str = "masked", bound: int = 2 * LEXICON_BOUND) -> DataFrame:
+    """Add the text with typed placeholders in place of personal data; NULL stays NULL and empty text empty. Up to ``bound`` names are broadcast."""
+    return _by_names(documents, people, text, out, "string", masked, bound)

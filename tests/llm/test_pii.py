@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from harrow.llm.pii import NameLexicon, find, found_items, learn_lexicon, masked, normal_form
+from harrow.llm.pii import NameLexicon, find, found_items, learn_lexicon, masked, normal_form, with_masked
 
 LEXICON = NameLexicon(frozenset(("ana", "søren", "małgorzata", "hana", "luca")), frozenset(("nibheim", "kekström", "kammoor", "fodez", "movquist")))
 
@@ -91,3 +91,13 @@ def test_no_form_needs_another_hint(kind, item):
 def test_titles_need_no_hint():
     assert masked("Mlle Unbekannt and Mx Unseen ring", LEXICON) == "Mlle [NAME] and Mx [NAME] ring"
     find("fİve ſix ſeven one two three four five six", LEXICON)
+
+
+@pytest.mark.parametrize("bound", [100, 0])
+def test_every_name_counts(spark, bound):
+    people = spark.createDataFrame([("Ana", "Nibheim")] * 3 + [("Once", "Only"), ("Jo-Ann", "Kek"), (None, "")], "first_name string, last_name string")
+    docs = spark.createDataFrame([(1, "Once Only met Ana Nibheim's heir, once."), (1, "Ann-Jo Kek; Ana-Ann, Only, Ana"), (2, None), (None, "Once Only met Ana Nibheim's heir, once."), (3, "")], "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.kind, r.pii_text) for r in found_items(docs, people, bound=bound).collect())
+    assert found == sorted([*((d, "name", n) for d in (0, 1) for n in ("Once Only", "Ana Nibheim")), (1, "name", "Ann-Jo Kek"), (1, "name", "Ana-Ann"), (1, "name", "Only, Ana")])
+    hidden = sorted((r.doc_id or 0, r.masked or "") for r in with_masked(docs, people, bound=bound).collect())
+    assert hidden == sorted([(0, "[NAME] met [NAME]'s heir, once."), (1, "[NAME]; [NAME], [NAME]"), (1, "[NAME] met [NAME]'s heir, once."), (2, ""), (3, "")])
