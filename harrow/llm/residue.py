@@ -10,9 +10,10 @@ masked, recurs as a template on several hosts.
 *Slots.* Records of the same template are aligned on the words next to each variable-like
 token: tokens with the same words before (or after) them form a column of the template. A
 column that differs between records is a slot, and a slot that still has a variable name, a
-default or a blank in it was not filled. A column with the same token in every record on
-several hosts is part of the text: the page speaks of such a token. Columns are found by
-map-side combined aggregation over all records.
+default or a blank in it was not filled. A column is part of the text, which speaks of such
+a token, if neither side of it varies, it stands on several hosts, and no record has other
+words in its place in the same sentence. Columns are found by map-side combined aggregation
+over all records, other words by a join of sentences on the words beside a token.
 """
 
 from __future__ import annotations
@@ -58,6 +59,12 @@ def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
 
     Certain are a token that is all there is of a sentence, and a default that asks to be replaced.
     """
+    sure, found = fields_of(texts)
+    return sure, [f[:3] for f in found]
+
+
+def fields_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str, str, str]]]:
+    """As ``slots_of``, with all words of the sentence before and after each field, up to the next field (see ``line_of``)."""
     sure, found = False, []
     whole = "\n".join(texts)
     if not any(sign in whole for sign in _QUICK):
@@ -76,10 +83,23 @@ def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
                 if not before and not after:
                     sure = True
                 else:
-                    found.append((" ".join(before) if len(before) == 2 else "", " ".join(after) if len(after) == 2 else "", token))
+                    found.append((" ".join(before) if len(before) == 2 else "", " ".join(after) if len(after) == 2 else "", token, line_of(sentence[:edge]).removesuffix(" $").rpartition("{}")[2].strip(), line_of(sentence[m.end() :]).removeprefix("^ ").partition("{}")[0].strip()))
     return sure, found
 
 
+def line_of(sentence: str) -> str:
+    """The words of a sentence between ^ and $, with {} for each field."""
+    if any(sign in sentence for sign in _QUICK):
+        at, words = 0, []
+        for m in VARIABLE.finditer(sentence):
+            words += [*_WORDS.findall(sentence[at : m.start()].lower()), "{}"]
+            at = m.end()
+        words += _WORDS.findall(sentence[at:].lower())
+    else:
+        words = _WORDS.findall(sentence.lower())
+    return " ".join(["^", *words, "$"])
+
+
 def paragraphs(blocks: list[Block]) -> list[str]:
     """The texts of blocks; a line that continues the element of the line before is joined to it."""
     out: list[str] = []
@@ -116,30 +136,55 @@ def template_of(texts: list[str], host: str) -> str:
 
 
 def signs(df: DataFrame) -> DataFrame:
-    """One row for each record with something to judge: fetch_id, sure, host, template, slots."""
-    schema = "fetch_id long, sure boolean, host string, template string, slots array<struct<before:string,after:string,token:string>>"
+    """One row for each record with something to judge: fetch_id, sure, host, template, slots.
+
+    Rows without ``fetch_id`` hold in ``lines`` the distinct sentences of many records.
+    """
+    schema = "fetch_id long, sure boolean, host string, template string, slots array<struct<before:string,after:string,token:string,pre:string,post:string>>, lines array<string>"
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = field_here()
         for part in parts:
             rows = []
+            sentences: set[str] = set()
             for fetch_id, url, body, error in zip(part["fetch_id"], part["url"], part["body"], part["error"], strict=True):
                 blocks = blocks_of(body)
                 kind, main = judged(blocks, field.decode(blocks))
-                sure, slots = (False, []) if not blocks else slots_of(paragraphs(blocks))
+                texts = paragraphs(blocks)
+                sure, slots = fields_of(texts)
+                for t in texts:
+                    sentences.update(_SENTENCE.split(t))
                 sure = sure or kind in ("notice", "filler") or unfilled_error(error)
                 host = host_of(url)
                 template = None
                 if not sure and 0 < len(main) <= 3 and all(len(b.text) <= 120 for b in main) and _WEAK.search(main[0].text):
                     template = template_of([b.text for b in main], host)
                 if sure or slots or template:
-                    rows.append((fetch_id, sure, host, template, [{"before": a, "after": b, "token": t} for a, b, t in dict.fromkeys(slots)]))
-            yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "slots"])
+                    rows.append((fetch_id, sure, host, template, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
+            rows.append((None, False, None, None, [], list({line_of(t) for t in sentences})))
+            yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "slots", "lines"]).astype({"fetch_id": "Int64"})
 
     columns = ["fetch_id", *[F.col(c).cast("string").alias(c) for c in ("url", "body", "error")]]
     return df.select(*columns).where("fetch_id IS NOT NULL").mapInPandas(judge, schema)
 
 
+def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
+    """The (pre, post) of ``fields`` between which some line has other words.
+
+    Lines and fields meet on two neighbouring words, those before a field or those behind it.
+    """
+    ends = F.split("pre", " ").alias("a"), F.split("post", " ").alias("b")
+    asked = fields.select("pre", "post").distinct().select("pre", "post", *ends)
+    key = F.when(F.size("a") > 1, F.array_join(F.slice("a", -2, 2), " ")).when(F.size("b") > 1, F.array_join(F.slice("b", 1, 2), " "))
+    asked = asked.select("pre", "post", key.alias("key")).where("key IS NOT NULL")
+    words = F.split("line", " ")
+    pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
+    met = lines.select("line", F.explode(pairs).alias("key")).join(asked, "key")
+    rest = F.expr("CASE WHEN pre = '' THEN concat(' ', line, ' ') WHEN locate(concat(' ', pre, ' '), concat(' ', line, ' ')) > 0 THEN substring(concat(' ', line, ' '), locate(concat(' ', pre, ' '), concat(' ', line, ' ')) + length(pre) + 1) END")
+    gap = F.expr("CASE WHEN post = '' THEN split(trim(rest), ' ')[0] WHEN pre = '' THEN element_at(split(trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)), ' '), -1) WHEN locate(concat(' ', post, ' '), rest) > 1 THEN trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)) END")
+    return met.withColumn("rest", rest).withColumn("gap", gap).where("gap NOT IN ('', '^', '$') AND NOT contains(gap, '{}')").select("pre", "post").distinct()
+
+
 def found_residue(df: DataFrame, hosts: int = 3) -> DataFrame:
     """(fetch_id) of the records that are residue, each once.
 
@@ -148,19 +193,22 @@ def found_residue(df: DataFrame, hosts: int = 3) -> DataFrame:
     an empty result. Texts are taken whole.
     """
     seen = checkpointed(signs(df))
-    total = seen.count()
+    total = seen.where("fetch_id IS NOT NULL").count()
     sure = seen.where("sure").select("fetch_id")
     open_slots = seen.where("NOT sure").select("fetch_id", "host", F.posexplode("slots").alias("at", "slot")).select(
-        "fetch_id", "host", "at", F.col("slot.token").alias("token"),
+        "fetch_id", "host", "at", F.col("slot.token").alias("token"), F.col("slot.pre").alias("pre"), F.col("slot.post").alias("post"),
         F.when(F.col("slot.before") != "", F.concat(F.lit("< "), "slot.before")).alias("left"),
         F.when(F.col("slot.after") != "", F.concat(F.lit("> "), "slot.after")).alias("right"),
     )
-    keyed = open_slots.select("fetch_id", "at", "host", "token", F.explode(F.array("left", "right")).alias("key")).where("key IS NOT NULL")
+    keyed = open_slots.select("fetch_id", "at", "host", "token", "pre", "post", F.explode(F.array("left", "right")).alias("key")).where("key IS NOT NULL")
     columns = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("token").alias("t0"), F.max("token").alias("t1"), F.min("host").alias("h0"), F.max("host").alias("h1")
     )
-    constant = columns.where("t0 = t1 AND h0 <> h1").select("key", "n")
-    spoken = attach_counted(keyed, constant, "key", total * 2).select("fetch_id", "at").distinct()
+    columns = columns.select("key", "n", F.expr("t0 <> t1").alias("varies"), F.expr("h0 <> h1").alias("spread"))
+    sides = attach_counted(keyed, columns, "key", total * 2).groupBy("fetch_id", "at", "pre", "post").agg(F.max("varies").alias("varies"), F.max("spread").alias("spread"))
+    constant = checkpointed(sides.where("NOT varies AND spread").select("fetch_id", "at", "pre", "post"))
+    lines = seen.where("fetch_id IS NULL").select(F.explode("lines").alias("line"))
+    spoken = constant.join(filled(lines, constant), ["pre", "post"], "left_anti").select("fetch_id", "at")
     unfilled = open_slots.join(spoken, ["fetch_id", "at"], "left_anti").select("fetch_id")
     short = seen.where("template IS NOT NULL").select("fetch_id", "template", "host")
     repeated = short.groupBy("template", "host").agg(F.count(F.lit(1)).alias("c")).groupBy("template").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where(F.col("k") >= hosts)

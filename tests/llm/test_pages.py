@@ -86,3 +86,12 @@ def test_residue(spark):
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "fetch_id long, url string, body string, error string, template string")
     assert sorted(r.fetch_id for r in found_residue(df).collect()) == [3, 4, 5, 7]
+
+
+def test_leftovers_that_recur(spark):
+    said = "<p>Our label tool swaps {{name}} for the buyer's name before the press starts.</p>"
+    left = "<h1>About us</h1>\n<p>Welcome to {{city}}, your partner for everyday work.</p>"
+    blank = "<h1>About us</h1>\n<p>We serve customers in , and we answer the same day.</p>"
+    pages = [(1, "a", said), (2, "b", said), (3, "c", left), (4, "d", left), (5, "e", left.replace("{{city}}", "Rapholm Bay")), (6, "f", blank), (7, "g", blank), (8, "h", blank.replace(" ,", " Kidford,"))]
+    df = spark.createDataFrame([(i, f"https://{h}.example", body, "") for i, h, body in pages], "fetch_id long, url string, body string, error string")
+    assert sorted(r.fetch_id for r in found_residue(df).collect()) == [3, 4, 6, 7]
