@@ -45,7 +45,7 @@ def plain_blocks(text: str) -> list[Block]:
 
 def is_markup(text: str) -> bool:
     """Whether a body is HTML rather than plain text."""
-    return "<" in text and re.search(r"<(?:!doctype|html|body|head|div|p|h[1-6]|li|span|table|section|nav|main|center|title)\b", text[:4000] if len(text) > 4000 else text, re.I) is not None
+    return "<" in text and re.search(r"<(?:!doctype|html|body|head|div|p|h[1-6]|li|span|table|section|nav|main|center|title)\b", text, re.I) is not None
 
 
 def html_blocks(body: str) -> list[Block]:

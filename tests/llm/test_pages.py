@@ -95,3 +95,8 @@ def test_leftovers_that_recur(spark):
     pages = [(1, "a", said), (2, "b", said), (3, "c", left), (4, "d", left), (5, "e", left.replace("{{city}}", "Rapholm Bay")), (6, "f", blank), (7, "g", blank), (8, "h", blank.replace(" ,", " Kidford,"))]
     df = spark.createDataFrame([(i, f"https://{h}.example", body, "") for i, h, body in pages], "fetch_id long, url string, body string, error string")
     assert sorted(r.fetch_id for r in found_residue(df).collect()) == [3, 4, 6, 7]
+
+
+def test_markup_is_looked_for_in_whole_texts():
+    body = "<script>\n" + "var a = 1;\n" * 1000 + "</script>\n<p>Our planners sit next to the people who carry out gate readers.</p>"
+    assert [b.text for b in blocks_of(body)] == ["Our planners sit next to the people who carry out gate readers."]
