@@ -3,9 +3,9 @@
 Two lines of evidence are brought together.
 
 *Whole pages.* The blocks of a page's main body (see ``boilerplate``) are judged one by one.
-If none says anything of its own and some are notices or filler, the page is one. A short
-page with a weaker cue counts if its whole text, with numbers and the page's own names
-masked, recurs as a template on several hosts.
+If none says anything of its own and some are notices or filler, the page is one. Any other
+page counts if its whole main text, with numbers and the page's own names masked, recurs as
+a template: on several hosts where it holds a weaker cue, on more of them where it holds none.
 
 *Slots.* Records of the same template are aligned on the words next to each variable-like
 token: tokens with the same words before (or after) them form a column of the template. A
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -48,12 +49,23 @@ DEFAULT = re.compile(
 _BLANK = re.compile(r"\b(?:to|in|of|at|by|from|with|dear|hello|hi|choose)\s+(?=[,!?](?:\s|$))", re.I)
 #: What every variable, default or blank has some of.
 _QUICK = ("{", "[", "$", "%", "@", "#", "*|", "__", "<", "TODO", "FIXME", "TBD", "XXX", "INSERT", " here", "(Add", "(add", "(Insert", "(insert", "(Enter", "(enter", " ,", " !", " ?")
-_WEAK = re.compile(r"\b(?:error|sorry|oops|unavailable|denied|blocked|please|try|browser|page|server|request|session|loading|address|link|access|visitors?|service|shop|app|application|content|site)\b", re.I)
+_WEAK = frozenset(
+    "error sorry oops unavailable denied blocked please try browser page server request session loading address link access visitor visitors service shop app application content site "
+    "fehler leider entschuldigung gesperrt blockiert bitte versuchen seite anfrage sitzung adresse zugriff besucher dienst wartung inhalt "
+    "erreur désolé désolée désolés indisponible refusé refusée bloqué bloquée veuillez réessayer réessayez navigateur serveur requête chargement lien accès visiteur visiteurs maintenance contenu "
+    "sentimos disponible denegado bloqueado favor intente inténtelo navegador página servidor solicitud sesión cargando dirección enlace acceso visitante visitantes servicio tienda mantenimiento contenido sitio".split()
+)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _NUMBER = re.compile(r"\d+")
 
 
+#: _WORDS and the sign of a field, for Java.
+_LINE_WORDS = r"\{\}|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+#: Most fields that are broadcast to the sentences.
+SOME_FIELDS = 10_000
+
+
 def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
     """Whether an unfilled field is certain, and the (words before, words after, token) of each possible one.
 
@@ -130,17 +142,18 @@ def template_of(texts: list[str], host: str) -> str:
     out = []
     stem = re.sub(r"[^a-z]", "", host.split(".")[0])
     for t in texts:
-        words = _WORDS.findall(_NUMBER.sub("0", t))
-        out.append(" ".join("*" if stem and len(w) > 3 and w.lower() in stem else w.lower() for w in words))
+        words = _WORDS.findall(_NUMBER.sub("0", t).lower())
+        own = {w for w in words if len(w) > 3 and w in stem} if stem else ()
+        out.append(" ".join(["*" if w in own else w for w in words] if own else words))
     return "\n".join(out)
 
 
 def signs(df: DataFrame) -> DataFrame:
-    """One row for each record with something to judge: fetch_id, sure, host, template, slots.
+    """One row for each record with something to judge: fetch_id, sure, host, template (its hash), cue, slots.
 
-    Rows without ``fetch_id`` hold in ``lines`` the distinct sentences of many records.
+    Rows without ``fetch_id`` hold in ``lines`` the distinct sentences of many records, with {} for each field.
     """
-    schema = "fetch_id long, sure boolean, host string, template string, slots array<struct<before:string,after:string,token:string,pre:string,post:string>>, lines array<string>"
+    schema = "fetch_id long, sure boolean, host string, template string, cue boolean, slots array<struct<before:string,after:string,token:string,pre:string,post:string>>, lines array<string>"
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = field_here()
@@ -156,13 +169,15 @@ def signs(df: DataFrame) -> DataFrame:
                     sentences.update(_SENTENCE.split(t))
                 sure = sure or kind in ("notice", "filler") or unfilled_error(error)
                 host = host_of(url)
-                template = None
-                if not sure and 0 < len(main) <= 3 and all(len(b.text) <= 120 for b in main) and _WEAK.search(main[0].text):
-                    template = template_of([b.text for b in main], host)
+                template, cue = None, False
+                if not sure and main:
+                    text = template_of([b.text for b in main], host)
+                    template = sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if (words := set(text.split())) - {"*", "0"} else None
+                    cue = not _WEAK.isdisjoint(words) or any(not _WEAK.isdisjoint(w.replace("’", "-").replace("'", "-").split("-")) for w in words if not w.isalnum())
                 if sure or slots or template:
-                    rows.append((fetch_id, sure, host, template, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
-            rows.append((None, False, None, None, [], list({line_of(t) for t in sentences})))
-            yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "slots", "lines"]).astype({"fetch_id": "Int64"})
+                    rows.append((fetch_id, sure, host, template, cue, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
+            rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if any(sign in t for sign in _QUICK) else t for t in sentences]))
+            yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "cue", "slots", "lines"]).astype({"fetch_id": "Int64"})
 
     columns = ["fetch_id", *[F.col(c).cast("string").alias(c) for c in ("url", "body", "error")]]
     return df.select(*columns).where("fetch_id IS NOT NULL").mapInPandas(judge, schema)
@@ -171,12 +186,15 @@ def signs(df: DataFrame) -> DataFrame:
 def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
     """The (pre, post) of ``fields`` between which some line has other words.
 
-    Lines and fields meet on two neighbouring words, those before a field or those behind it.
+    Lines are sentences with {} for each field. They and fields meet on two neighbouring words,
+    those before a field or those behind it; up to SOME_FIELDS fields are broadcast.
     """
     ends = F.split("pre", " ").alias("a"), F.split("post", " ").alias("b")
     asked = fields.select("pre", "post").distinct().select("pre", "post", *ends)
     key = F.when(F.size("a") > 1, F.array_join(F.slice("a", -2, 2), " ")).when(F.size("b") > 1, F.array_join(F.slice("b", 1, 2), " "))
     asked = asked.select("pre", "post", key.alias("key")).where("key IS NOT NULL")
+    asked = asked if asked.limit(SOME_FIELDS + 1).count() > SOME_FIELDS else F.broadcast(asked)
+    lines = lines.select(F.array_join(F.concat(F.array(F.lit("^")), F.regexp_extract_all(F.lower("line"), F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$"))), " ").alias("line"))
     words = F.split("line", " ")
     pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
     met = lines.select("line", F.explode(pairs).alias("key")).join(asked, "key")
@@ -185,11 +203,11 @@ def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
     return met.withColumn("rest", rest).withColumn("gap", gap).where("gap NOT IN ('', '^', '$') AND NOT contains(gap, '{}')").select("pre", "post").distinct()
 
 
-def found_residue(df: DataFrame, hosts: int = 3) -> DataFrame:
+def found_residue(df: DataFrame, hosts: int = 3, hosts_alone: int = 10) -> DataFrame:
     """(fetch_id) of the records that are residue, each once.
 
-    A blank or NULL body alone is none. A short page with a weak cue needs its template on
-    ``hosts`` hosts or more. Other columns of ``df`` are not looked at; an empty table gives
+    A blank or NULL body alone is none. A page with a weak cue needs its template on
+    ``hosts`` hosts or more, one without on ``hosts_alone``. Other columns of ``df`` are not looked at; an empty table gives
     an empty result. Texts are taken whole.
     """
     seen = checkpointed(signs(df))
@@ -210,7 +228,8 @@ def found_residue(df: DataFrame, hosts: int = 3) -> DataFrame:
     lines = seen.where("fetch_id IS NULL").select(F.explode("lines").alias("line"))
     spoken = constant.join(filled(lines, constant), ["pre", "post"], "left_anti").select("fetch_id", "at")
     unfilled = open_slots.join(spoken, ["fetch_id", "at"], "left_anti").select("fetch_id")
-    short = seen.where("template IS NOT NULL").select("fetch_id", "template", "host")
-    repeated = short.groupBy("template", "host").agg(F.count(F.lit(1)).alias("c")).groupBy("template").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n")).where(F.col("k") >= hosts)
-    recurrent = attach_counted(short, repeated, "template", total).select("fetch_id")
+    pages = seen.where("template IS NOT NULL").select("fetch_id", "template", "host", "cue")
+    repeated = pages.groupBy("template", "host").agg(F.count(F.lit(1)).alias("c"), F.max("cue").alias("cue")).groupBy("template").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.max("cue").alias("weak"))
+    repeated = repeated.where(F.col("k") >= F.when(F.col("weak"), hosts).otherwise(hosts_alone)).select("template", "n")
+    recurrent = attach_counted(pages, repeated, "template", total).select("fetch_id")
     return sure.unionByName(unfilled).unionByName(recurrent).distinct()

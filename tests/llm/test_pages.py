@@ -100,3 +100,13 @@ def test_leftovers_that_recur(spark):
 def test_markup_is_looked_for_in_whole_texts():
     body = "<script>\n" + "var a = 1;\n" * 1000 + "</script>\n<p>Our planners sit next to the people who carry out gate readers.</p>"
     assert [b.text for b in blocks_of(body)] == ["Our planners sit next to the people who carry out gate readers."]
+
+
+def test_long_templates_in_any_language(spark):
+    four = "<h1>{h}</h1>\n<p>Wir bauen gerade um und sind bald wieder da, versprochen ist versprochen.</p>\n<p>Die {h} Seite zieht heute um.</p>\n<p>" + "Bis dahin liegt alles im Lager bereit. " * 6 + "</p>"
+    alone = "<h1>{h}</h1>\n<p>Twelve crates of oak stand behind the mill, next to the old weir.</p>"
+    hosts = ["acmewood", "bellstone", "cordfield", "dalebrook", "elmhurst", "foxgrove", "gatemoor", "hillcrest", "ivyhouse", "junipers"]
+    rows = [(i, f"https://{h}.example", four.replace("{h}", h.title()), "") for i, h in enumerate(hosts[:3])] + [(10 + i, f"https://{h}.example", alone.replace("{h}", h.title()), "") for i, h in enumerate(hosts)]
+    rows += [(30 + i, f"https://{h}.example", alone.replace("{h}", h.title()).replace("oak", "ash"), "") for i, h in enumerate(hosts[:9])]
+    df = spark.createDataFrame(rows, "fetch_id long, url string, body string, error string")
+    assert sorted(r.fetch_id for r in found_residue(df).collect()) == [0, 1, 2, *range(10, 20)]
