@@ -22,6 +22,8 @@ from ..functions.barrier import settled
 from ..functions.missing import INVISIBLE, is_stand_in, visible
 
 REASONS = ("quoting", "column_count", "email", "company_name")
+#: Most schemas of one load: each becomes patterns of the plan.
+MAX_SCHEMAS = 1_000
 
 #: Java's white-space class for the e-mail pattern.
 _WS = INVISIBLE
@@ -64,9 +66,10 @@ class RowSchema:
 
     @property
     def email(self) -> str:
-        """A field whose trimmed content is a mail address."""
-        bare = rf'[{_WS}&&[^{self._d}\r\n]]*+[^@{_WS}"{self._d}]++@{_HOST}[{_WS}&&[^{self._d}\r\n]]*+'
-        quoted = rf'"[{_WS}]*+(?:[^@{_WS}"]|"")++@{_HOST}[{_WS}]*+"'
+        """A field whose trimmed content is blank or a mail address."""
+        space = rf"[{_WS}&&[^{self._d}\r\n]]*+"
+        bare = rf'{space}(?:[^@{_WS}"{self._d}]++@{_HOST}{space})?+'
+        quoted = rf'"[{_WS}]*+(?:(?:[^@{_WS}"]|"")++@{_HOST}[{_WS}]*+)?+"'
         return f"(?:{quoted}|{bare})"
 
     def prefix(self, fields: dict[int, str], upto: int) -> str:
@@ -124,41 +127,48 @@ def bad_company_name(value: Column) -> Column:
     )
 
 
-def schemas(files: DataFrame, limit: int = 10_000) -> dict[RowSchema, list[int]]:
-    """Distinct schemas of a file list and the file ids of each.
+def schemas(files: DataFrame) -> tuple[dict[int, RowSchema], DataFrame]:
+    """The numbered distinct schemas of a file list, and (file_id, schema number) of each file.
 
-    Only the (delimiter, header) pairs and ids come to the driver. Their number is
-    that of files, not of rows; more than ``limit`` files is refused rather than cut.
+    Only distinct (delimiter, header) pairs come to the driver, where they become patterns of
+    the plan; more than MAX_SCHEMAS are refused rather than cut. Files stay a table: a list of
+    any length is joined (by broadcast as long as Spark finds it small).
     """
-    rows = files.select("file_id", "delim_char", "header_line").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} files: split the load by file")
-    found: dict[RowSchema, list[int]] = {}
-    for r in rows:
-        if r.file_id is None or not r.delim_char or r.header_line is None:
-            continue
-        found.setdefault(RowSchema.of(r.delim_char, r.header_line), []).append(r.file_id)
-    return found
+    spark = files.sparkSession
+    usable = files.where("file_id IS NOT NULL AND delim_char <> '' AND header_line IS NOT NULL").select("file_id", "delim_char", "header_line")
+    pairs = usable.select("delim_char", "header_line").distinct().limit(MAX_SCHEMAS + 1).collect()
+    if len(pairs) > MAX_SCHEMAS:
+        raise ValueError(f"more than {MAX_SCHEMAS} schemas: split the load by schema")
+    pairs = sorted(map(tuple, pairs))
+    found = {i: RowSchema.of(*pair) for i, pair in enumerate(pairs)}
+    numbers = spark.createDataFrame([(*pair, i) for i, pair in enumerate(pairs)], "delim_char string, header_line string, _hw_schema int")
+    own = usable.join(F.broadcast(numbers), ["delim_char", "header_line"]).groupBy("file_id").agg(F.min("_hw_schema").alias("_hw_schema"))
+    return found, own
+
+
+def per_schema(found: dict[int, RowSchema], value, otherwise: Column) -> Column:
+    """One expression of the row's own schema; ``otherwise`` where ``value`` gives None or the schema is unknown."""
+    out = otherwise
+    for number, schema in found.items():
+        if (own := value(schema)) is not None:
+            out = F.when(F.col("_hw_schema") == number, own).otherwise(out)
+    return out
 
 
 def parse_rows(rows: DataFrame, files: DataFrame, line: str = "raw_line", email: str = "Email", company: str = "Company name") -> DataFrame:
     """Add ``parse_reason`` (NULL: loadable) and ``parse_fields`` (array of contents, in header order).
 
-    A row's file must be in ``files``; a row of an unknown file, and a NULL line, gets
-    the reason ``column_count``. A schema without one of the checked columns skips that
-    check. Other columns of ``rows`` pass through, whatever their names. No shuffle:
-    schemas become literals of the plan, so this is one narrow pass over the rows.
+    A row's file must be in ``files`` (of a file listed twice the first schema counts); a row of
+    an unknown file, and a NULL line, gets the reason ``column_count``. A schema without one of
+    the checked columns skips that check; a blank e-mail is loadable. Other columns of ``rows``
+    pass through, whatever their names. One narrow pass over the rows, which stay where they are.
     """
-    by_schema = schemas(files)
-    raw = F.col(line)
+    found, own = schemas(files)
+    return _parsed(rows, found, own, line, email, company).drop("_hw_schema")
+
 
-    def per_schema(value, otherwise):
-        """One expression of the row's own schema."""
-        out = otherwise
-        for schema, ids in by_schema.items():
-            if (own := value(schema)) is not None:
-                out = F.when(F.col("file_id").isin(*ids), own).otherwise(out)
-        return out
+def _parsed(rows: DataFrame, found: dict[int, RowSchema], own: DataFrame, line: str, email: str, company: str) -> DataFrame:
+    raw = F.col(line)
 
     def name_of(schema: RowSchema) -> Column | None:
         i = schema.position(company)
@@ -173,21 +183,21 @@ def parse_rows(rows: DataFrame, files: DataFrame, line: str = "raw_line", email:
 
     known, true, text = F.lit(False), F.lit(True), F.lit(None).cast("string")
     tests = {
-        "_hw_whole": per_schema(lambda s: raw.rlike(s.whole_row(email, company)), known),
-        "_hw_name": per_schema(name_of, text),
-        "_hw_named": per_schema(has_name, known),
+        "_hw_whole": per_schema(found, lambda s: raw.rlike(s.whole_row(email, company)), known),
+        "_hw_name": per_schema(found, name_of, text),
+        "_hw_named": per_schema(found, has_name, known),
     }
-    out = rows.withColumns(tests)
+    out = rows.join(own, "file_id", "left").withColumns(tests)
     bad_name = F.col("_hw_named") & bad_company_name(F.col("_hw_name"))
     broken = (
-        F.when(~per_schema(lambda s: raw.rlike(s.quoting_ok()), true), "quoting")
-        .when(~per_schema(lambda s: raw.rlike(s.count_ok()), known), "column_count")
-        .when(~per_schema(email_ok, true), "email")
+        F.when(~per_schema(found, lambda s: raw.rlike(s.quoting_ok()), true), "quoting")
+        .when(~per_schema(found, lambda s: raw.rlike(s.count_ok()), known), "column_count")
+        .when(~per_schema(found, email_ok, true), "email")
         .when(bad_name, "company_name")
     )
     reason = F.when(raw.isNull(), "column_count").when(F.col("_hw_whole") & ~bad_name, text).otherwise(broken)
     reason = settled(reason)  # a later filter on the verdict would else be pushed down with a copy of every pattern
-    cells = per_schema(lambda s: F.regexp_extract_all(F.concat(F.lit(s.delimiter), raw), F.lit(s.each_field()), F.lit(1)), F.lit(None).cast("array<string>"))
+    cells = per_schema(found, lambda s: F.regexp_extract_all(F.concat(F.lit(s.delimiter), raw), F.lit(s.each_field()), F.lit(1)), F.lit(None).cast("array<string>"))
     out = out.withColumn("parse_reason", reason).drop(*tests)
     return out.withColumn("parse_fields", F.when(F.col("parse_reason").isNull(), F.transform(cells, unquoted)))
 
@@ -203,12 +213,10 @@ def loaded_rows(rows: DataFrame, files: DataFrame, names: list[str]) -> DataFram
 
     A name that a file's header lacks is NULL in that file's rows.
     """
-    out = parse_rows(rows.select("line_id", "file_id", "raw_line"), files).where("parse_reason IS NULL")
+    found, own = schemas(files)
+    out = _parsed(rows.select("line_id", "file_id", "raw_line"), found, own, "raw_line", "Email", "Company name").where("parse_reason IS NULL")
     columns = []
     for name in names:
-        value = F.lit(None).cast("string")
-        for schema, ids in schemas(files).items():
-            if (i := schema.position(name)) is not None:
-                value = F.when(F.col("file_id").isin(*ids), F.col("parse_fields")[i]).otherwise(value)
+        value = per_schema(found, lambda s, name=name: None if (i := s.position(name)) is None else F.col("parse_fields")[i], F.lit(None).cast("string"))
         columns.append(value.alias(re.sub(r"\W+", "_", name).lower()))
     return out.select("line_id", "file_id", *columns)

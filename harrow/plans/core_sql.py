@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.missing import STAND_INS
-
+#: Written out here as well, so that the statement does not share a mistake with the operator.
+_WORDS = (
+    "n/a", "n.a", "na", "none", "null", "nil", "nan", "unknown", "tbd", "tba", "tbc", "x", "xx", "xxx", "to be confirmed", "to be announced", "to be determined",
+    "not available", "not applicable", "not provided", "not known", "missing", "empty", "blank", "undefined", "no value", "no data",
+)
 _INV = r"\s\p{Z}\p{Cf}\x{0085}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}"
 _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -14,8 +17,8 @@ def _q(s: str) -> str:
 
 
 def _rejected() -> str:
-    words = ", ".join(_q(w) for w in STAND_INS)
-    tight = ", ".join(_q(w.replace(" ", "")) for w in STAND_INS)
+    words = ", ".join(_q(w) for w in _WORDS)
+    tight = ", ".join(_q(w.replace(" ", "")) for w in _WORDS)
     return rf"""
 WITH f AS (SELECT *, regexp_escape(delim_char) AS d, string_split(header_line, delim_char) AS h FROM lead_files),
 g AS (SELECT *, '(?:"[^"]*(?:""[^"]*)*"|[^"' || d || '\r\n]*)' AS field FROM f),
@@ -30,10 +33,10 @@ SELECT line_id, CASE
   WHEN raw_line IS NULL OR field IS NULL THEN 'column_count'
   WHEN NOT quoted THEN 'quoting'
   WHEN len(cells) <> len(h) THEN 'column_count'
-  WHEN NOT regexp_full_match(regexp_replace(mail, '^[{_INV}]+|[{_INV}]+$', '', 'g'), '[^@{_INV}]+@{_HOST}') THEN 'email'
+  WHEN NOT regexp_full_match(regexp_replace(mail, '^[{_INV}]+|[{_INV}]+$', '', 'g'), '(?:[^@{_INV}]+@{_HOST})?') THEN 'email'
   ELSE 'company_name' END AS reason
 FROM n WHERE raw_line IS NULL OR field IS NULL OR NOT quoted OR len(cells) <> len(h)
-  OR NOT regexp_full_match(regexp_replace(mail, '^[{_INV}]+|[{_INV}]+$', '', 'g'), '[^@{_INV}]+@{_HOST}')
+  OR NOT regexp_full_match(regexp_replace(mail, '^[{_INV}]+|[{_INV}]+$', '', 'g'), '(?:[^@{_INV}]+@{_HOST})?')
   OR bare = '' OR bare IN ({words}) OR replace(bare, ' ', '') IN ({tight}) OR NOT regexp_matches(name, '\pL') OR regexp_matches(name, '\x{{FFFD}}|[\x00-\x09\x0B\x0C\x0E-\x1F\x7F-\x9F]')
   OR low IN ('true', 'false', 'yes', 'no') OR regexp_full_match(low, '#[a-z0-9/]+[!?]?')
   OR regexp_full_match(low, '[+-]?[\d.,'' ]+(?:e[+-]?\d+|[%a-z€$£]{{1,3}})?')

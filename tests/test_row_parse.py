@@ -19,7 +19,16 @@ CASES = [
     (1, "a@b.example,Acme", "column_count"),
     (1, "a@b.example,Acme,w,", "column_count"),
     (1, "", "column_count"),
-    (1, ",Acme,w", "email"),
+    (1, ",Acme,w", None),
+    (1, " ,Acme,w", None),
+    (1, '"",Acme,w', None),
+    (1, '" \n",Acme,w', None),
+    (1, "\u00a0\u200b,Acme,w", None),
+    (2, "x||Acme", None),
+    (1, ",N/A,w", "company_name"),
+    (1, ",,w", "company_name"),
+    (1, "n/a,Acme,w", "email"),
+    (1, "-,Acme,w", "email"),
     (1, "a b@c.example,Acme,w", "email"),
     (1, "a@b@c.example,Acme,w", "email"),
     (1, "a@example,Acme,w", "email"),
@@ -66,10 +75,13 @@ def test_reasons(parsed):
 def test_loaded_fields(parsed):
     rows, files = parsed
     got = {r.line_id: r for r in loaded_rows(rows, files, ["Email", "Company name", "City"]).collect()}
+    at = {line: i for i, (_, line, _) in enumerate(CASES)}
     assert set(got) == {i for i, (_, _, want) in enumerate(CASES) if want is None}
     assert got[1].company_name == 'Acme, "Foods"\nInc'
-    assert (got[30].email, got[30].company_name) == ("a@b.example", "Acme")
-    assert (got[32].email, got[32].city) == (None, "goes")
+    quoted = got[at['x|"a@b.example"|"Acme | Co"']]
+    assert (quoted.email, quoted.company_name) == ("a@b.example", "Acme | Co")
+    other = got[at["anything\tgoes"]]
+    assert (other.email, other.city) == (None, "goes")
 
 
 def test_patterns_are_anchored_and_growing():
