@@ -219,7 +219,7 @@ def acceptable(col: Column, least: int = 6) -> Column:
     metric = r"(?i)\b\d+(?:\.\d+)?%|\b\d+[kmb]\+?\b|\b\d+\+\s+years?\b|\b(?:million|billion)\b"
     return (
         F.size(parts).between(least, 42)
-        & (first_phrase(col, BLOCKED_PHRASES) == "")
+        & ~low.rlike("|".join(BLOCKED_PHRASES))
         & ~col.rlike(metric)
         & (bars <= 1)
         & (slashes <= 3)

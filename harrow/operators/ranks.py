@@ -10,8 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of consecutive ids that share a bucket.
-BUCKET_IDS = 50_000
+#: Rows that share a bucket, on average.
+BUCKET_ROWS = 50_000
+
+
+def range_bucket(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> Column:
+    """The number of a row's bucket by a whole-number column, NULL last: buckets of equal width, ``rows`` rows each on average.
+
+    The width follows from the column's range over ``df`` (scalar subqueries: one pass, which
+    for stored columns reads that column alone), so the number of buckets, which the running
+    sums go over, is that of the rows divided by ``rows`` even if numbers are sparse.
+    """
+    value = F.col(order).cast("decimal(20,0)")
+    facts = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) * rows / F.greatest(F.col("n"), F.lit(1))))
+    both = facts.select(F.struct(F.coalesce("lo", F.lit(0)).cast("decimal(20,0)").alias("lo"), F.coalesce(width, F.lit(1)).cast("decimal(20,0)").alias("width")).alias("f")).scalar()
+    return F.coalesce(F.floor((value - both["lo"]) / both["width"]).cast("long"), F.lit(2**62))
 
 
 def ranked(df: DataFrame, group: list[str], bucket: list[Column], order: list[Column], out: str = "rank", size: str | None = None) -> DataFrame:
@@ -54,9 +68,9 @@ def overflow(pairs: DataFrame, value: str, key: str, salt: str, allowed: int) ->
     return placed.where(F.col("_hw_k") > max(allowed, 1)).select(value, key)
 
 
-def running_total(df: DataFrame, seq: str, amount: Column, out: str = "total", bucket_ids: int = BUCKET_IDS) -> DataFrame:
+def running_total(df: DataFrame, seq: str, amount: Column, out: str = "total", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add the sum of ``amount`` over all rows up to this one by ``seq`` (unique whole numbers); amounts must be integers."""
-    held = df.withColumns({"_hw_a": amount, "_hw_b": F.floor(F.col(seq) / bucket_ids)})
+    held = df.withColumns({"_hw_a": amount, "_hw_b": range_bucket(df, seq, bucket_rows)})
     totals = held.groupBy("_hw_b").agg(F.sum("_hw_a").alias("_hw_s"))
     before = F.coalesce(F.sum("_hw_s").over(Window.partitionBy(F.lit(0)).orderBy("_hw_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     right = totals.select(F.col("_hw_b").alias("_hw_rb"), before.alias("_hw_before"))
@@ -67,13 +81,13 @@ def running_total(df: DataFrame, seq: str, amount: Column, out: str = "total", b
 
 def split_total(df: DataFrame, group: list[str], order: str, total: int, out: str = "share") -> DataFrame:
     """Deal ``total`` whole units to the rows of each group; the first rows by ``order`` get what does not divide."""
-    placed = ranked(df, group, [F.floor(F.col(order) / BUCKET_IDS)], [F.col(order)], out="_hw_k", size="_hw_size")
+    placed = ranked(df, group, [range_bucket(df, order)], [F.col(order)], out="_hw_k", size="_hw_size")
     share = F.floor(F.lit(total) / F.col("_hw_size")) + F.when(F.col("_hw_k") <= F.lit(total) % F.col("_hw_size"), 1).otherwise(0)
     return placed.withColumn(out, share.cast("long")).drop("_hw_k", "_hw_size")
 
 
 def chunked(df: DataFrame, order: str, per_call: int, calls_per_wave: int) -> DataFrame:
     """Add ``call_no`` and ``wave_no`` (from 1): rows by ``order`` in calls of a size, calls in waves of a size."""
-    placed = ranked(df, [], [F.floor(F.col(order) / BUCKET_IDS)], [F.col(order)], out="_hw_k")
+    placed = ranked(df, [], [range_bucket(df, order)], [F.col(order)], out="_hw_k")
     call = F.floor((F.col("_hw_k") - 1) / per_call)
     return placed.withColumns({"call_no": (call + 1).cast("long"), "wave_no": (F.floor(call / calls_per_wave) + 1).cast("long")}).drop("_hw_k")

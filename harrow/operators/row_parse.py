@@ -24,6 +24,8 @@ from ..functions.missing import INVISIBLE, is_stand_in, visible
 REASONS = ("quoting", "column_count", "email", "company_name")
 #: Most schemas of one load: each becomes patterns of the plan.
 MAX_SCHEMAS = 1_000
+#: Most files whose schema numbers are broadcast.
+SOME_FILES = 500_000
 
 #: Java's white-space class for the e-mail pattern.
 _WS = INVISIBLE
@@ -131,8 +133,9 @@ def schemas(files: DataFrame) -> tuple[dict[int, RowSchema], DataFrame]:
     """The numbered distinct schemas of a file list, and (file_id, schema number) of each file.
 
     Only distinct (delimiter, header) pairs come to the driver, where they become patterns of
-    the plan; more than MAX_SCHEMAS are refused rather than cut. Files stay a table: a list of
-    any length is joined (by broadcast as long as Spark finds it small).
+    the plan; more than MAX_SCHEMAS are refused rather than cut. Files stay a table: up to
+    SOME_FILES (two numbers each) are marked for broadcast, so that rows need no shuffle; more
+    are joined by hash, with the same result.
     """
     spark = files.sparkSession
     usable = files.where("file_id IS NOT NULL AND delim_char <> '' AND header_line IS NOT NULL").select("file_id", "delim_char", "header_line")
@@ -143,7 +146,7 @@ def schemas(files: DataFrame) -> tuple[dict[int, RowSchema], DataFrame]:
     found = {i: RowSchema.of(*pair) for i, pair in enumerate(pairs)}
     numbers = spark.createDataFrame([(*pair, i) for i, pair in enumerate(pairs)], "delim_char string, header_line string, _hw_schema int")
     own = usable.join(F.broadcast(numbers), ["delim_char", "header_line"]).groupBy("file_id").agg(F.min("_hw_schema").alias("_hw_schema"))
-    return found, own
+    return found, F.broadcast(own) if files.limit(SOME_FILES + 1).count() <= SOME_FILES else own
 
 
 def per_schema(found: dict[int, RowSchema], value, otherwise: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import sha_mod
-from ..operators import html, ranks, rules, tables
+from ..operators import delivery, html, ranks, rules, tables
 from ..operators.skew import join_counted
 from ..sources.tables import table
 
@@ -209,7 +209,7 @@ def contact_ranking(spark, d):
     seniority = F.coalesce(F.array_position(F.array(*map(F.lit, ("Founder/Owner", "C-Suite", "Vice President", "Director", "Manager", "Senior", "entry"))), F.col("job_seniority")), F.lit(0))
     seniority = F.when(seniority > 0, seniority).otherwise(F.lit(99))
     held = leads.withColumns({"t": title, "s": seniority.cast("int")})
-    out = ranks.ranked(held, ["domain"], [F.col("t"), F.col("s"), F.floor(F.col("row_idx") / ranks.BUCKET_IDS)], [F.col("row_idx")], out="contact_rank", size="contact_count")
+    out = ranks.ranked(held, ["domain"], [F.col("t"), F.col("s"), ranks.range_bucket(leads, "row_idx")], [F.col("row_idx")], out="contact_rank", size="contact_count")
     return out.select("row_idx", "domain", "contact_rank", "contact_count")
 
 
@@ -282,10 +282,7 @@ def usage_split(spark, d):
 def included_held_split(spark, d):
     leads = _domains(spark, d, "email").withColumn("key", F.coalesce(T.email_key(F.col("email")), F.lit("")))
     fit = leads.where((F.col("key") != "") & (F.col("domain") != "") & T.email_syntax_ok(F.col("email")))
-    by_email = fit.groupBy("key").agg(F.min("row_idx").alias("first_mail"))
-    by_domain = fit.groupBy("domain").agg(F.min("row_idx").alias("first_domain"))
-    both = join_counted(join_counted(fit, by_email, "key"), by_domain, "domain")
-    return both.select("row_idx", F.when((F.col("row_idx") == F.col("first_mail")) & (F.col("row_idx") == F.col("first_domain")), "included").otherwise("held").alias("status"))
+    return delivery.included_held(fit, "row_idx", "key", "domain").select("row_idx", "status")
 
 
 def _pages(spark, d):
@@ -302,7 +299,7 @@ def page_candidates(spark, d):
 
 
 def page_top_facts(spark, d):
-    return html.best_candidates(html.page_candidates(_pages(spark, d)), ["fetch_id"], 3)
+    return html.top_candidates(_pages(spark, d), 3)
 
 
 def page_digest(spark, d):

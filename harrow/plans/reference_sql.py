@@ -243,6 +243,9 @@ def oracle_sql() -> dict[str, str]:
         "cache_prune_count": f"SELECT event_type, count(*) AS removed FROM events WHERE ts IS NULL OR {age} > {micros} GROUP BY 1",
         "running_budget": f"WITH s AS (SELECT event_id, sum(greatest(round(value * 1000000), 0)::BIGINT) OVER (ORDER BY event_id)::BIGINT AS spent_micros FROM events) SELECT event_id, spent_micros, spent_micros >= {R.BUDGET_MICROS} AS exhausted FROM s",
         "usage_split": "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, user_id, 1000 // n + CASE WHEN k <= 1000 % n THEN 1 ELSE 0 END AS share FROM r",
-        "included_held_split": f"""WITH {_DOMAINS}, f AS (SELECT row_idx, domain, {email('email')} AS key FROM dom WHERE domain <> '' AND {email('email')} <> '' AND {_VALID}),
-          w AS (SELECT row_idx, min(row_idx) OVER (PARTITION BY key) AS a, min(row_idx) OVER (PARTITION BY domain) AS b FROM f) SELECT row_idx, CASE WHEN row_idx = a AND row_idx = b THEN 'included' ELSE 'held' END AS status FROM w""",
+        "included_held_split": f"""WITH RECURSIVE {_DOMAINS}, f AS (SELECT row_idx, domain, {email('email')} AS key FROM dom WHERE domain <> '' AND {email('email')} <> '' AND {_VALID}),
+          walk AS (SELECT row_idx, key, domain, 'open' AS status FROM f UNION ALL
+            SELECT row_idx, key, domain, CASE WHEN first THEN 'included' WHEN bool_or(first) OVER (PARTITION BY key) OR bool_or(first) OVER (PARTITION BY domain) THEN 'held' ELSE 'open' END
+            FROM (SELECT *, row_idx = min(row_idx) OVER (PARTITION BY key) AND row_idx = min(row_idx) OVER (PARTITION BY domain) AS first FROM walk WHERE status = 'open'))
+          SELECT row_idx, status FROM walk WHERE status <> 'open'""",
     }

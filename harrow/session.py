@@ -27,12 +27,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def checkpointed(df):
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (as in
-    tests) a local folder is used.
+    The folder is that of ``spark.checkpoint.dir``. Where it is unset a local session (tests,
+    benches) gets a temporary folder; on a cluster, whose executors could not read each other's
+    local files, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
     return df.checkpoint(eager=True)
