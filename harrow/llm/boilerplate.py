@@ -1,7 +1,7 @@
 """The main body of pages, told from page furniture by a linear-chain conditional random field.
 
 A page is a chain of leaf blocks (lines with visible text). Each block has features of its
-markup (tag, container, link), of its wording (words and pairs of neighbouring words,
+markup (tag, the containers around it, link), of its wording (words, the first and last two,
 length, closing character) and of its place. The field has two labels; its weights were
 trained by ``train_boilerplate`` on labelled pages and are kept in ``boilerplate_model.json``.
 Blocks are labelled jointly by the Viterbi algorithm. A page that shows an error, filler or
@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -26,35 +25,47 @@ from .pages import Block, blocks_of, plain_blocks
 
 MODEL_FILE = Path(__file__).with_name("boilerplate_model.json")
 
-#: How the shortened text of a link to another page ends; never the end of a main line.
-TEASER_ENDS = ("»", "...", "…", "Read more", "(read more)")
-
 _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\d+|[^\w\s]")
 
 
+def _size(n: int) -> int:
+    """The class of a number of tokens."""
+    return 0 if n < 2 else 1 if n < 4 else 2 if n < 7 else 3 if n < 11 else 4 if n < 20 else 5
+
+
+def _end(text: str) -> str:
+    """The class of a text's closing character."""
+    return text[-1] if not text[-1].isalnum() else "0" if text[-1].isdigit() else "a"
+
+
+def tokens_of(text: str) -> list[str]:
+    """The words, numbers (as 0) and signs of a text, lower case."""
+    return _TOKEN.findall(_DIGITS.sub("0", text.lower()))
+
+
+def _menu_feature(menu: int, words: int) -> str:
+    return f"m={'all' if menu == words else 'most' if 2 * menu > words else 'few'}{min(menu, 3)}"
+
+
 def text_features(text: str) -> tuple[list[str], int, str]:
     """Features of a block's wording, its size class and its closing character's class."""
-    tokens = _TOKEN.findall(text)
-    low = [t.lower() if not t.isdigit() else "0" for t in tokens]
-    n = len(low)
-    size = 0 if n < 2 else 1 if n < 4 else 2 if n < 7 else 3 if n < 11 else 4 if n < 20 else 5
-    end = text[-1] if not text[-1].isalnum() else "0" if text[-1].isdigit() else "a"
+    low = tokens_of(text)
+    size, end = _size(len(low)), _end(text)
     out = ["w=" + w for w in dict.fromkeys(low)]
-    out += [f"n={size}", f"e={end}", f"ne={size}{end}", "f=" + (low[0] if low else ""), "z=" + (low[-1] if low else "")]
-    words = [w for w in low if w.isalpha()]
-    menu = sum(w in MENU_WORDS for w in words)
-    if menu:
-        out.append(f"m={'all' if menu == len(words) else 'most' if 2 * menu > len(words) else 'few'}{min(menu, 3)}")
-    if n <= 24:
-        out += [f"b={a} {b}" for a, b in zip(low, low[1:], strict=False)]
+    out += [f"n={size}", f"e={end}", f"ne={size}{end}"]
+    if low:
+        out += ["f=" + " ".join(low[:2]), "z=" + " ".join(low[-2:])]
+        menu = sum(map(MENU_WORDS.__contains__, low))
+        if menu:
+            out.append(_menu_feature(menu, len(low)))
     return out, size, end
 
 
 def place_features(block: Block, size: int, end: str, place: int, left: int) -> list[str]:
     """Features of a block's markup and place; ``place`` and ``left`` count the blocks before and after it, up to a bound."""
     tag, kind = block.tag, block.container
-    out = [f"t={tag}", f"c={kind}", f"l={block.linked}", f"tn={tag}{size}", f"te={tag}{end}", f"tc={tag}|{kind}", f"p={place}", f"r={left}", f"cn={kind}{size}{end}"]
+    out = [f"t={tag}", f"c={kind}", f"l={block.linked}", f"tn={tag}{size}", f"te={tag}{end}", f"tc={tag}|{kind}", f"p={place}", f"r={left}", f"cn={kind}{size}{end}", f"a={block.path}", f"at={block.path}|{tag}"]
     if block.classes:
         out += [f"k={w}" for w in re.split(r"[\s_-]+", _DIGITS.sub("0", block.classes))]
     return out
@@ -76,12 +87,29 @@ class ChainField:
         self.start = start
         self.worded: dict[str, tuple[float, int, str]] = {}
         self.placed: dict[tuple, float] = {}
+        #: The weights of words, without their feature's prefix.
+        self.words = {f[2:]: v for f, v in weights.items() if f.startswith("w=")}
 
     @classmethod
     def load(cls, path: Path = MODEL_FILE) -> ChainField:
         d = json.loads(path.read_text())
         return cls(d["weights"], d["transitions"], d["fresh"], d["start"])
 
+    def wording(self, text: str) -> tuple[float, int, str]:
+        """The summed weights of ``text_features``, and size and end class, without building the features."""
+        low = tokens_of(text)
+        n = len(low)
+        size = _size(n)
+        end = _end(text)
+        get, words = self.weights.get, self.words
+        total = get(f"n={size}", 0.0) + get(f"e={end}", 0.0) + get(f"ne={size}{end}", 0.0)
+        if low:
+            total += get("f=" + " ".join(low[:2]), 0.0) + get("z=" + " ".join(low[-2:]), 0.0)
+            total += sum([words[w] for w in set(low) if w in words])
+            if menu := sum(map(MENU_WORDS.__contains__, low)):
+                total += get(_menu_feature(menu, n), 0.0)
+        return total, size, end
+
     def scores(self, blocks: list[Block]) -> list[float]:
         """How much each block speaks for 'main'. Repeated wordings and surroundings are looked up (memory is bounded)."""
         get = self.weights.get
@@ -92,12 +120,11 @@ class ChainField:
             if worded is None:
                 if len(self.worded) > 50_000:
                     self.worded.clear()
-                words, size, end = text_features(b.text)
-                worded = (sum([get(f, 0.0) for f in words]), size, end)
+                worded = self.wording(b.text)
                 if len(b.text) < 200:
                     self.worded[b.text] = worded
             left = n - 1 - i
-            key = (b.tag, b.linked, b.container, b.classes, worded[1], worded[2], i if i < 4 else 4, left if left < 5 else 5)
+            key = (b.tag, b.linked, b.path, b.classes, worded[1], worded[2], i if i < 4 else 4, left if left < 5 else 5)
             placed = self.placed.get(key)
             if placed is None:
                 if len(self.placed) > 200_000:
@@ -126,19 +153,13 @@ class ChainField:
         return out[::-1]
 
 
-@lru_cache(maxsize=100_000)
-def _known_furniture(text: str) -> bool:
-    """Whether a short line is worded like a known piece of furniture; checked behind the decoding."""
-    return bool(FURNITURE.match(text))
-
-
 def judged(blocks: list[Block], labels: list[bool]) -> tuple[str, list[Block]]:
     """What a page's main blocks amount to, and those blocks.
 
     ``notice``/``filler``: every main block is a notice or filler, or says nothing; ``content``
     if one says something; ``empty`` without a main block or with headings only.
     """
-    main = [b for b, y in zip(blocks, labels, strict=True) if y and b.tag != "noscript" and not b.text.endswith(TEASER_ENDS) and not (len(b.text) <= 80 and _known_furniture(b.text))]
+    main = [b for b, y in zip(blocks, labels, strict=True) if y and b.tag != "noscript"]
     notice = filler = 0
     for b in main:
         t = b.text
@@ -161,7 +182,7 @@ def main_lines(body: str | None, field: ChainField, excerpt: bool = False) -> li
     """The numbers of the lines of a body (or page excerpt) that belong to its main part."""
     blocks = plain_blocks(body) if excerpt and body else blocks_of(body)
     kind, main = judged(blocks, field.decode(blocks))
-    return [] if kind in ("notice", "filler") else [b.line for b in main]
+    return [] if kind in ("notice", "filler") else list(dict.fromkeys(b.line for b in main))
 
 
 _FIELD: list[ChainField] = []

@@ -1,4 +1,8 @@
-"""Web pages and page excerpts as sequences of leaf blocks, one for each line with visible text."""
+"""Web pages and page excerpts as sequences of leaf blocks.
+
+A leaf block is the visible text of one line between two block-level tags: a line of several
+elements (a minified page is one line) has several blocks, an element of several lines too.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,9 @@ from dataclasses import dataclass
 HIDDEN = frozenset(("script", "style", "title", "head", "template", "svg", "iframe", "object"))
 #: Elements that hold blocks; the innermost open one is a block's container.
 CONTAINERS = frozenset(("nav", "main", "aside", "footer", "header", "section", "article", "div", "table", "ul", "ol", "form", "body", "td"))
+#: Elements whose tags end a block.
+_BLOCK_LEVEL = CONTAINERS - {"td"} | frozenset(("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd", "blockquote", "pre", "figcaption", "option", "legend"))
 _VOID = frozenset(("meta", "br", "img", "hr", "input", "link", "base", "wbr", "source", "area", "col"))
-_CLOSED_BY = {"li": ("li",), "p": ("p", "div", "h1", "h2", "h3", "li", "table", "section"), "tr": ("tr",), "td": ("td", "tr"), "th": ("th", "td", "tr")}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<!--.*?-->|<![^>]*>")
 _LEAF = re.compile(r"<(p|span|div|li|h[1-6])(?: class=\"([^\"<>]*)\")?>(?:<a [^<>]*>([^<]*)</a>|([^<]*))</\1>\s*$")
@@ -21,7 +26,7 @@ _LEFTOVER = re.compile(r"<[/!]?[a-zA-Z][^<>]*$")
 
 @dataclass(slots=True)
 class Block:
-    """A line with visible text."""
+    """The visible text of a line, or of one block-level element in it; ``path`` names the innermost three containers."""
 
     line: int
     text: str
@@ -31,6 +36,7 @@ class Block:
     classes: str
     depth: int
     fresh: bool
+    path: str = ""
 
 
 def plain_blocks(text: str) -> list[Block]:
@@ -39,7 +45,7 @@ def plain_blocks(text: str) -> list[Block]:
     for n, raw in enumerate(text.split("\n"), 1):
         t = " ".join(raw.split())
         if t:
-            out.append(Block(n, t, "text", False, "text", "", 0, False))
+            out.append(Block(n, t, "text", False, "text", "", 0, False, "text"))
     return out
 
 
@@ -49,7 +55,7 @@ def is_markup(text: str) -> bool:
 
 
 def html_blocks(body: str) -> list[Block]:
-    """The blocks of an HTML page: lines with visible text, with their markup surroundings.
+    """The leaf blocks of an HTML page, with their markup surroundings.
 
     Blocks between ``<head>`` and ``</head>`` and in hidden elements have no visible text.
     ``noscript`` counts as an element of its own. Broken markup never fails: an end tag that
@@ -57,7 +63,8 @@ def html_blocks(body: str) -> list[Block]:
     """
     out: list[Block] = []
     hidden = ""
-    open_containers: list[tuple[str, str, str]] = []
+    within: list[tuple[str, str]] = []  # the open containers: name, class
+    inner, kind_here, depth, path = "", "", 0, ""
     leaf = ""
     fresh = True
     for n, raw in enumerate(body.split("\n"), 1):
@@ -70,15 +77,14 @@ def html_blocks(body: str) -> list[Block]:
             text = link if text is None else text
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                top = open_containers[-1] if open_containers else ("", "", "")
-                out.append(Block(n, text, name + ("." if kind is not None and name == "div" else ""), link is not None, top[1], top[2], len(open_containers), fresh))
+                out.append(Block(n, text, name + ("." if kind is not None and name == "div" else ""), link is not None, inner, kind_here, depth, fresh, path))
                 fresh = False
             continue
         parts: list[str] = []
         at = 0
         first = ""
         linked = False
-        place: tuple[str, str, int, bool] | None = None
+        place: tuple[str, str, int, bool, str] | None = None
         carried = leaf
         if "<" in raw:
             for m in _TAG.finditer(raw):
@@ -86,14 +92,19 @@ def html_blocks(body: str) -> list[Block]:
                     piece = raw[at : m.start()]
                     parts.append(piece)
                     if place is None and not piece.isspace():
-                        top = open_containers[-1] if open_containers else ("", "", "")
-                        place = (top[1], top[2], len(open_containers), fresh)
+                        place = (inner, kind_here, depth, fresh, path)
                         fresh = False
                 at = m.end()
                 name = m[2]
                 if name is None:
                     continue
                 name = name.lower()
+                if place is not None and name in _BLOCK_LEVEL:  # a block-level tag behind visible text ends the block
+                    text = _joined(parts)
+                    if text:
+                        out.append(Block(n, text, first or (f"in-{carried}" if carried else "bare"), linked, *place))
+                    parts, first, linked, place = [], "", False, None
+                    carried = "" if m[1] and name == leaf else leaf
                 if hidden:
                     if m[1] and name == hidden:
                         hidden = ""
@@ -102,10 +113,10 @@ def html_blocks(body: str) -> list[Block]:
                     if name == leaf:
                         leaf = ""
                     elif name in CONTAINERS:
-                        for i in range(len(open_containers) - 1, -1, -1):
-                            if open_containers[i][0] == name:
-                                del open_containers[i:]
-                                break
+                        i = next((i for i in reversed(range(len(within))) if within[i][0] == name), None)
+                        if i is not None:
+                            del within[i:]
+                            inner, kind_here, depth, path = _surroundings(within)
                         fresh = True
                     continue
                 if name in HIDDEN:
@@ -118,41 +129,58 @@ def html_blocks(body: str) -> list[Block]:
                 elif name in CONTAINERS:
                     found = _CLASS.search(m[3] or "")
                     kind = found[1].strip() if found else ("wide" if "width" in (m[3] or "") else "span" if "colspan" in (m[3] or "") else "")
-                    # A container that is closed on its own line is a leaf, not a surrounding.
-                    if f"</{name}" in raw[at:].lower() and name != "body":
+                    # A container that is closed on its own line is a leaf, not a surrounding, unless others are opened in it.
+                    if name != "body" and _closed_first(raw, at, name):
                         first = first or (name + ("." if found else ""))
                         leaf = name
                     else:
                         if name == "td":
-                            while open_containers and open_containers[-1][0] == "td":
-                                open_containers.pop()
-                        open_containers.append((name, name, kind))
+                            while within and within[-1][0] == "td":
+                                within.pop()
+                        within.append((name, kind))
+                        inner, kind_here, depth, path = _surroundings(within)
                         fresh = True
-                    continue
-                elif name not in ("html", "b", "i", "em", "strong", "u", "small", "font", "tr"):
+                elif name not in ("html", "b", "i", "em", "strong", "u", "small", "font"):
                     first = first or name
                     leaf = name
-                elif name == "tr":
-                    first = first or "tr"
-                    leaf = "tr"
             if not hidden:
                 parts.append(_LEFTOVER.sub("", raw[at:]))
         elif not hidden:
             parts.append(raw)
         if not parts:
             continue
-        text = parts[0] if len(parts) == 1 else " ".join(parts)
-        text = " ".join((html.unescape(text) if "&" in text else text).split())
+        text = _joined(parts)
         if text:
             if place is None:
-                top = open_containers[-1] if open_containers else ("", "", "")
-                place = (top[1], top[2], len(open_containers), fresh)
+                place = (inner, kind_here, depth, fresh, path)
                 fresh = False
-            tag = first or (f"in-{carried}" if carried else "bare")
-            out.append(Block(n, text, tag, linked, place[0], place[1], place[2], place[3]))
+            out.append(Block(n, text, first or (f"in-{carried}" if carried else "bare"), linked, *place))
     return out
 
 
+def _joined(parts: list[str]) -> str:
+    """Pieces of visible text as one, entities decoded and white space collapsed."""
+    text = parts[0] if len(parts) == 1 else " ".join(parts)
+    return " ".join((html.unescape(text) if "&" in text else text).split())
+
+
+def _surroundings(within: list[tuple[str, str]]) -> tuple[str, str, int, str]:
+    """Name and class of the innermost container, the depth, and the path of the innermost three."""
+    name, kind = within[-1] if within else ("", "")
+    return name, kind, len(within), ">".join([w[0] for w in within[-3:]])
+
+
+def _closed_first(raw: str, at: int, name: str) -> bool:
+    """Whether the element ``name`` opened before ``at`` is closed on the line before another block-level element begins in it."""
+    for m in _TAG.finditer(raw, at):
+        inside = (m[2] or "").lower()
+        if m[1] and inside == name:
+            return True
+        if not m[1] and inside in _BLOCK_LEVEL and inside != "p":
+            return False
+    return False
+
+
 def blocks_of(body: str | None) -> list[Block]:
     """The blocks of a body, whether HTML or plain text; none for NULL and empty."""
     if not body:
