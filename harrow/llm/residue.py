@@ -27,28 +27,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.barrier import settled
 from ..operators.skew import attach_counted
 from ..session import checkpointed
 from .boilerplate import field_here, judged
 from .pages import Block, blocks_of
 
-_NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,30}?"
+#: A variable's name: of any length, five words at most (more are prose), in which brackets of one kind hold letters only.
+_NAME = r"[A-Za-z][A-Za-z0-9_.-]*?(?:\ [A-Za-z0-9_.-]+?){0,4}?"
+_LETTERS = r"[A-Za-z][A-Za-z_]*(?:\ [A-Za-z_]+){0,4}"
 #: The ways in which templates write a variable.
 VARIABLE = re.compile(
-    rf"""\{{\{{\s*[^{{}}\n]{{1,40}}\}}\}} | \{{%\s*[^%\n]{{1,40}}%\}} | <%=?\s*[^%\n]{{1,40}}%> | \$\{{{_NAME}\}} | \#\{{{_NAME}\}} | \[\[\s*{_NAME}\s*\]\] | @@{_NAME}@@ | %%{_NAME}%% | \*\|{_NAME}\|\* | \b__{_NAME}__\b | (?<![A-Za-z])__{_NAME}__ |
-    (?<![\w\#])\#[A-Za-z][A-Za-z_ ]{{1,25}}\#(?!\w) | (?<![\w$])\$[A-Za-z][A-Za-z_ ]{{1,25}}\$(?!\w) | \{{{_NAME}\}} | \[[A-Za-z][A-Za-z_ ]{{1,30}}\] | <[A-Za-z][A-Za-z_ ]{{1,30}}>""",
+    rf"""\{{\{{\s*[^{{}}\n]+\}}\}} | \{{%\s*[^%\n]+%\}} | <%=?\s*[^%\n]+%> | \$\{{{_NAME}\}} | \#\{{{_NAME}\}} | \[\[\s*{_NAME}\s*\]\] | @@{_NAME}@@ | %%{_NAME}%% | \*\|{_NAME}\|\* | \b__{_NAME}__\b | (?<![A-Za-z])__{_NAME}__ |
+    (?<![\w\#])\#(?=[^\#]{{2}}){_LETTERS}\#(?!\w) | (?<![\w$])\$(?=[^$]{{2}}){_LETTERS}\$(?!\w) | \{{{_NAME}\}} | \[(?=[^\]]{{2}}){_LETTERS}\] | <(?=[^>]{{2}}){_LETTERS}>""",
     re.X,
 )
 #: Printf-style fields, which in error texts alone are template fields.
 PRINTF = re.compile(r"%(?:\([A-Za-z_]\w*\))?[sdrifx]\b|\{\d?\}")
 #: Defaults that ask to be replaced.
 DEFAULT = re.compile(
-    r"\bTODO\b|\bFIXME\b|\bTBD\b|^(?:X{3,}\s*)+$|\bINSERT\s+[A-Z]+(?:\s+[A-Z]+)*\s+HERE\b|\((?:add|insert|enter)\b[^)]*\)|\byour\s+(?:text|heading|title|content|company\s+name|tagline|logo)\s+(?:goes\s+)?here\b|^(?:type|add|enter|insert)\s+(?:your|a|the)\s+[\w ]{1,30}\s+here\.?$",
+    r"(?-i:\bTODO\b|\bFIXME\b|\bTBD\b)|^(?:X{3,}\s*)+$|\bINSERT\s+[A-Z]+(?:\s+[A-Z]+)*\s+HERE\b|\((?:add|insert|enter)\b[^)]*\)|\byour\s+(?:text|heading|title|content|company\s+name|tagline|logo)\s+(?:goes\s+)?here\b|^(?:type|add|enter|insert)\s+(?:your|a|the)\s+[\w ]{1,30}\s+here\.?$",
     re.I,
 )
 _BLANK = re.compile(r"\b(?:to|in|of|at|by|from|with|dear|hello|hi|choose)\s+(?=[,!?](?:\s|$))", re.I)
 #: What every variable, default or blank has some of.
-_QUICK = ("{", "[", "$", "%", "@", "#", "*|", "__", "<", "TODO", "FIXME", "TBD", "XXX", "INSERT", " here", "(Add", "(add", "(Insert", "(insert", "(Enter", "(enter", " ,", " !", " ?")
+_SIGNS = ("{", "[", "$", "%", "@", "#", "*|", "__", "<")
+_QUICK = (*_SIGNS, "todo", "fixme", "tbd", "xxx", "here", "(add", "(insert", "(enter", " ,", " !", " ?")
 _WEAK = frozenset(
     "error sorry oops unavailable denied blocked please try browser page server request session loading address link access visitor visitors service shop app application content site "
     "fehler leider entschuldigung gesperrt blockiert bitte versuchen seite anfrage sitzung adresse zugriff besucher dienst wartung inhalt "
@@ -78,11 +82,12 @@ def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
 def fields_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str, str, str]]]:
     """As ``slots_of``, with all words of the sentence before and after each field, up to the next field (see ``line_of``)."""
     sure, found = False, []
-    whole = "\n".join(texts)
+    whole = "\n".join(texts).casefold()
     if not any(sign in whole for sign in _QUICK):
         return sure, found
     for text in texts:
-        if not any(sign in text for sign in _QUICK):
+        low = text.casefold()
+        if not any(sign in low for sign in _QUICK):
             continue
         for sentence in _SENTENCE.split(text):
             if DEFAULT.search(sentence):
@@ -101,7 +106,7 @@ def fields_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str, str, st
 
 def line_of(sentence: str) -> str:
     """The words of a sentence between ^ and $, with {} for each field."""
-    if any(sign in sentence for sign in _QUICK):
+    if any(sign in sentence for sign in _SIGNS):
         at, words = 0, []
         for m in VARIABLE.finditer(sentence):
             words += [*_WORDS.findall(sentence[at : m.start()].lower()), "{}"]
@@ -137,15 +142,17 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def template_of(texts: list[str], host: str) -> str:
-    """A page's text with numbers and the names of its host masked."""
-    out = []
+def template_of(texts: list[str], host: str) -> list[str]:
+    """The words of a page with numbers and the names of its host masked."""
+    words = _WORDS.findall(_NUMBER.sub("0", "\n".join(texts).lower()))
     stem = re.sub(r"[^a-z]", "", host.split(".")[0])
-    for t in texts:
-        words = _WORDS.findall(_NUMBER.sub("0", t).lower())
-        own = {w for w in words if len(w) > 3 and w in stem} if stem else ()
-        out.append(" ".join(["*" if w in own else w for w in words] if own else words))
-    return "\n".join(out)
+    own = {w for w in set(words) if len(w) > 3 and w in stem} if stem else ()
+    return ["*" if w in own else w for w in words] if own else words
+
+
+def _cued(words: set[str]) -> bool:
+    """Whether one of a page's words, or a part of one, is a weak cue."""
+    return not _WEAK.isdisjoint(words) or any(not _WEAK.isdisjoint(w.replace("’", "-").replace("'", "-").split("-")) for w in words if not w.isalnum())
 
 
 def signs(df: DataFrame) -> DataFrame:
@@ -171,12 +178,13 @@ def signs(df: DataFrame) -> DataFrame:
                 host = host_of(url)
                 template, cue = None, False
                 if not sure and main:
-                    text = template_of([b.text for b in main], host)
-                    template = sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if (words := set(text.split())) - {"*", "0"} else None
-                    cue = not _WEAK.isdisjoint(words) or any(not _WEAK.isdisjoint(w.replace("’", "-").replace("'", "-").split("-")) for w in words if not w.isalnum())
+                    words = template_of([b.text for b in main], host)
+                    each = set(words)
+                    template = sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if each - {"*", "0"} else None
+                    cue = _cued(each)
                 if sure or slots or template:
                     rows.append((fetch_id, sure, host, template, cue, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
-            rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if any(sign in t for sign in _QUICK) else t for t in sentences]))
+            rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if any(sign in t for sign in _SIGNS) else t for t in sentences]))
             yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "cue", "slots", "lines"]).astype({"fetch_id": "Int64"})
 
     columns = ["fetch_id", *[F.col(c).cast("string").alias(c) for c in ("url", "body", "error")]]
@@ -187,17 +195,26 @@ def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
     """The (pre, post) of ``fields`` between which some line has other words.
 
     Lines are sentences with {} for each field. They and fields meet on two neighbouring words,
-    those before a field or those behind it; up to SOME_FIELDS fields are broadcast.
+    those before a field or those behind it. Up to SOME_FIELDS fields are broadcast, and lines
+    without the words beside any of them are passed over before they are taken apart; more
+    fields are joined by hash, with the same result.
     """
     ends = F.split("pre", " ").alias("a"), F.split("post", " ").alias("b")
     asked = fields.select("pre", "post").distinct().select("pre", "post", *ends)
     key = F.when(F.size("a") > 1, F.array_join(F.slice("a", -2, 2), " ")).when(F.size("b") > 1, F.array_join(F.slice("b", 1, 2), " "))
     asked = asked.select("pre", "post", key.alias("key")).where("key IS NOT NULL")
-    asked = asked if asked.limit(SOME_FIELDS + 1).count() > SOME_FIELDS else F.broadcast(asked)
+    few = [r.key for r in asked.select("key").distinct().limit(SOME_FIELDS + 1).collect()]
+    if not few:
+        return fields.select("pre", "post").limit(0)
     lines = lines.select(F.array_join(F.concat(F.array(F.lit("^")), F.regexp_extract_all(F.lower("line"), F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$"))), " ").alias("line"))
+    lines = lines.select(settled(F.col("line")).alias("line"))
     words = F.split("line", " ")
     pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
-    met = lines.select("line", F.explode(pairs).alias("key")).join(asked, "key")
+    lines = lines.select("line", settled(pairs).alias("pairs"))
+    if len(few) <= SOME_FIELDS:
+        asked = F.broadcast(asked)
+        lines = lines.where(F.exists("pairs", lambda p: p.isin(few)))
+    met = lines.select("line", F.explode("pairs").alias("key")).join(asked, "key")
     rest = F.expr("CASE WHEN pre = '' THEN concat(' ', line, ' ') WHEN locate(concat(' ', pre, ' '), concat(' ', line, ' ')) > 0 THEN substring(concat(' ', line, ' '), locate(concat(' ', pre, ' '), concat(' ', line, ' ')) + length(pre) + 1) END")
     gap = F.expr("CASE WHEN post = '' THEN split(trim(rest), ' ')[0] WHEN pre = '' THEN element_at(split(trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)), ' '), -1) WHEN locate(concat(' ', post, ' '), rest) > 1 THEN trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)) END")
     return met.withColumn("rest", rest).withColumn("gap", gap).where("gap NOT IN ('', '^', '$') AND NOT contains(gap, '{}')").select("pre", "post").distinct()
