@@ -1,23 +1,31 @@
 """The best record of each group of duplicates, field by field, by reasoning on currency.
 
-A field's value comes from the row with the lowest trust rank, then the most current
-one, then the smallest row number. Dated rows are ordered by their time. For rows
-without a time the order is learned: over all groups, how often one value was followed
-by another in dated rows. A value's lateness is the share of transitions that end in it
-minus the share that start in it; and an undated row overrides the latest dated row of
-equal trust only if the transition between these two values was seen more often than
-its reverse. This is a partial order per group of which the topologically latest
-element is taken.
-
-Everything is aggregation with states of constant size (smallest structs), combined
-on the map side, so a group of any size is never gathered.
+A field's value comes from the rows with the lowest trust rank of those that have one; of
+these from the most current, then from the smallest row number. How current values are is a
+partial order in each group:
+
+* dated values follow each other by their times;
+* from all dated rows of all groups it is learned how often one value came directly after
+  another; a value precedes another if that was seen more often than the reverse. Between
+  values of which one at least has no time, this precedence is the group's order.
+
+The topologically latest values are those that none in the group follows (where precedence
+runs in a circle, all of the circle). Of several the latest dated one counts, then the
+smallest row.
+
+No group is gathered: what all groups need are states of constant size, combined on the map
+side; consecutive values are found in time buckets with their edges carried over; and the
+orders of groups with undated rows are built by joins with the learned precedences, not by
+comparing the rows of a group with each other. One plan serves all groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import range_bucket
+from ..session import checkpointed
 from .contact_forms import cut_off, real_text, with_contact
 
 #: Rank of rows whose source is NULL or not in the list of sources.
@@ -39,43 +47,45 @@ def prepared(leads: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def transitions(rows: DataFrame, value: str) -> DataFrame:
-    """(before, after, n): how many groups went from one value to another, by their first and last dated rows."""
-    order = F.struct("at", "row_idx", F.col(value).alias("v"))
-    ends = rows.where(F.col("at").isNotNull() & F.col(value).isNotNull()).groupBy("k").agg(F.min(order).alias("a"), F.max(order).alias("z"))
-    ends = ends.select(F.col("a.v").alias("before"), F.col("z.v").alias("after")).where("before <> after")
-    return ends.groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
-
-
-def lateness(moves: DataFrame) -> DataFrame:
-    """(v, late): of the transitions a value takes part in, the share it ends minus the share it starts."""
-    both = moves.select(F.col("after").alias("v"), F.col("n"), F.col("n").alias("d")).unionByName(
-        moves.select(F.col("before").alias("v"), F.col("n"), (-F.col("n")).alias("d"))
-    )
-    return both.groupBy("v").agg((F.sum("d") / F.sum("n")).alias("late"))
-
-
-def _best_of(rows: DataFrame, value: str, moves: DataFrame) -> DataFrame:
-    """(k, row): the row that supplies ``value`` in each group, 0 if none does; ``moves`` are the learned transitions."""
-    dated = rows.where("at IS NOT NULL").select("k", "row_idx", "trust", F.col(value).alias("v"), (-F.col("at")).alias("at"), F.lit(None).cast("double").alias("late"))
-    undated = rows.where("at IS NULL").select("k", "row_idx", "trust", F.col(value).alias("v"))
-    undated = undated.join(lateness(moves), "v", "left").select("k", "row_idx", "trust", "v", F.lit(None).cast("long").alias("at"), (-F.coalesce("late", F.lit(0.0))).alias("late"))
-    there = F.col("v").isNotNull()
-    picked = dated.unionByName(undated).groupBy("k").agg(
-        F.min(F.when(there & F.col("at").isNotNull(), F.struct("trust", "at", "row_idx", "v"))).alias("d"),
-        F.min(F.when(there & F.col("at").isNull(), F.struct("trust", "late", "row_idx", "v"))).alias("u"),
-    )
-    contested = picked.where("d.trust = u.trust").select("k", F.col("d.v").alias("before"), F.col("u.v").alias("after"))
-    forth = contested.join(moves, ["before", "after"], "left").select("k", F.coalesce("n", F.lit(0)).alias("net"))
-    back = contested.join(moves.select(F.col("after").alias("before"), F.col("before").alias("after"), "n"), ["before", "after"], "left").select("k", (-F.coalesce("n", F.lit(0))).alias("net"))
-    later = forth.unionByName(back).groupBy("k").agg(F.sum("net").alias("net"))
-    chosen = picked.join(later, "k", "left")
-    undated_wins = F.col("d").isNull() | (F.col("u.trust") < F.col("d.trust")) | ((F.col("u.trust") == F.col("d.trust")) & (F.coalesce("net", F.lit(0)) > 0))
-    return chosen.select("k", F.coalesce(F.when(F.col("u").isNotNull() & undated_wins, F.col("u.row_idx")).otherwise(F.col("d.row_idx")), F.lit(0)).alias("row"))
-
-
-def _winner(kind: str) -> Column:
-    """The smallest (trust, -time, row) of the dated rows with a value, as one struct."""
-    return F.min(F.when(F.col(kind).isNotNull() & F.col("at").isNotNull(), F.struct("trust", (-F.col("at")).alias("at"), "row_idx")))
+    """(before, after, n): how often ``after`` came directly after ``before`` among the dated rows of a group, by time and row."""
+    dated = rows.where(F.col("at").isNotNull() & F.col(value).isNotNull()).select("k", "at", "row_idx", F.col(value).alias("v"))
+    dated = dated.withColumn("b", range_bucket(rows, "at"))
+    within = dated.select(F.lag("v").over(Window.partitionBy("k", "b").orderBy("at", "row_idx")).alias("before"), F.col("v").alias("after"))
+    row = F.struct("at", "row_idx", "v")
+    edges = dated.groupBy("k", "b").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    across = edges.select(F.lag("last.v").over(Window.partitionBy("k").orderBy("b")).alias("before"), F.col("first.v").alias("after"))
+    return within.unionByName(across).where("before <> after").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
+def precedence(moves: DataFrame) -> DataFrame:
+    """(before, after): the pairs that were seen more often in this order than in the other."""
+    both = moves.unionByName(moves.select(F.col("after").alias("before"), F.col("before").alias("after"), (-F.col("n")).alias("n")))
+    return both.groupBy("before", "after").agg(F.sum("n").alias("n")).where("n > 0").select("before", "after")
+
+
+def _winner(kind: str, dated: bool) -> Column:
+    """The smallest (trust, -time, row) of the rows with a value, dated or undated ones."""
+    there = F.col(kind).isNotNull() & (F.col("at").isNotNull() if dated else F.col("at").isNull())
+    return F.min(F.when(there, F.struct("trust", (-F.col("at")).alias("at"), "row_idx")))
+
+
+def latest(rows: DataFrame, value: str, groups: DataFrame, before: DataFrame) -> DataFrame:
+    """(k, row): the row of the topologically latest value in each of ``groups`` (k, trust), rows of that trust alone.
+
+    ``before`` has the learned precedences. Values are nodes; of a value's rows the latest
+    dated one stands for it, else the smallest.
+    """
+    late = F.coalesce(-F.col("at"), F.lit(2**63 - 1))
+    nodes = rows.where(F.col(value).isNotNull()).join(groups, ["k", "trust"]).groupBy("k", F.col(value).alias("v")).agg(F.min(F.struct(late.alias("late"), "row_idx")).alias("r"))
+    nodes = checkpointed(nodes.select("k", "v", "r.late", F.col("r.row_idx").alias("row_idx"), (F.col("r.late") == 2**63 - 1).alias("undated")))
+    other = nodes.select("k", F.col("v").alias("after"), F.col("undated").alias("other_undated"))
+    follows = nodes.join(before, F.col("v") == F.col("before")).drop("before").join(other, ["k", "after"]).where("undated OR other_undated")
+    passed = follows.select("k", "v", F.lit(True).alias("passed")).distinct()
+    # Of the dated values only the latest is not followed by another dated one; "late" sorts it first among them.
+    marked = nodes.join(passed, ["k", "v"], "left").select("k", F.struct(F.coalesce("passed", F.lit(False)).alias("passed"), "late", "row_idx", "undated").alias("o"))
+    sides = marked.groupBy("k").agg(F.min(F.when(~F.col("o.undated"), F.struct(F.col("o.late").alias("late"), F.col("o.row_idx").alias("row_idx"), F.col("o.passed").alias("passed")))).alias("d"), F.min(F.when(F.col("o.undated"), F.col("o"))).alias("u"))
+    dated_stays = F.col("d").isNotNull() & (F.col("u").isNull() | ~F.col("d.passed") | F.col("u.passed"))
+    return sides.select("k", F.when(dated_stays, F.col("d.row_idx")).otherwise(F.col("u.row_idx")).alias("row"))
 
 
 def survivors(leads: DataFrame, sources: DataFrame) -> DataFrame:
@@ -84,25 +94,19 @@ def survivors(leads: DataFrame, sources: DataFrame) -> DataFrame:
     ``row_idx`` is the group's smallest; the others name the rows that supply a real title and
     website, 0 if no row of the group has one. Rows without an e-mail belong to no group; an
     empty table gives an empty result. Titles and websites are ties only on equal trust and
-    time; then the smallest row_idx supplies them.
-
-    Groups whose rows are all dated are settled in one aggregation. Only groups with an
-    undated row take the learned way (transitions, lateness); where no row at all is undated,
-    which the scan's column statistics tell, there is no such group to settle.
+    time; then the smallest row_idx supplies them. Rows without a time take part by the learned
+    order of values (see above).
     """
-    rows = prepared(leads, sources)
+    rows = checkpointed(prepared(leads, sources))
     groups = rows.groupBy("k").agg(
-        F.count(F.lit(1)).alias("size"), F.min("row_idx").alias("first"), F.max(F.col("at").isNull()).alias("open"),
-        _winner("title").alias("t"), _winner("web").alias("w"),
+        F.count(F.lit(1)).alias("size"), F.min("row_idx").alias("first"),
+        *[_winner(kind, dated).alias(f"{kind}_{'d' if dated else 'u'}") for kind in ("title", "web") for dated in (True, False)],
     ).where("size > 1")
-    settled = groups.where("NOT open").select(F.col("first").alias("row_idx"), F.coalesce("t.row_idx", F.lit(0)).alias("title_row_idx"), F.coalesce("w.row_idx", F.lit(0)).alias("website_row_idx"))
-    if leads.where("updated_at IS NULL").isEmpty():
-        return settled
-    open_groups = groups.where("open").select("k", "first")
-    open_keys = rows.where("at IS NULL").select("k").distinct()
-    ours = rows.join(open_keys, "k", "left_semi")
-    moves_t, moves_w = transitions(rows, "title"), transitions(rows, "web")
-    titles = _best_of(ours, "title", moves_t).withColumnRenamed("row", "title_row_idx")
-    webs = _best_of(ours, "web", moves_w).withColumnRenamed("row", "website_row_idx")
-    learned = open_groups.join(titles, "k").join(webs, "k").select(F.col("first").alias("row_idx"), "title_row_idx", "website_row_idx")
-    return settled.unionByName(learned)
+    groups = checkpointed(groups)
+    out = groups
+    for kind in ("title", "web"):
+        d, u = F.col(f"{kind}_d"), F.col(f"{kind}_u")
+        contested = groups.where(u.isNotNull() & (d.isNull() | (u["trust"] <= d["trust"]))).select("k", u["trust"].alias("trust"))
+        ordered = latest(rows, kind, contested, precedence(transitions(rows, kind))).withColumnRenamed("row", f"{kind}_row")
+        out = out.join(ordered, "k", "left")
+    return out.select(F.col("first").alias("row_idx"), *[F.coalesce(f"{kind}_row", f"{kind}_d.row_idx", F.lit(0)).alias(name) for kind, name in (("title", "title_row_idx"), ("web", "website_row_idx"))])

@@ -77,3 +77,28 @@ def test_undated_rows_follow_learned_transitions(spark):
     rows += [(5, "w@x.example", "Junior clerk", None, "crm", None), (6, "w@x.example", "Senior clerk", None, "crm", None)]
     got = {r.row_idx: (r.title_row_idx, r.website_row_idx) for r in survivors(leads(spark, rows), sources(spark)).collect()}
     assert got[1] == (2, 1) and got[3] == (3, 3) and got[5] == (6, 0)
+
+
+def test_consecutive_transitions_and_circles(spark):
+    rows = []
+    for i in range(3):  # elsewhere trainee, clerk and manager follow each other; baker and miller in both ways
+        rows += [(100 + 3 * i + j, f"g{i}@x.example", t, None, "crm", at(1 + j)) for j, t in enumerate(("Trainee here", "Clerk here", "Manager here"))]
+        rows += [(200 + 2 * i + j, f"h{i}@x.example", t, None, "crm", at(1 + j)) for j, t in enumerate(("Baker here", "Miller here")[:: 1 if i % 2 else -1])]
+    rows += [(1, "u@x.example", "Clerk here", None, "crm", None), (2, "u@x.example", "Manager here", None, "crm", None), (3, "u@x.example", "Trainee here", None, "crm", at(3))]
+    rows += [(4, "v@x.example", "Manager here", None, "crm", None), (5, "v@x.example", "Clerk here", None, "crm", at(9)), (6, "v@x.example", "Trainee here", None, "crm", at(10))]
+    rows += [(7, "w@x.example", "Baker here", None, "web", None), (8, "w@x.example", "Miller here", None, "web", at(1)), (9, "w@x.example", "Trainee here", None, None, None)]
+    rows += [(10, "z@x.example", "Baker here", None, "crm", at(4)), (11, "z@x.example", "Clerk here", None, "web", None)]
+    got = {r.row_idx: r.title_row_idx for r in survivors(leads(spark, rows), sources(spark)).collect()}
+    # u: manager follows clerk; v: trainee is latest but manager follows clerk, which it follows: not followed itself by manager directly; z: trust first.
+    assert (got[1], got[4], got[10]) == (2, 6, 10) and got[7] in (7, 8)
+
+
+def test_blanked_times_change_only_groups_that_hold_them(spark, data):
+    df = spark.read.parquet(f"{data}/leads.parquet")
+    before = {r.row_idx: r for r in survivors(df, spark.read.parquet(f"{data}/list_sources.parquet")).collect()}
+    blanked = df.withColumn("updated_at", F.when(F.col("row_idx") % 7 != 0, F.col("updated_at")))
+    after = {r.row_idx: r for r in survivors(blanked, spark.read.parquet(f"{data}/list_sources.parquet")).collect()}
+    assert set(before) == set(after)
+    assert sum(before[k] == after[k] for k in before) > len(before) / 2
+    dated = {r.row_idx: r for r in survivors(df.where("row_idx % 7 <> 0"), spark.read.parquet(f"{data}/list_sources.parquet")).collect()}
+    assert all(after[k] == dated[k] for k in dated if k in after and all(x % 7 for x in after[k][1:]) and after[k].title_row_idx and dated[k].title_row_idx and after[k].website_row_idx)
