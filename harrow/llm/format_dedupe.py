@@ -60,7 +60,8 @@ def with_group(df: DataFrame, row_id: str = "row_idx", email: str = "email", web
     rows = df.select(F.col(row_id).alias("row_idx"), F.col(email).alias("email"), F.col(website).alias("website")).where("email IS NOT NULL AND website IS NOT NULL")
     letters = _stripped(F.col("email"), F.col("website"))
     level1 = _several(rows.withColumn("t", letters).select("row_idx", "email", "website", cheap_class(F.col("t")).alias("k1")), "k1").drop("k1")
-    level2 = _several(level1.withColumn("t", letters).select("row_idx", "email", "website", histogram_class(F.col("t")).alias("k2")), "k2")
+    level1 = level1.withColumn("t", settled(letters)).select("row_idx", "email", "website", histogram_class(F.col("t")).alias("k2"))
+    level2 = _several(checkpointed(level1), "k2")  # counted and joined: stripped and classed once
     # Parsing belongs above the joins; the test for NULL keys would else be pushed down to all rows.
     few = level2.select("row_idx", settled(F.col("email")).alias("email"), settled(F.col("website")).alias("website"))
     exact = with_contact(few, mail="mail", web="web").select("row_idx", F.concat(F.col("mail"), F.lit(" "), F.col("web")).alias("k3"))
