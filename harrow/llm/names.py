@@ -3,26 +3,41 @@
 A name is parsed into its core (the proper name's words, longest first, without accents),
 its line of business (in full or short) and what tells nothing (article, legal form,
 initials in brackets). Spellings with the same core are counted together. Frequent cores are
-the candidate canonical forms: each other core goes to the candidate with the highest
-posterior, log count minus the cost of the edits between them, if the edits are likely
-enough. Cores with the second word as an initial only go to the most frequent core they
-abbreviate. Lines of business then divide a core: two names that state different ones name
-different companies, and a name that states none goes to the most frequent one.
-
-Candidates are found by joins on exact keys of parts of the core (see ``keys_of``), never by
-comparing all; each key holds few cores because it fixes most of the letters.
+the candidate canonical forms of rarer ones. For a core, the hypotheses are the candidates
+within two edits (one, if it has fewer than ten letters) and the core itself:
+
+* candidate: log of its count, minus the costs of the edits between them;
+* the core itself: log of its count, minus the cost of another company being called so by
+  chance (letters times the entropy of a letter, minus the log of the number of cores).
+
+The cost of an edit is minus the log of its rate, which is learned from the table: how often
+long names are typed with one swap, doubled or halved letter, added or missing letter, or
+other letter. The hypothesis with the maximum posterior wins. Cores with the second word as
+an initial only go to the most frequent core they abbreviate. Lines of business then divide
+a core: two names that state different ones name different companies, and a name that states
+none goes to the most frequent one.
+
+Candidates are found by joins on exact keys, never by comparing all. A core is cut into one
+segment more than there may be edits, so one segment stays whole (pigeonhole), at a place that
+can only shift by the edits before it; it is cut in several ways because of swaps across a
+boundary. The cores of a segment that many share are divided by what is left of them without
+the segment, with up to two letters taken out (two strings within two edits have such a
+remainder in common). So no pair is lost, and no key holds many cores
+unless they are near each other.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.barrier import once
 from ..functions.missing import STAND_INS
@@ -133,18 +148,180 @@ def parsed(name: str) -> tuple[str, str, str, list[str]]:
     return core, words[0] if len(words) > 1 or initial else "", initial if len(words) == 1 else "", business
 
 
-def _segments(core: Column) -> list[Column]:
-    """Keys of two of a core's four outer segments; two edits leave one of the pairs as it is in most cases."""
-    s1, s2 = F.substring(core, 1, 4), F.substring(core, 5, 4)
-    s3, s4 = F.substring(core, -8, 4), F.substring(core, -4, 4)
-    return [F.concat(F.lit("12"), s1, s2), F.concat(F.lit("34"), s3, s4), F.concat(F.lit("14"), s1, s4)]
+#: Cores of a key above which they are divided by what is left of them.
+SHARED_BY_MANY = 200
+#: Kinds of edits, and of how many places and letters one of them is in a core of n letters.
+EDITS = {"swap": lambda n: n, "double": lambda n: 2 * n, "letter": lambda n: 27 * n, "other": lambda n: 25 * n}
+#: Letters of a remainder from which it is divided by keys of its own segments instead.
+LONG = 40
 
 
-def keys_of(core: Column, first: Column) -> Column:
-    """Keys under which two cores meet: segments, and the first word with one letter less (one edit in it)."""
-    word = F.when(first != "", first).otherwise(F.substring(core, 1, 9))
-    shorter = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.lit("D"), F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(64))))
-    return F.array_distinct(F.concat(F.array(*_segments(core), F.concat(F.lit("D"), word)), shorter))
+def _cuts(n: int) -> list[list[tuple[int, int]]]:
+    """The ways in which a core of n letters is cut into segments (start, end).
+
+    Three segments from eight letters on, for two edits, else two, for one. A swap across a
+    boundary breaks two segments at once; each further way has its boundaries one letter
+    farther, so of ways one more than there are edits, one has no swap across a boundary.
+    """
+    k = 3 if n >= 8 else 2
+    inner = [n * i // k for i in range(1, k)]
+    ways = []
+    for o in range(k):
+        at = [0, *[min(n, x + o) for x in inner], n]
+        ways.append([(at[i], at[i + 1]) for i in range(k)])
+    return ways
+
+
+def own_keys(core: str) -> list[tuple[str, int, int]]:
+    """(key, start, width) of a core's segments; the key is length, way, number and letters."""
+    n = len(core)
+    if n < 4:
+        return []
+    return [(f"{n}:{o}:{i}:{core[a:b]}", a, b - a) for o, cuts in enumerate(_cuts(n)) for i, (a, b) in enumerate(cuts)]
+
+
+def asked_keys(core: str) -> list[tuple[str, int, int]]:
+    """(key, start, width) under which the cores within the edits allowed to this one are found.
+
+    The first segment stands at the start and the last at the end of both; one between them may
+    be shifted by ``s``, which takes that many edits before it, and the rest of the difference
+    in length behind it.
+    """
+    n = len(core)
+    edits = 2 if n >= 10 else 1 if n >= 6 else 0
+    found: dict[tuple[str, int, int], None] = {}
+    for m in range(max(4, n - edits), n + edits + 1) if edits else ():
+        for o, cuts in enumerate(_cuts(m)):
+            for i, (a, b) in enumerate(cuts):
+                shifts = (0,) if i == 0 else (n - m,) if i == len(cuts) - 1 else [s for s in range(-edits, edits + 1) if abs(s) + abs(n - m - s) <= edits]
+                for s in shifts:
+                    if a + s >= 0 and b + s <= n:
+                        found[f"{m}:{o}:{i}:{core[a + s : b + s]}", a + s, b - a] = None
+    return list(found)
+
+
+def thinned(rest: str) -> list[str]:
+    """A string with up to two letters taken out, each result once."""
+    one = {rest[:i] + rest[i + 1 :] for i in range(len(rest)) if rest[i] != "\0"}
+    return list({rest} | one | {r[:i] + r[i + 1 :] for r in one for i in range(len(r)) if r[i] != "\0"})
+
+
+def own_parts(core: str, start: int, width: int) -> list[str]:
+    """What a core that is looked for is divided by: its remainder without a segment, thinned or by its own segments."""
+    rest = core[:start] + "\0" + core[start + width :]
+    return (thinned(rest) if len(rest) <= LONG + 2 else []) + ([k for k, _, _ in own_keys(rest)] if len(rest) > LONG - 2 else [])
+
+
+def asked_parts(core: str, start: int, width: int) -> list[str]:
+    """What a core that asks is divided by."""
+    rest = core[:start] + "\0" + core[start + width :]
+    return thinned(rest) if len(rest) <= LONG else [k for k, _, _ in asked_keys(rest)]
+
+
+def _keys(make):
+    @F.pandas_udf("array<struct<key:string,start:int,width:int>>")
+    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([[{"key": k, "start": a, "width": w} for k, a, w in make(x)] for x in part], dtype=object)
+
+    return F.inline(once(made)("core"))
+
+
+def _parts(make):
+    @F.pandas_udf("array<string>")
+    def made(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for cores, starts, widths in parts:
+            yield pd.Series([make(c, a, w) for c, a, w in zip(cores, starts, widths, strict=True)], dtype=object)
+
+    return F.explode(once(made)("core", "start", "width"))
+
+
+def candidate_pairs(cores: DataFrame, many: int = SHARED_BY_MANY) -> DataFrame:
+    """(core, n, to, m, d): each core with the more frequent cores within the edits allowed to it, d edits apart.
+
+    Keys travel as hashes with the cores' numbers; the cores join their pairs afterwards.
+    """
+    named = cores.select("core", "n", F.xxhash64("core").alias("id"))
+    columns = ["id", F.xxhash64("key").alias("key"), "start", "width"]
+    held = named.select("id", _keys(own_keys)).select(*columns)
+    asked = named.where("length(core) >= 6").select("id", _keys(asked_keys)).select(*columns)
+    hot = checkpointed(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("key", F.lit(True).alias("hot")))
+
+    def keyed(rows: DataFrame, parts) -> DataFrame:
+        marked = rows.join(hot, "key", "left")
+        divided = marked.where("hot").join(named.select("id", "core"), "id").select("id", "key", _parts(parts).alias("part"))
+        return marked.where("hot IS NULL").select("id", "key").unionByName(divided.select("id", F.xxhash64("key", "part").alias("key")))
+
+    met = keyed(asked, asked_parts).join(keyed(held, own_parts).withColumnRenamed("id", "to_id"), "key").where("id <> to_id").select("id", "to_id").distinct()
+    near = met.join(named, "id").join(named.select(F.col("id").alias("to_id"), F.col("core").alias("to"), F.col("n").alias("m")), "to_id")
+    near = near.where("(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to, 4) >= 0")
+    near = near.select("core", "n", "to", "m").withColumn("d", once(_edits)("core", "to"))
+    return near.where((F.col("d") == 1) | (F.col("d") == 2) & (F.length("core") >= 10))
+
+
+def edit_kinds(a: str, b: str) -> list[str]:
+    """The kinds of the one or two edits between two strings."""
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    j = next((j for j, (x, y) in enumerate(zip(a[: i - 1 if i else None : -1], b[: i - 1 if i else None : -1], strict=False)) if x != y), min(len(a), len(b)) - i)
+    x, y = a[i : len(a) - j], b[i : len(b) - j]
+    if len(x) == len(y) == 2 and x == y[::-1]:
+        return ["swap"]
+    if len(x) + len(y) == 1:
+        c = x or y
+        longer = a if x else b
+        return ["double" if c in (longer[i - 1 : i], longer[i + 1 : i + 2]) else "letter"]
+    if len(x) == len(y) == 1:
+        return ["other"]
+    return ["letter" if len(x) != len(y) else "other"] * 2
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _kinds(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_kinds(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
+def _is_kind(kind: str):
+    return lambda k: F.when(k == kind, k)
+
+
+@dataclass(frozen=True)
+class Channel:
+    """What was learned: the rate of each kind of edit in a name, the entropy of a letter, and how many cores there are."""
+
+    rates: dict[str, float]
+    entropy: float
+    cores: int
+
+    def cost(self, kinds: Column, letters: Column) -> Column:
+        """The summed costs of edits in a core of so many letters."""
+        each = F.lit(0.0)
+        for kind, choices in EDITS.items():
+            each = each + F.size(F.array_compact(F.transform(kinds, _is_kind(kind)))) * (F.log(choices(letters).cast("double")) - math.log(self.rates[kind]))
+        return each
+
+    def by_chance(self, letters: Column) -> Column:
+        """The cost of another company of the same name."""
+        return F.greatest(F.lit(0.0), letters * self.entropy - math.log(max(self.cores, 1)))
+
+    @property
+    def mean_cost(self) -> float:
+        """The cost of an edit whose kind is not known, in a word of eight letters."""
+        return sum(math.log(c(8)) - math.log(self.rates[k]) for k, c in EDITS.items()) / len(EDITS)
+
+
+def learned(near: DataFrame, cores: DataFrame) -> Channel:
+    """The channel of a table. Counts are taken over all its cores; only a dozen numbers come to the driver.
+
+    An edit counts if it is the only one between a core of ten letters or more and one ten times
+    as frequent; a kind that was never seen counts half a time.
+    """
+    sure = near.where("d = 1 AND length(core) >= 10 AND 10 * n <= m").groupBy("core").agg(F.max("n").alias("n"), F.max_by("kinds", "m").alias("kinds"))
+    seen = {r.kind: r.n for r in sure.select(F.explode("kinds").alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    letters = cores.select(F.explode(F.split("core", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    whole = letters.agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogk")).first()
+    typed = cores.agg(F.count(F.lit(1)).alias("cores"), F.coalesce(F.sum(F.when(F.length("core") >= 10, F.col("n"))), F.lit(0)).alias("n")).first()
+    entropy = math.log(whole["all"]) - whole["klogk"] / whole["all"] if whole["all"] else 1.0
+    return Channel({kind: (seen.get(kind, 0) + 0.5) / (typed["n"] + 100) for kind in EDITS}, entropy, typed["cores"])
 
 
 @F.pandas_udf(IntegerType())
@@ -176,7 +353,7 @@ def _roots(links: DataFrame, column: str = "core") -> DataFrame:
             return at.withColumnRenamed("parent", "root")
 
 
-def companies(df: DataFrame, name: str = "company_name", edit_cost: float = 4.0) -> DataFrame:
+def companies(df: DataFrame, name: str = "company_name") -> DataFrame:
     """(name, company) of each distinct spelling that names a company; equal company means the same one.
 
     NULL, blank values and stand-ins name none and are left out. Spellings are kept exactly as
@@ -187,12 +364,11 @@ def companies(df: DataFrame, name: str = "company_name", edit_cost: float = 4.0)
     parts = checkpointed(parsed_names(names))
     whole = parts.where("initial = ''")
     cores = checkpointed(whole.groupBy("core").agg(F.sum("n").alias("n"), F.max("first").alias("first")))
-    keyed = cores.select("core", "n", F.explode(keys_of(F.col("core"), F.col("first"))).alias("key"))
-    other = keyed.select(F.col("core").alias("to"), F.col("n").alias("m"), "key")
-    near = keyed.join(other, "key").where("(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to) <= 4")
-    near = near.select("core", "n", "to", "m").distinct().withColumn("d", once(_edits)("core", "to"))
-    likely = (F.col("d") <= 1) & (F.length("core") >= 6) | (F.col("d") == 2) & (F.length("core") >= 10) & ((F.col("n") <= 4) | (2 * F.col("n") <= F.col("m")))
-    posterior = F.log("m") - F.lit(edit_cost) * F.col("d")
+    near = checkpointed(candidate_pairs(cores).withColumn("kinds", once(_kinds)("core", "to")))
+    channel = learned(near, cores)
+    letters = F.length("core")
+    posterior = F.log("m") - channel.cost(F.col("kinds"), letters)
+    likely = posterior > F.log("n") - channel.by_chance(letters)
     best = near.where(likely).groupBy("core").agg(F.max_by("to", F.struct(posterior, "to")).alias("parent"))
     roots = _roots(best)
     rooted = cores.select("core", "n", "first").join(roots, "core", "left").select("core", "n", "first", F.coalesce("root", "core").alias("root"))
@@ -203,7 +379,7 @@ def companies(df: DataFrame, name: str = "company_name", edit_cost: float = 4.0)
     full = rooted.where("first <> ''").select(F.col("first").alias("word"), "core", "n", "root", F.explode(deletions(F.col("first"))).alias("key"))
     asked = short.select("name", "first", "initial", F.explode(deletions(F.col("first"))).alias("key"))
     fits = asked.join(full, "key").where("substring(core, length(word) + 1, 1) = initial AND levenshtein(first, word) <= 2")
-    held = fits.groupBy("name").agg(F.max_by("root", F.struct(F.log("n") - F.lit(edit_cost) * F.levenshtein("first", "word"), "root")).alias("root"))
+    held = fits.groupBy("name").agg(F.max_by("root", F.struct(F.log("n") - F.lit(channel.mean_cost) * F.levenshtein("first", "word"), "root")).alias("root"))
     abbreviated = parts.where("initial <> ''").join(held, "name", "left").select("name", "n", "business", F.coalesce("root", F.concat("first", F.lit(" "), "initial")).alias("root"))
     placed = whole.join(rooted.select("core", "root"), "core").select("name", "n", "business", "root").unionByName(abbreviated)
     # Lines of business divide a root; a name that leaves it open goes to the most frequent one it may mean.
