@@ -1,16 +1,20 @@
 """Free-typed titles led to the entries of a reference list.
 
-A title is cut at its separators into pieces; every run of pieces that is one of the
-list's forms denotes that entry. Forms are compared in a canonical wording (abbreviations
-spelled out, headword last, no function words). What is not found outright goes, in
-batches, through a BK-tree over the reference forms under the unrestricted
-Damerau-Levenshtein distance; a candidate counts only if also each word of it agrees with
-its counterpart, so a different word of similar spelling is no match. Cut-off titles are
-led to the forms they begin. The smallest priority number of all denoted entries wins.
-
-The reference list is a rule table of bounded size (checked), so the tree is built in each
-worker and rows never move: the operator is one narrow pass without a shuffle, and a title
-that occurs in many rows is looked up once per batch of rows.
+A title is cut at its separators into pieces. Every run of pieces, in a canonical wording
+(abbreviations spelled out, headword last, no function words), goes in batches through
+BK-trees over the reference forms under the unrestricted Damerau-Levenshtein distance: first
+with no edits allowed, and what no form covers then with edits by its length. A candidate
+counts only if also each word of it agrees with its counterpart, so a different word of
+similar spelling is no match. Cut-off titles go through a tree of beginnings of the forms.
+The smallest priority number of all denoted entries wins.
+
+Other names of roles (other languages, synonyms) are a table of (form, name): names are forms
+of their entry, in the tree like all others. Without a table the built-in list is used.
+
+A reference list of up to MAX_ENTRIES rows is one index, longer ones are sharded by form and
+the winners of the shards merged; an index is built once and broadcast, so rows never move:
+the operator is one narrow pass without a shuffle, and a title that occurs in many rows is
+looked up once per batch of rows.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ from ..functions.barrier import once
 from ..functions.missing import is_blank
 from .edit_tree import EditTree, distance
 
-#: Largest reference list that is built into every worker.
+#: Largest reference list of one index, and most shards of longer ones.
 MAX_ENTRIES = 20_000
+MAX_SHARDS = 50
 
 #: Rows of a task whose titles are looked up together, and titles whose results a worker keeps; both bound memory, not results.
 LOOKED_UP_AT_ONCE = 100_000
 KEPT_TITLES = 300_000
 
-#: Other names of roles, as "reference form: names". Wording, order and
-#: abbreviation of the reference forms themselves need no entry here.
+#: Other names of roles, as "reference form: names", used where no table of them is
+#: given. Wording, order and abbreviation of the reference forms themselves need no entry here.
 ALIASES = """
 owner: business owner; owner operator; proprietor; founder owner; owner founder; inhaber; inhaberin; gründer; gründerin; propriétaire; fondateur; fondatrice; propietario; fundador; cofounder; co owner
 chief executive officer: chief executive; geschäftsführer; geschäftsführerin; directeur général; directrice générale; director general; directora general; managing director md; vorstandsvorsitzender; pdg; gerente general; consejero delegado
@@ -159,8 +164,11 @@ def words_agree(typed: str, form: str, known: frozenset[str]) -> bool:
 class TitleIndex:
     """The reference forms and the BK-trees over them; built once per worker process."""
 
-    def __init__(self, entries: list[tuple[int, str]], catch_all: int | None, aliases: str = ALIASES) -> None:
-        """``entries``: (priority, reference form); ``catch_all``: priority of what denotes none."""
+    def __init__(self, entries: list[tuple[int, str]], catch_all: int | None, names: list[tuple[str, str]] | None = None, vocabulary: frozenset[str] | None = None) -> None:
+        """``entries``: (priority, reference form); ``catch_all``: priority of what denotes none.
+
+        ``names``: (reference form, other name); ``vocabulary``: the words of all forms, where the entries are a part of them.
+        """
         self.catch_all = catch_all
         self.forms: dict[str, int] = {}
         self.own: set[str] = set()
@@ -170,20 +178,18 @@ class TitleIndex:
             self._add(form, priority)
             self.own.add(canonical(words_of(spelled(form))))
             by_form.setdefault(canonical(words_of(spelled(form))), priority)
-        for line in aliases.strip().splitlines():
-            target, _, names = line.partition(":")
-            priority = by_form.get(canonical(words_of(spelled(target))))
+        for form, name in known_names() if names is None else names:
+            priority = by_form.get(canonical(words_of(spelled(form))))
             if priority is not None:
-                for name in names.split(";"):
-                    self._add(name, priority)
-        own = {w for _, form in entries for w in canonical(words_of(spelled(form))).split()}
-        self.known = frozenset(own) | AROUND | SERVING
+                self._add(name, priority)
+        self.known = (vocabulary_of(entries) if vocabulary is None else vocabulary) | AROUND | SERVING
         self.tree = EditTree(sorted(self.forms, key=lambda f: (-len(f), f)))
-        self.prefixes: dict[str, set[int]] = {}
-        for raw, priority in self.raw.items():
-            for n in range(4, len(raw)):
-                self.prefixes.setdefault(raw[:n], set()).add(priority)
-        self.prefix_tree = EditTree(sorted({p for p in self.prefixes if len(p) >= 9 and len(p) % 3 == 0}))
+        #: The forms that begin with what is in the tree of beginnings: from four letters, from nine on at every third.
+        self.begun: dict[str, set[str]] = {}
+        for raw in self.raw:
+            for n in [n for n in range(4, len(raw)) if n < 9 or n % 3 == 0]:
+                self.begun.setdefault(raw[:n], set()).add(raw)
+        self.prefix_tree = EditTree(sorted(self.begun))
         self.memory: dict[str, int | None] = {}
 
     def _add(self, form: str, priority: int) -> None:
@@ -222,28 +228,23 @@ class TitleIndex:
                 stubs.append(" ".join(stub))
         return [w for _, w in pieces], stubs
 
-    def _exact(self, pieces: list[list[str]]) -> tuple[set[int], set[int]]:
-        """Priorities of the runs of pieces that are forms, and the pieces those runs cover."""
-        found, covered = set(), set()
-        for i in range(len(pieces)):
-            for j in range(i + 1, min(len(pieces), i + 4) + 1):
-                priority = self.forms.get(canonical([w for p in pieces[i:j] for w in p]))
-                if priority is not None:
-                    found.add(priority)
-                    covered.update(range(i, j))
-        return found, covered
-
-    def _shared(self, pieces: list[list[str]]) -> set[int]:
-        """A headword that two joined subjects share: "head of a and b", "a and b director"."""
-        found = set()
+    @staticmethod
+    def _runs(pieces: list[list[str]]) -> list[tuple[str, range]]:
+        """The wording of each run of up to four pieces and the pieces it covers; none for a headword that two subjects share.
+
+        Such a headword ("head of a and b", "a and b director") is a wording of the subject that lacks it.
+        """
+        out = [(canonical([w for p in pieces[i:j] for w in p]), range(i, j)) for i in range(len(pieces)) for j in range(i + 1, min(len(pieces), i + 4) + 1)]
         for a, b in zip(pieces, pieces[1:], strict=False):
             for one, other in ((a, b), (b, a)):
                 head = next((w for w in (one[0], one[-1]) if w in _HEADS), None)
                 if head and len(one) > 1 and not set(other) & set(_HEADS):
-                    priority = self.forms.get(canonical([*other, head]))
-                    if priority is not None:
-                        found.add(priority)
-        return found
+                    out.append((canonical([*other, head]), range(0)))
+        return out
+
+    def _near(self, queries: list[str], limits: list[int]) -> dict[str, list[tuple[int, str]]]:
+        """For each wording the (distance, form) of all forms within its limit."""
+        return {q: [(d, self.tree.words[at]) for d, at in hits] for q, hits in zip(queries, self.tree.within(queries, limits), strict=True)}
 
     def _typed(self, words: list[str]) -> list[str]:
         """Wordings under which a misspelled piece is looked up."""
@@ -269,35 +270,32 @@ class TitleIndex:
         return [known[f] for f in forms]
 
     def _look_up(self, titles: list[str]) -> list[int | None]:
-        denoted: list[set[int]] = []
-        queries: list[str] = []
-        asked: list[int] = []
+        denoted: list[set[int]] = [set() for _ in titles]
+        cut = [self._pieces(title) for title in titles]
+        serving = [not pieces or any(p[0] in SERVING or p[-1] in SERVING or "assistant" in p for p in pieces) for pieces, _ in cut]
+        runs = [[] if none else self._runs(pieces) for none, (pieces, _) in zip(serving, cut, strict=True)]
+        wordings = list(dict.fromkeys(q for each in runs for q, _ in each))
+        as_is = self._near(wordings, [0] * len(wordings))
+        queries: list[tuple[int, str]] = []
         stubs: list[tuple[int, list[str]]] = []
-        for n, title in enumerate(titles):
-            pieces, begun = self._pieces(title)
-            if not pieces or any(p[0] in SERVING or p[-1] in SERVING or "assistant" in p for p in pieces):
-                denoted.append(set())
+        for n, (pieces, begun) in enumerate(cut):
+            if serving[n]:
                 continue
-            found, covered = self._exact(pieces)
-            found |= self._shared(pieces)
-            denoted.append(found)
+            covered: set[int] = set()
+            for q, places in runs[n]:
+                for _, form in as_is[q]:
+                    denoted[n].add(self.forms[form])
+                    covered.update(places)
             if begun and len(pieces) - 1 not in covered:
                 stubs.append((n, begun))
-            for i, p in enumerate(pieces):
-                if i not in covered:
-                    for q in self._typed(p):
-                        queries.append(q)
-                        asked.append(n)
+            queries += [(n, q) for i, p in enumerate(pieces) if i not in covered for q in self._typed(p)]
             if len(pieces) in (2, 3) and not covered:
-                for q in self._typed([w for p in pieces for w in p]):
-                    queries.append(q)
-                    asked.append(n)
-        unique = list(dict.fromkeys(queries))
-        near = dict(zip(unique, self.tree.within(unique, [threshold(q) for q in unique]), strict=True))
-        for n, q in zip(asked, queries, strict=True):
-            near_forms = [(d, self.tree.words[at]) for d, at in near[q]]
+                queries += [(n, q) for q in self._typed([w for p in pieces for w in p])]
+        unique = list(dict.fromkeys(q for _, q in queries))
+        near = self._near(unique, [threshold(q) for q in unique])
+        for n, q in queries:
             # Another name of a role may differ by one edit only: it is farther from the list itself.
-            good = [(d, self.forms[f]) for d, f in near_forms if (d < 2 or f in self.own) and words_agree(q, f, self.known)]
+            good = [(d, self.forms[f]) for d, f in near[q] if (d < 2 or f in self.own) and words_agree(q, f, self.known)]
             if good:
                 denoted[n].add(min(good)[1])
         for n, priority in self._stubs(stubs):
@@ -305,33 +303,48 @@ class TitleIndex:
         return [min(found) if found else self.catch_all for found in denoted]
 
     def _stubs(self, stubs: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
-        """Cut-off titles: the entry that their text, exactly or within edits, begins."""
-        out, unsure = [], []
-        for n, texts in stubs:
-            exact = next((e for t in texts if (e := self.prefixes.get(t))), None)
-            if exact:
-                if len(exact) <= 2:
-                    out.append((n, min(exact)))
-            else:
-                unsure += [(n, t[: len(t) // 3 * 3]) for t in texts[:1] if len(t) >= 9]
+        """Cut-off titles: the entry that their text, as it is or else within edits, begins."""
+        asked = [(n, t, t if len(t) < 9 else t[: len(t) // 3 * 3]) for n, texts in stubs for t in texts if len(t) >= 4]
+        exact: dict[int, set[int]] = {}
+        hits = self.prefix_tree.within([q for _, _, q in asked], [0] * len(asked))
+        for (n, text, _), near in zip(asked, hits, strict=True):
+            if n not in exact:
+                priorities = {self.raw[r] for _, at in near for r in self.begun[self.prefix_tree.words[at]] if r.startswith(text) and r != text}
+                if priorities:
+                    exact[n] = priorities
+        out = [(n, min(found)) for n, found in exact.items() if len(found) <= 2]
+        unsure = [(n, texts[0][: len(texts[0]) // 3 * 3]) for n, texts in stubs if n not in exact and texts and len(texts[0]) >= 9]
         hits = self.prefix_tree.within([s for _, s in unsure], [1 if len(s) < 12 else 2 for _, s in unsure])
-        for (n, _), near in zip(unsure, hits, strict=True):
+        for (n, stub), near in zip(unsure, hits, strict=True):
+            near = [(d, self.prefix_tree.words[at]) for d, at in near if len(self.prefix_tree.words[at]) >= 9]
             if near:
                 best = min(d for d, _ in near)
-                priorities = set().union(*(self.prefixes[self.prefix_tree.words[at]] for d, at in near if d == best))
+                priorities = {self.raw[r] for d, begun in near if d == best for r in self.begun[begun]}
                 if 0 < len(priorities) <= 2:
                     out.append((n, min(priorities)))
         return out
 
 
+def known_names() -> list[tuple[str, str]]:
+    """The built-in (reference form, other name) pairs."""
+    lines = [line.partition(":") for line in ALIASES.strip().splitlines()]
+    return [(form, name) for form, _, names in lines for name in names.split(";")]
+
+
+def vocabulary_of(entries: list[tuple[int, str]]) -> frozenset[str]:
+    """The words of the reference forms."""
+    return frozenset(w for _, form in entries for w in canonical(words_of(spelled(form))).split())
+
+
 def title_entries(hooks: DataFrame) -> tuple[list[tuple[int, str]], int | None]:
     """(priority, form) of every alternative of a rule table, and the catch-all's priority.
 
-    The catch-all is the row whose pattern is ``.*``. A table above MAX_ENTRIES rows is refused.
+    The catch-all is the row whose pattern is ``.*``. A table above MAX_SHARDS * MAX_ENTRIES rows is refused.
     """
-    rows = hooks.select("priority", "title_pattern").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a reference list of more than {MAX_ENTRIES} rows must be sharded")
+    most = MAX_SHARDS * MAX_ENTRIES
+    rows = hooks.select("priority", "title_pattern").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} reference entries")
     entries, catch_all = [], None
     for r in rows:
         if r.priority is None or r.title_pattern is None:
@@ -343,15 +356,36 @@ def title_entries(hooks: DataFrame) -> tuple[list[tuple[int, str]], int | None]:
     return entries, catch_all
 
 
-def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: str = "title_priority") -> DataFrame:
-    """Add the priority of the reference entry that each title denotes.
+def title_names(names: DataFrame | None, bound: int = 1_000_000) -> list[tuple[str, str]]:
+    """(reference form, other name) of a table with the columns ``form`` and ``name``; the built-in ones for None."""
+    if names is None:
+        return known_names()
+    rows = names.select("form", "name").where("form IS NOT NULL AND name IS NOT NULL").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} other names")
+    return [tuple(r) for r in rows]
+
+
+def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: str = "title_priority", names: DataFrame | None = None) -> DataFrame:
+    """Add the priority of the reference entry that each title denotes; ``names`` has other names of entries (form, name).
 
     Titles without a visible character, and NULL, get NULL. A title that denotes no entry gets
     the catch-all's priority (NULL without a catch-all). Equal titles get equal results. All
     columns of ``df`` stay; a column named as ``out`` is replaced. An empty table stays empty.
     """
     entries, catch_all = title_entries(hooks)
-    shared = df.sparkSession.sparkContext.broadcast(TitleIndex(entries, catch_all))  # bounded by MAX_ENTRIES
+    others, vocabulary = title_names(names), vocabulary_of(entries)
+    ordered = sorted(entries, key=lambda e: (canonical(words_of(spelled(e[1]))), e))
+    shards = [ordered[i : i + MAX_ENTRIES] for i in range(0, len(ordered), MAX_ENTRIES)] or [[]]
+    found = [_lookup(df, TitleIndex(shard, None, others, vocabulary))(F.col(title).cast("string")) for shard in shards]
+    best = found[0] if len(found) == 1 else F.array_min(F.array(*found))  # NULLs are passed over
+    seen = F.regexp_replace(F.col(title).cast("string"), r"[\p{Z}\p{C}\s]+", "") != ""
+    return df.withColumn(out, F.when(seen, F.coalesce(best, F.lit(catch_all).cast("int"))))
+
+
+def _lookup(df: DataFrame, index: TitleIndex):
+    """The look-up in one index as a column function; the index is broadcast (bounded by MAX_ENTRIES)."""
+    shared = df.sparkSession.sparkContext.broadcast(index)
 
     def mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
@@ -372,7 +406,7 @@ def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: s
             index.memory.clear()
             new = list(there)
         index.memory.update(zip(new, index.look_up(new), strict=True))
-        local = {t: index.memory[t] for t in there if any(unicodedata.category(c)[0] not in "ZC" for c in t)}
+        local = {t: index.memory[t] for t in there}
         for texts in parts:
             yield texts.map(local.get).astype("Int32")
 
@@ -380,7 +414,7 @@ def map_titles(df: DataFrame, hooks: DataFrame, title: str = "job_title", out: s
     def lookup(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from mapped(parts)
 
-    return df.withColumn(out, once(lookup)(F.col(title).cast("string")))
+    return once(lookup)
 
 
 def found_titles(leads: DataFrame, hooks: DataFrame) -> DataFrame:
