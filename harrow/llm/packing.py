@@ -75,26 +75,26 @@ def _filled(sizes: list[int], left: dict[int, int], gap: int) -> dict[int, int]:
         best, pair = first + (sizes[j] if j >= 0 else 0), None
         if best < gap and (j < 0 or rest - sizes[j] < sizes[0]):
             # Nothing would fit any more: look for two sizes, or one, that leave less room.
-            lo, hi, looked = 0, bisect_right(sizes, gap) - 1, 0
-            while lo <= hi and looked < 4096:
-                looked += 1
-                both = sizes[lo] + sizes[hi]
-                if both > gap:
-                    hi -= 1
-                elif free(sizes[lo]) < 1 + (lo == hi) or (lo == hi and free(sizes[lo]) < 2):
-                    lo += 1
-                elif free(sizes[hi]) < 1:
-                    hi -= 1
-                else:
-                    if both > best:
-                        best, pair = both, (sizes[lo], sizes[hi])
-                    lo += 1
+            pair = _fullest_pair([s for s in sizes[: bisect_right(sizes, gap)] if free(s) > 0], free, gap, best)
         for s in pair or (first,):
             items[s] = items.get(s, 0) + 1
             gap -= s
     return items
 
 
+def _fullest_pair(sizes: list[int], free, gap: int, least: int) -> tuple[int, int] | None:
+    """Two items whose sum is the largest up to ``gap``, if above ``least``; each size with the largest that fits beside it."""
+    there = np.array(sizes, dtype=np.int64)
+    if not len(there):
+        return None
+    at = np.searchsorted(there, gap - there, side="right") - 1
+    single = np.array([free(s) < 2 for s in sizes])
+    at = np.where(single & (at == np.arange(len(there))), at - 1, at)  # an item does not go with itself
+    sums = np.where(at >= 0, there + there[at], 0)
+    k = int(sums.argmax())
+    return (int(there[k]), int(there[at[k]])) if sums[k] > least else None
+
+
 def plan(histogram: dict[int, int], tiers: list[Tier]) -> list[Pattern]:
     """Patterns that hold every item of a histogram (size: count), sizes being at most the largest capacity."""
     left = {s: n for s, n in histogram.items() if s > 0 and n > 0}
@@ -159,9 +159,13 @@ def pack(sizes: DataFrame, tiers: list[Tier], doc_id: str = "doc_id", tokens: st
     if not counted:
         return none
     table = _slots(plan(counted, tiers), tiers, group_calls)
-    shared = sizes.sparkSession.sparkContext.broadcast(table)
-    buckets = max(1, -(-sum(counted.values()) // bucket_rows))
-    held = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(buckets)).cast("int"))
+    spark = sizes.sparkSession
+    shared = spark.sparkContext.broadcast(table)
+    # Only sizes of many items are cut into buckets, so the offsets are about as many as sizes, whatever the corpus.
+    hot = [(s, -(-n // bucket_rows)) for s, n in counted.items() if n > bucket_rows]
+    split = spark.createDataFrame(hot, "size long, buckets long")
+    held = items.withColumn("size", F.col("size").cast("long")).join(F.broadcast(split), "size", "left")
+    held = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part_no"), F.coalesce("buckets", F.lit(1))).cast("int")).drop("buckets")
     offsets = held.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = offsets.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = held.withColumn("within", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("doc_id", "part_no"))).join(offsets, ["size", "bucket"])
