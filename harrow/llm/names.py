@@ -17,13 +17,12 @@ an initial only go to the most frequent core they abbreviate. Lines of business
 a core: two names that state different ones name different companies, and a name that states
 none goes to the most frequent one.
 
-Candidates are found by joins on exact keys, never by comparing all. A core is cut into one
-segment more than there may be edits, so one segment stays whole (pigeonhole), at a place that
-can only shift by the edits before it; it is cut in several ways because of swaps across a
-boundary. The cores of a segment that many share are divided by what is left of them without
-the segment, with up to two letters taken out (two strings within two edits have such a
-remainder in common). So no pair is lost, and no key holds many cores
-unless they are near each other.
+Candidates are found by joins on exact keys, never by comparing all. Two edits leave one of a
+core's two ends with one edit at most, and strings within one edit have a form in common in
+which each lacks a letter at most; these forms are the keys. Cores of a key that many share
+are divided by the rest of them with up to two letters taken out, which two strings within two
+edits have in common. So no pair is lost, and no key holds many cores unless they are near
+each other.
 """
 
 from __future__ import annotations
@@ -156,107 +155,110 @@ EDITS = {"swap": lambda n: n, "double": lambda n: 2 * n, "letter": lambda n: 27
 LONG = 40
 
 
-def _cuts(n: int) -> list[list[tuple[int, int]]]:
-    """The ways in which a core of n letters is cut into segments (start, end).
+def _half(n: int) -> int:
+    """Letters of the first and of the last part of a core of n letters: an even number, half of it or less, 16 at most."""
+    return min(16, n // 4 * 2)
 
-    Three segments from eight letters on, for two edits, else two, for one. A swap across a
-    boundary breaks two segments at once; each further way has its boundaries one letter
-    farther, so of ways one more than there are edits, one has no swap across a boundary.
+
+def _without_one(text: str) -> set[str]:
+    return {text[:i] + text[i + 1 :] for i in range(len(text))}
+
+
+def own_keys(core: str) -> list[str]:
+    """Keys under which a core is found.
+
+    Two edits leave one of its ends (disjoint first and last parts) with one edit at most, and
+    strings within one edit have a form in common in which each lacks one letter or none. Cores
+    of fewer than ten letters are found whole as well, with one edit.
     """
-    k = 3 if n >= 8 else 2
-    inner = [n * i // k for i in range(1, k)]
-    ways = []
-    for o in range(k):
-        at = [0, *[min(n, x + o) for x in inner], n]
-        ways.append([(at[i], at[i + 1]) for i in range(k)])
-    return ways
+    n = len(core)
+    found = {f"W:{x}" for x in {core} | _without_one(core)} if 4 <= n < 10 else set()
+    if n >= 8:
+        h = _half(n)
+        for side, part in (("P", core[:h]), ("S", core[-h:])):
+            found |= {f"{side}{h}:{x}" for x in {part} | _without_one(part)}
+    return sorted(found)
 
 
-def own_keys(core: str) -> list[tuple[str, int, int]]:
-    """(key, start, width) of a core's segments; the key is length, way, number and letters."""
+def asked_keys(core: str) -> list[str]:
+    """Keys under which the cores within the edits allowed to this one are found: its own ends may be one letter shorter or longer than theirs."""
     n = len(core)
-    if n < 4:
+    if n < 6:
         return []
-    return [(f"{n}:{o}:{i}:{core[a:b]}", a, b - a) for o, cuts in enumerate(_cuts(n)) for i, (a, b) in enumerate(cuts)]
+    found = {f"W:{x}" for x in {core} | _without_one(core)} if n < 10 else set()
+    for h in {_half(m) for m in (range(max(8, n - 2), n + 3) if n >= 10 else range(10, n + 2))}:
+        for side, end in (("P", lambda k: core[:k]), ("S", lambda k: core[n - k :])):
+            found |= {f"{side}{h}:{x}" for x in {end(h - 1), end(h)} | _without_one(end(h)) | (_without_one(end(h + 1)) if h < n else set())}
+    return sorted(found)
 
 
-def asked_keys(core: str) -> list[tuple[str, int, int]]:
-    """(key, start, width) under which the cores within the edits allowed to this one are found.
+def thinned(rest: str) -> set[str]:
+    """A string with up to two letters taken out."""
+    one = _without_one(rest)
+    return {rest} | one | {r for x in one for r in _without_one(x)}
 
-    The first segment stands at the start and the last at the end of both; one between them may
-    be shifted by ``s``, which takes that many edits before it, and the rest of the difference
-    in length behind it.
-    """
-    n = len(core)
-    edits = 2 if n >= 10 else 1 if n >= 6 else 0
-    found: dict[tuple[str, int, int], None] = {}
-    for m in range(max(4, n - edits), n + edits + 1) if edits else ():
-        for o, cuts in enumerate(_cuts(m)):
-            for i, (a, b) in enumerate(cuts):
-                shifts = (0,) if i == 0 else (n - m,) if i == len(cuts) - 1 else [s for s in range(-edits, edits + 1) if abs(s) + abs(n - m - s) <= edits]
-                for s in shifts:
-                    if a + s >= 0 and b + s <= n:
-                        found[f"{m}:{o}:{i}:{core[a + s : b + s]}", a + s, b - a] = None
-    return list(found)
 
+def _rest(core: str, side: str, k: int) -> str:
+    return core[k:] if side == "P" else core[: len(core) - k]
 
-def thinned(rest: str) -> list[str]:
-    """A string with up to two letters taken out, each result once."""
-    one = {rest[:i] + rest[i + 1 :] for i in range(len(rest)) if rest[i] != "\0"}
-    return list({rest} | one | {r[:i] + r[i + 1 :] for r in one for i in range(len(r)) if r[i] != "\0"})
 
+def own_parts(core: str, key: str) -> list[str]:
+    """What the cores of a key that many share are divided by: the rest without the key's end, thinned or, if long, by its own keys."""
+    rest = _rest(core, key[0], int(key[1 : key.index(":")]))
+    return sorted((thinned(rest) if len(rest) <= LONG + 2 else set()) | (set(own_keys(rest)) if len(rest) > LONG - 2 else set()))
 
-def own_parts(core: str, start: int, width: int) -> list[str]:
-    """What a core that is looked for is divided by: its remainder without a segment, thinned or by its own segments."""
-    rest = core[:start] + "\0" + core[start + width :]
-    return (thinned(rest) if len(rest) <= LONG + 2 else []) + ([k for k, _, _ in own_keys(rest)] if len(rest) > LONG - 2 else [])
 
+def asked_parts(core: str, key: str) -> list[str]:
+    """The same of a core that asks, whose end may be one letter shorter or longer."""
+    head, _, form = key.partition(":")
+    side, h = head[0], int(head[1:])
+    out: set[str] = set()
+    for k in (h - 1, h, h + 1):
+        end = core[:k] if side == "P" else core[max(0, len(core) - k) :]
+        if form == end or form in _without_one(end):
+            rest = _rest(core, side, k)
+            out |= thinned(rest) if len(rest) <= LONG else set(asked_keys(rest))
+    return sorted(out)
 
-def asked_parts(core: str, start: int, width: int) -> list[str]:
-    """What a core that asks is divided by."""
-    rest = core[:start] + "\0" + core[start + width :]
-    return thinned(rest) if len(rest) <= LONG else [k for k, _, _ in asked_keys(rest)]
 
+def _listed(make, *columns: str) -> Column:
+    """``make`` of the columns, in Arrow batches, one row for each item."""
 
-def _keys(make):
-    @F.pandas_udf("array<struct<key:string,start:int,width:int>>")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<string>")
+    def made(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([[{"key": k, "start": a, "width": w} for k, a, w in make(x)] for x in part], dtype=object)
-
-    return F.inline(once(made)("core"))
+            yield pd.Series([make(*row) for row in zip(*part, strict=True)], dtype=object)
 
-
-def _parts(make):
     @F.pandas_udf("array<string>")
-    def made(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for cores, starts, widths in parts:
-            yield pd.Series([make(c, a, w) for c, a, w in zip(cores, starts, widths, strict=True)], dtype=object)
+    def made_of_one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([make(x) for x in part], dtype=object)
 
-    return F.explode(once(made)("core", "start", "width"))
+    return F.explode(once(made if len(columns) > 1 else made_of_one)(*columns))
 
 
 def candidate_pairs(cores: DataFrame, many: int = SHARED_BY_MANY) -> DataFrame:
     """(core, n, to, m, d): each core with the more frequent cores within the edits allowed to it, d edits apart.
 
-    Keys travel as hashes with the cores' numbers; the cores join their pairs afterwards.
+    Pairs are tested where they meet, before anything else is shuffled.
     """
-    named = cores.select("core", "n", F.xxhash64("core").alias("id"))
-    columns = ["id", F.xxhash64("key").alias("key"), "start", "width"]
-    held = named.select("id", _keys(own_keys)).select(*columns)
-    asked = named.where("length(core) >= 6").select("id", _keys(asked_keys)).select(*columns)
-    hot = checkpointed(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("key", F.lit(True).alias("hot")))
-
-    def keyed(rows: DataFrame, parts) -> DataFrame:
-        marked = rows.join(hot, "key", "left")
-        divided = marked.where("hot").join(named.select("id", "core"), "id").select("id", "key", _parts(parts).alias("part"))
-        return marked.where("hot IS NULL").select("id", "key").unionByName(divided.select("id", F.xxhash64("key", "part").alias("key")))
-
-    met = keyed(asked, asked_parts).join(keyed(held, own_parts).withColumnRenamed("id", "to_id"), "key").where("id <> to_id").select("id", "to_id").distinct()
-    near = met.join(named, "id").join(named.select(F.col("id").alias("to_id"), F.col("core").alias("to"), F.col("n").alias("m")), "to_id")
-    near = near.where("(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to, 4) >= 0")
-    near = near.select("core", "n", "to", "m").withColumn("d", once(_edits)("core", "to"))
-    return near.where((F.col("d") == 1) | (F.col("d") == 2) & (F.length("core") >= 10))
+    held = cores.select(F.col("core").alias("to"), F.col("n").alias("m"), _listed(own_keys, "core").alias("key"))
+    asked = cores.where("length(core) >= 6").select("core", "n", _listed(asked_keys, "core").alias("key"))
+    near = "(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to, 4) >= 0"
+    shared = checkpointed(held.where("key NOT LIKE 'W%'").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("key"))
+    if shared.isEmpty():
+        return _apart(asked.join(held, "key").where(near).select("core", "n", "to", "m"))
+    met = asked.join(shared, "key", "left_anti").join(held, "key").where(near).select("core", "n", "to", "m")
+    divided_held = held.join(shared, "key", "left_semi").select("to", "m", "key", _listed(own_parts, "to", "key").alias("part"))
+    divided_asked = asked.join(shared, "key", "left_semi").select("core", "n", "key", _listed(asked_parts, "core", "key").alias("part"))
+    met = met.unionByName(divided_asked.join(divided_held, ["key", "part"]).where(near).select("core", "n", "to", "m"))
+    return _apart(met)
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    """The pairs with their distance, each once, within the edits allowed."""
+    met = met.distinct().withColumn("d", once(_edits)("core", "to"))
+    return met.where((F.col("d") == 1) | (F.col("d") == 2) & (F.length("core") >= 10))
 
 
 def edit_kinds(a: str, b: str) -> list[str]:

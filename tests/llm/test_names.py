@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from harrow.llm.names import parsed, spelling_classes, spelling_pairs
+from harrow.llm.edit_tree import distance
+from harrow.llm.names import asked_keys, asked_parts, candidate_pairs, edit_kinds, own_keys, own_parts, parsed, spelling_classes, spelling_pairs
 
 
 @pytest.mark.parametrize(
@@ -33,3 +36,35 @@ def test_pairs(spark):
 def test_ties_join(spark):
     df = spark.createDataFrame([("Kidbokpiv Dittin Robotics",), ("Kidbokpiw Dittin Robotics",)], "company_name string")
     assert [tuple(r) for r in spelling_pairs(df).collect()] == [("Kidbokpiv Dittin Robotics", "Kidbokpiw Dittin Robotics")]
+
+
+def edited(text: str, rng: random.Random) -> str:
+    i, c, kind = rng.randrange(len(text)), rng.choice("abcdeo"), rng.random()
+    return text[:i] + (c + text[i + 1 :] if kind < 0.25 else c + text[i:] if kind < 0.5 else text[i + 1 :] if kind < 0.75 else text[i + 1 : i + 2] + text[i : i + 1] + text[i + 2 :])
+
+
+def test_no_near_core_is_missed():
+    rng = random.Random(3)
+    for _ in range(3000):
+        s = "".join(rng.choice("abcdeo") for _ in range(rng.randint(6, 60 if rng.random() < 0.2 else 22)))
+        t = edited(s, rng)
+        t = edited(t, rng) if len(s) >= 10 and rng.random() < 0.7 else t
+        if len(t) < 4 or not 0 < distance(s, t) <= (2 if len(s) >= 10 else 1):
+            continue
+        met = set(own_keys(t)) & set(asked_keys(s))
+        assert met, (s, t)
+        assert any(k[0] == "W" or set(own_parts(t, k)) & set(asked_parts(s, k)) for k in met), (s, t)
+
+
+def test_keys_that_many_share(spark):
+    rng = random.Random(5)
+    cores = sorted({"stavvukbim" + "".join(rng.choice("abc") for _ in range(5)) for _ in range(150)})
+    df = spark.createDataFrame([(c, i + 1, "clash") for i, c in enumerate(cores)], "core string, n long, key string").select("core", "n")
+    wanted = {(a, b) for i, a in enumerate(cores) for b in cores[i + 1 :] if distance(a, b) <= 2}
+    for many in (5, 1000):
+        assert {(r.core, r.to) for r in candidate_pairs(df, many=many).collect()} == wanted
+
+
+def test_kinds_of_edits():
+    pairs = [("abcd", "abdc"), ("abcd", "abcdd"), ("abcd", "abxcd"), ("abcd", "abxd"), ("abcd", "axcx"), ("abc", "bc"), ("abc", "abcx")]
+    assert [edit_kinds(a, b) for a, b in pairs] == [["swap"], ["double"], ["letter"], ["other"], ["other"] * 2, ["letter"], ["letter"]]
