@@ -319,7 +319,8 @@ def learned(near: DataFrame, cores: DataFrame) -> Channel:
     """
     sure = near.where("d = 1 AND length(core) >= 10 AND 10 * n <= m").groupBy("core").agg(F.max("n").alias("n"), F.max_by("kinds", "m").alias("kinds"))
     seen = {r.kind: r.n for r in sure.select(F.explode("kinds").alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    letters = cores.select(F.explode(F.split("core", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    each = cores.select(F.explode(F.split("core", "")).alias("c"), (1 / F.length("core")).alias("share")).where("c <> ''")  # a long core counts as much as a short one
+    letters = each.groupBy("c").agg(F.sum("share").alias("k"))
     whole = letters.agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogk")).first()
     typed = cores.agg(F.count(F.lit(1)).alias("cores"), F.coalesce(F.sum(F.when(F.length("core") >= 10, F.col("n"))), F.lit(0)).alias("n")).first()
     entropy = math.log(whole["all"]) - whole["klogk"] / whole["all"] if whole["all"] else 1.0
