@@ -50,9 +50,6 @@ DEFAULT = re.compile(
     re.I,
 )
 _BLANK = re.compile(r"\b(?:to|in|of|at|by|from|with|dear|hello|hi|choose)\s+(?=[,!?](?:\s|$))", re.I)
-#: What every variable, default or blank has some of.
-_SIGNS = ("{", "[", "$", "%", "@", "#", "*|", "__", "<")
-_QUICK = (*_SIGNS, "todo", "fixme", "tbd", "xxx", "here", "(add", "(insert", "(enter", " ,", " !", " ?")
 _WEAK = frozenset(
     "error sorry oops unavailable denied blocked please try browser page server request session loading address link access visitor visitors service shop app application content site "
     "fehler leider entschuldigung gesperrt blockiert bitte versuchen seite anfrage sitzung adresse zugriff besucher dienst wartung inhalt "
@@ -70,6 +67,19 @@ _LINE_WORDS = r"\{\}|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 SOME_FIELDS = 10_000
 
 
+def _signed(t: str) -> bool:
+    """Whether a text has what every variable has some of."""
+    return "{" in t or "[" in t or "$" in t or "%" in t or "@" in t or "#" in t or "<" in t or "*|" in t or "__" in t
+
+
+def _quick(t: str) -> bool:
+    """Whether a text has what every variable, default or blank has some of."""
+    if _signed(t) or " ," in t or " !" in t or " ?" in t or "TODO" in t or "FIXME" in t or "TBD" in t:
+        return True
+    low = t.casefold()
+    return "here" in low or "xxx" in low or "(add" in low or "(insert" in low or "(enter" in low
+
+
 def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
     """Whether an unfilled field is certain, and the (words before, words after, token) of each possible one.
 
@@ -81,15 +91,14 @@ def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
 
 def fields_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str, str, str]]]:
     """As ``slots_of``, with all words of the sentence before and after each field, up to the next field (see ``line_of``)."""
+    return fields_in([s for t in texts for s in _SENTENCE.split(t)])
+
+
+def fields_in(sentences: list[str]) -> tuple[bool, list[tuple[str, str, str, str, str]]]:
+    """``fields_of`` of texts that are cut into sentences."""
     sure, found = False, []
-    whole = "\n".join(texts).casefold()
-    if not any(sign in whole for sign in _QUICK):
-        return sure, found
-    for text in texts:
-        low = text.casefold()
-        if not any(sign in low for sign in _QUICK):
-            continue
-        for sentence in _SENTENCE.split(text):
+    for sentence in sentences:
+        if _quick(sentence):
             if DEFAULT.search(sentence):
                 sure = True
             for m in [*VARIABLE.finditer(sentence), *_BLANK.finditer(sentence)]:
@@ -106,7 +115,7 @@ def fields_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str, str, st
 
 def line_of(sentence: str) -> str:
     """The words of a sentence between ^ and $, with {} for each field."""
-    if any(sign in sentence for sign in _SIGNS):
+    if _signed(sentence):
         at, words = 0, []
         for m in VARIABLE.finditer(sentence):
             words += [*_WORDS.findall(sentence[at : m.start()].lower()), "{}"]
@@ -170,10 +179,9 @@ def signs(df: DataFrame) -> DataFrame:
             for fetch_id, url, body, error in zip(part["fetch_id"], part["url"], part["body"], part["error"], strict=True):
                 blocks = blocks_of(body)
                 kind, main = judged(blocks, field.decode(blocks))
-                texts = paragraphs(blocks)
-                sure, slots = fields_of(texts)
-                for t in texts:
-                    sentences.update(_SENTENCE.split(t))
+                cut = [s for t in paragraphs(blocks) for s in _SENTENCE.split(t)]
+                sure, slots = fields_in(cut)
+                sentences.update(cut)
                 sure = sure or kind in ("notice", "filler") or unfilled_error(error)
                 host = host_of(url)
                 template, cue = None, False
@@ -184,7 +192,7 @@ def signs(df: DataFrame) -> DataFrame:
                     cue = _cued(each)
                 if sure or slots or template:
                     rows.append((fetch_id, sure, host, template, cue, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
-            rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if any(sign in t for sign in _SIGNS) else t for t in sentences]))
+            rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if _signed(t) else t for t in sentences]))
             yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "cue", "slots", "lines"]).astype({"fetch_id": "Int64"})
 
     columns = ["fetch_id", *[F.col(c).cast("string").alias(c) for c in ("url", "body", "error")]]
@@ -206,15 +214,14 @@ def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
     few = [r.key for r in asked.select("key").distinct().limit(SOME_FIELDS + 1).collect()]
     if not few:
         return fields.select("pre", "post").limit(0)
-    lines = lines.select(F.array_join(F.concat(F.array(F.lit("^")), F.regexp_extract_all(F.lower("line"), F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$"))), " ").alias("line"))
-    lines = lines.select(settled(F.col("line")).alias("line"))
-    words = F.split("line", " ")
-    pairs = F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
-    lines = lines.select("line", settled(pairs).alias("pairs"))
+    words = F.concat(F.array(F.lit("^")), F.regexp_extract_all(F.lower("line"), F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$")))
+    lines = lines.select(settled(words).alias("words"))
     if len(few) <= SOME_FIELDS:
         asked = F.broadcast(asked)
-        lines = lines.where(F.exists("pairs", lambda p: p.isin(few)))
-    met = lines.select("line", F.explode("pairs").alias("key")).join(asked, "key")
+        telling = sorted({max(k.split(" "), key=len) for k in few})
+        lines = lines.where(F.exists("words", lambda w: w.isin(telling)))
+    pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
+    met = lines.select(F.array_join("words", " ").alias("line"), F.explode(pairs).alias("key")).join(asked, "key")
     rest = F.expr("CASE WHEN pre = '' THEN concat(' ', line, ' ') WHEN locate(concat(' ', pre, ' '), concat(' ', line, ' ')) > 0 THEN substring(concat(' ', line, ' '), locate(concat(' ', pre, ' '), concat(' ', line, ' ')) + length(pre) + 1) END")
     gap = F.expr("CASE WHEN post = '' THEN split(trim(rest), ' ')[0] WHEN pre = '' THEN element_at(split(trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)), ' '), -1) WHEN locate(concat(' ', post, ' '), rest) > 1 THEN trim(substring(rest, 1, locate(concat(' ', post, ' '), rest) - 1)) END")
     return met.withColumn("rest", rest).withColumn("gap", gap).where("gap NOT IN ('', '^', '$') AND NOT contains(gap, '{}')").select("pre", "post").distinct()

@@ -4,7 +4,7 @@ Lines are labelled by the written-out knowledge of page furniture in ``page_word
 markup; at most PAGES pages (default 9000, a bounded sample) and as many excerpts are used.
 A tenth of them is held out and its accuracy printed. Weights are fitted by stochastic
 gradient ascent on the conditional log-likelihood (forward-backward), with AdaGrad steps
-and L2 decay, and averaged over the second half of the training; a page is shown without its words three times in ten.
+and L2 decay, and averaged over the second half of the training; a page is shown without its words three times in ten, and only a part of it as often.
 Features seen in fewer than twelve pages are left out.
 """
 
@@ -79,10 +79,14 @@ def train(data: list[tuple[list[Block], list[int]]], epochs: int = 6, rate: floa
             codes = coded[k]
             if order.random() < 0.3:  # without its words, so that the form of a block tells something of its own
                 codes = [c[~lexical[c]] for c in codes]
+            fresh = [int(b.fresh) for b in blocks]
+            if order.random() < 0.3:  # a part of the page, so that pages may begin and end anywhere
+                lo = int(order.integers(0, len(codes)))
+                hi = int(order.integers(lo + 1, len(codes) + 1))
+                codes, y, fresh = codes[lo:hi], y[lo:hi], fresh[lo:hi]
             n = len(codes)
             e = np.array([w[c].sum() for c in codes])
             emit = np.stack([np.zeros(n), e], 1)
-            fresh = [int(b.fresh) for b in blocks]
             alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
             alpha[0] = start + emit[0]
             for i in range(1, n):
