@@ -44,7 +44,7 @@ def _decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def plain_text(col: Column) -> Column:
     """As ``plain``, with character references decoded first (all of HTML's, in Arrow batches)."""
-    return plain(once(_decoded)(col))
+    return plain(F.regexp_replace(once(_decoded)(col), r"[\p{Z}\x{85}\x{1C}-\x{1F}]+", " "))
 
 
 def _kept(words: Column, least: int, weak: tuple[str, ...], outer: str) -> Column:

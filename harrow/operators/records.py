@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions.barrier import once
 from ..functions.text import header_key
 
 
@@ -37,10 +42,15 @@ def clamped(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(F.isnan(number), None).otherwise(number), F.lit(0.0))))
 
 
+@F.pandas_udf(StringType())
+def _two_decimals(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(lambda x: "" if pd.isna(x) else f"{x:.2f}")
+
+
 def two_decimals(value: Column) -> Column:
-    """A number as text with two decimals, exactly rounded half to even from its binary value; '' for NULL."""
-    exact = F.bround(value.cast("decimal(38,18)"), 2)
-    return F.coalesce(exact.cast("decimal(38,2)").cast("string"), F.lit(""))
+    """A number as text with two decimals, rounded from its exact binary value (the JVM rounds its decimal form); '' for NULL."""
+    return once(_two_decimals)(value.cast("double"))
 
 
 def cache_key(parts: list[Column], payload: dict[str, Column]) -> Column:

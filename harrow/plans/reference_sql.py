@@ -2,8 +2,45 @@
 
 from __future__ import annotations
 
-from ..functions import text as T
-from . import reference_queries as R
+#: Fixed values, written out here as well, so that the statements do not share a mistake with the plans.
+COMPANY_ENDINGS = (
+    "corp", "corporation", "inc", "incorporated", "llc", "ltd", "limited", "&", "and",
+)
+BRAND_ENDINGS = (
+    "company", "corporation", "holdings", "limited", "services", "service", "group", "inc", "ltd", "llc", "co",
+)
+COMPANY_STOP_WORDS = (
+    "and", "associates", "company", "corp", "corporation", "group", "inc", "llc", "limited", "ltd", "partners", "the",
+)
+PLACEHOLDERS = (
+    "-", "n/a", "na", "none", "not available", "not revealed", "unknown",
+)
+NAVIGATION_WORDS = (
+    "home", "about", "us", "our", "services", "products", "contact", "team", "menu", "login", "sign", "in", "up", "learn", "more", "click", "here", "read", "next", "back", "privacy",
+    "policy", "terms", "conditions", "careers", "news", "resources", "solutions", "industries", "support", "search", "to", "find", "out",
+)
+BLOCKED_PHRASES = (
+    "accept cookies", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "subscribe to our newsletter", "javascript is disabled", "page not found",
+    "access denied", "contact us today", "learn more", "cookies help us", "world-leading", "world leading", "industry-leading", "industry leading", "best-in-class",
+    "best in class", "number one", "#1",
+)
+CUT_WORDS = (
+    "advis", "commer", "comp", "financ", "int", "intern", "internat", "manag", "servic", "solut", "transact",
+)
+BUSINESS_VERBS = (
+    r"\b(help|helps|support|supports|provide|provides|offer|offers|speciali[sz]e|speciali[sz]es|advise|advises|manage|manages|build|builds|deliver|delivers|"
+    r"serve|serves|work with|works with|enable|enables|acquire|acquires|acquiring|buy|buys|buying|invest|invests|investing)\b"
+)
+#: The parameters of the queries.
+VARIANTS = 5
+TTL_HOURS = 168
+BUDGET_MICROS = 50_000_000_000
+BANNED = (
+    "spare parts", "second shift", "walk round", "thank you", "vielen dank",
+)
+POOLS = (("alpha", ("finance", "sales")), ("beta", ("operations", "hr")), ("gamma", ("*",)), ("delta", ("*", "marketing")))
+FIELDS = [("company_description", 0.7), ("job_title", 0.6), ("job_department", 0.5)]
+TEMPLATE = "Hi {{ first_name }}, a note on {{company_name}} for {{ job_title }} ({not_a_field})"
 
 
 def _q(s: str) -> str:
@@ -48,7 +85,7 @@ def match_form(c: str) -> str:
 
 def brand(h: str) -> str:
     lab = f"regexp_replace(regexp_extract(regexp_replace(lower({h}), '^www\\.', ''), '^([^.]*)', 1), '[^a-z0-9]', '', 'g')"
-    cases = " ".join(f"WHEN {lab} LIKE '%{e}' AND length({lab}) >= {len(e) + 5} THEN regexp_replace({lab}, '{e}$', '')" for e in T.BRAND_ENDINGS)
+    cases = " ".join(f"WHEN {lab} LIKE '%{e}' AND length({lab}) >= {len(e) + 5} THEN regexp_replace({lab}, '{e}$', '')" for e in BRAND_ENDINGS)
     return f"(CASE {cases} ELSE {lab} END)"
 
 
@@ -70,8 +107,8 @@ _VALID = (
 
 
 def _pool(c: str) -> str:
-    exact = "list_filter([" + ", ".join(f"CASE WHEN {c} IN ({_in(labels)}) THEN '{name}' END" for name, labels in R.POOLS) + "], lambda x: x IS NOT NULL)"
-    rest = "[" + ", ".join(f"'{name}'" for name, labels in R.POOLS if "*" in labels) + "]"
+    exact = "list_filter([" + ", ".join(f"CASE WHEN {c} IN ({_in(labels)}) THEN '{name}' END" for name, labels in POOLS) + "], lambda x: x IS NOT NULL)"
+    rest = "[" + ", ".join(f"'{name}'" for name, labels in POOLS if "*" in labels) + "]"
     return f"array_to_string(CASE WHEN len({exact}) > 0 THEN {exact} ELSE {rest} END, ',')"
 
 
@@ -111,27 +148,27 @@ def _profile() -> str:
 
 def _score(c: str) -> str:
     n = f"len(string_split_regex({strip(c)}, '\\s+'))"
-    return f"round(least(0.96, 0.66 + 0.04 + CASE WHEN regexp_matches({c}, {_q(T.BUSINESS_VERBS)}, 'i') THEN 0.08 ELSE 0.0 END + CASE WHEN {n} BETWEEN 8 AND 24 THEN 0.04 ELSE 0.0 END), 4)::DOUBLE"
+    return f"round(least(0.96, 0.66 + 0.04 + CASE WHEN regexp_matches({c}, {_q(BUSINESS_VERBS)}, 'i') THEN 0.08 ELSE 0.0 END + CASE WHEN {n} BETWEEN 8 AND 24 THEN 0.04 ELSE 0.0 END), 4)::DOUBLE"
 
 
 def _acceptable(c: str) -> str:
     w = f"string_split_regex({strip(c)}, '\\s+')"
-    return f"""(len({w}) BETWEEN 6 AND 42 AND ({first_phrase(c, T.BLOCKED_PHRASES)}) = ''
+    return f"""(len({w}) BETWEEN 6 AND 42 AND ({first_phrase(c, BLOCKED_PHRASES)}) = ''
       AND NOT regexp_matches({c}, '\\b\\d+(?:\\.\\d+)?%|\\b\\d+[kmb]\\+?\\b|\\b\\d+\\+\\s+years?\\b|\\b(?:million|billion)\\b', 'i')
       AND length({c}) - length(replace({c}, '|', '')) <= 1 AND length({c}) - length(replace({c}, '/', '')) <= 3
       AND NOT regexp_matches({c}, 'https?://|www\\.|\\S@\\S', 'i') AND NOT regexp_matches(lower({c}), '^(?:visit|click|shop|browse|contact|download)\\b|^\\(?see\\b')
-      AND regexp_replace(lower({w}[-1]), '[^a-z]', '', 'g') NOT IN ({_in(T.CUT_WORDS)}))"""
+      AND regexp_replace(lower({w}[-1]), '[^a-z]', '', 'g') NOT IN ({_in(CUT_WORDS)}))"""
 
 
 def _flaw(c: str) -> str:
     found = f"regexp_extract_all(lower({c}), '[a-z]+')"
     return f"""CASE WHEN len({words(c)}) < 4 THEN 'short'
       WHEN regexp_matches({c}, '\\b(?:(?:we|this (?:site|website)) uses? cookies|accept (?:all )?cookies|cookie (?:policy|preferences|consent)|manage (?:your )?(?:cookies|consent)|consent preferences|all rights reserved)\\b', 'i') THEN 'notice'
-      WHEN len({found}) > 0 AND len(list_filter({found}, lambda w: w NOT IN ({_in(T.NAVIGATION_WORDS)}))) = 0 THEN 'navigation' ELSE '' END"""
+      WHEN len({found}) > 0 AND len(list_filter({found}, lambda w: w NOT IN ({_in(NAVIGATION_WORDS)}))) = 0 THEN 'navigation' ELSE '' END"""
 
 
 def _leaks() -> str:
-    own = f"list_filter(list_transform({words('company_name')}, lambda w: lower(w)), lambda w: w NOT IN ({_in(T.COMPANY_STOP_WORDS)}))"
+    own = f"list_filter(list_transform({words('company_name')}, lambda w: lower(w)), lambda w: w NOT IN ({_in(COMPANY_STOP_WORDS)}))"
     said = f"list_transform({words('company_description')}, lambda w: lower(w))"
     return f"""WITH w AS (SELECT row_idx, {own} AS own, {said} AS said FROM leads)
       SELECT row_idx, coalesce(len(own) > 0 AND len(said) > 0 AND ((length(own[1]) >= 4 AND said[1] = own[1]) OR len(list_distinct(list_intersect(own, said))) >= 2), false) AS leaks FROM w"""
@@ -139,7 +176,7 @@ def _leaks() -> str:
 
 def _brand_name() -> str:
     c = "company_name"
-    ends = "|".join(T.COMPANY_ENDINGS)
+    ends = "|".join(COMPANY_ENDINGS)
     cut = f"regexp_replace({c}, '\\s*(?:\\||\\(|\\[|[–—]|\\s-\\s).*$', '', 's')"
     kept = f"regexp_replace({strip(cut)}, '(?:\\s+[,.;:-]*(?:{ends})[,.;:-]*)+$', '', 'i')"
     short = f"regexp_replace(regexp_extract({kept}, '^(\\S+(?:\\s+\\S+){{0,3}})', 1), '\\s+', ' ', 'g')"
@@ -157,7 +194,7 @@ def _given() -> str:
 def _message() -> str:
     import re
 
-    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", R.TEMPLATE)
+    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", TEMPLATE)
     return "SELECT row_idx, " + " || ".join(_q(p) if i % 2 == 0 else f"coalesce({p}, '')" for i, p in enumerate(parts)) + " AS message FROM leads"
 
 
@@ -169,8 +206,8 @@ def _case() -> str:
 
 
 def _unpivot() -> str:
-    parts = [f"SELECT row_idx, {i + 1} AS pos, '{h}' AS header, {plain(h)} AS value, {c}::DOUBLE AS confidence FROM leads" for i, (h, c) in enumerate(R.FIELDS)]
-    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL AND value <> '' AND lower(value) NOT IN ({_in(T.PLACEHOLDERS)})"
+    parts = [f"SELECT row_idx, {i + 1} AS pos, '{h}' AS header, {plain(h)} AS value, {c}::DOUBLE AS confidence FROM leads" for i, (h, c) in enumerate(FIELDS)]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL AND value <> '' AND lower(value) NOT IN ({_in(PLACEHOLDERS)})"
 
 
 _SENIORITY = ("Founder/Owner", "C-Suite", "Vice President", "Director", "Manager", "Senior", "entry")
@@ -183,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
     seniority = "CASE job_seniority " + " ".join(f"WHEN {_q(s)} THEN {i + 1}" for i, s in enumerate(_SENIORITY)) + " ELSE 99 END"
     now = "(SELECT max(ts) FROM events)"
     age = f"epoch_us({now}) - epoch_us(ts)"
-    micros = R.TTL_HOURS * 3_600_000_000
+    micros = TTL_HOURS * 3_600_000_000
     identity = f"CASE WHEN coalesce({label('company_name')}, '') <> '' THEN 'company-name:' || {label('company_name')} WHEN coalesce({email('email')}, '') <> '' THEN 'contact:' || {email('email')} ELSE 'row:' || row_idx END"
     return {
         "header_normalize": "SELECT file_id, header, regexp_replace(regexp_replace(lower(trim(header)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM (SELECT file_id, unnest(string_split(header_line, delim_char)) AS header FROM lead_files)",
@@ -200,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "brand_hint": f"SELECT fetch_id, {brand(domain('url'))} AS brand FROM fetch_results",
         "redirect_match": _redirect(),
         "merge_render": _message(),
-        "banned_phrase_first": f"SELECT doc_id, {first_phrase('text', R.BANNED)} AS phrase FROM documents",
+        "banned_phrase_first": f"SELECT doc_id, {first_phrase('text', BANNED)} AS phrase FROM documents",
         "verbatim_quote": f"SELECT signal_id, coalesce({match_form('focus')} <> '' AND contains({match_form('evidence')}, {match_form('focus')}), false) AS verbatim FROM site_signals",
         "name_leak": _leaks(),
         "evidence_check": f"SELECT signal_id, {_flaw('evidence')} AS flaw FROM site_signals WHERE evidence IS NOT NULL",
@@ -220,8 +257,8 @@ def oracle_sql() -> dict[str, str]:
         "fallback_unpivot": _unpivot(),
         "pending_anti_join": f"WITH {_DOMAINS}, {_FIRST_DOMAINS} SELECT * FROM fd WHERE domain NOT IN (SELECT {domain('url')} FROM fetch_results)",
         "variant_pool_match": f"SELECT row_idx, {_pool(f'''coalesce({label('job_department')}, '')''')} AS pool FROM leads",
-        "stable_variant": f"WITH {_DOMAINS}, {_FIRST_DOMAINS} SELECT domain, list_reduce({limbs}, lambda a, b: (a * 65536 + b) % {R.VARIANTS}) AS variant FROM fd",
-        "balanced_variants": f"WITH {_DOMAINS}, {_FIRST_DOMAINS} SELECT domain, ((row_number() OVER (ORDER BY sha256('balance:' || domain)) - 1) % {R.VARIANTS})::INT AS variant FROM fd",
+        "stable_variant": f"WITH {_DOMAINS}, {_FIRST_DOMAINS} SELECT domain, list_reduce({limbs}, lambda a, b: (a * 65536 + b) % {VARIANTS}) AS variant FROM fd",
+        "balanced_variants": f"WITH {_DOMAINS}, {_FIRST_DOMAINS} SELECT domain, ((row_number() OVER (ORDER BY sha256('balance:' || domain)) - 1) % {VARIANTS})::INT AS variant FROM fd",
         "pool_balanced_variants": f"""WITH {_DOMAINS}, p AS (SELECT domain, arg_min({_pool(f'''coalesce({label('job_department')}, '')''')}, row_idx) AS pool FROM dom WHERE domain <> '' GROUP BY domain)
           SELECT domain, pool, ((row_number() OVER (PARTITION BY pool ORDER BY sha256('balance:' || domain)) - 1) % len(string_split(pool, ',')))::INT AS variant FROM p""",
         "email_dedupe_winner": f"""WITH k AS (SELECT row_idx, nullif({email('email')}, '') AS key, updated_at FROM leads), w AS (SELECT *, first_value(row_idx) OVER (PARTITION BY key ORDER BY updated_at DESC NULLS LAST, row_idx) AS winner, count(*) OVER (PARTITION BY key) AS copies FROM k WHERE key IS NOT NULL)
@@ -241,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT domain, 'cache' AS origin FROM c UNION ALL SELECT domain, 'fresh' FROM fd WHERE domain NOT IN (SELECT domain FROM c)""",
         "cache_ttl_lookup": f"SELECT event_type, user_id, event_id FROM events WHERE {age} <= {micros} QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",
         "cache_prune_count": f"SELECT event_type, count(*) AS removed FROM events WHERE ts IS NULL OR {age} > {micros} GROUP BY 1",
-        "running_budget": f"WITH s AS (SELECT event_id, sum(greatest(round(value * 1000000), 0)::BIGINT) OVER (ORDER BY event_id)::BIGINT AS spent_micros FROM events) SELECT event_id, spent_micros, spent_micros >= {R.BUDGET_MICROS} AS exhausted FROM s",
+        "running_budget": f"WITH s AS (SELECT event_id, sum(greatest(round(value * 1000000), 0)::BIGINT) OVER (ORDER BY event_id)::BIGINT AS spent_micros FROM events) SELECT event_id, spent_micros, spent_micros >= {BUDGET_MICROS} AS exhausted FROM s",
         "usage_split": "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, user_id, 1000 // n + CASE WHEN k <= 1000 % n THEN 1 ELSE 0 END AS share FROM r",
         "included_held_split": f"""WITH RECURSIVE {_DOMAINS}, f AS (SELECT row_idx, domain, {email('email')} AS key FROM dom WHERE domain <> '' AND {email('email')} <> '' AND {_VALID}),
           walk AS (SELECT row_idx, key, domain, 'open' AS status FROM f UNION ALL

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Accepted names of each canonical field, the first that a file has wins.
@@ -52,31 +50,58 @@ def read_leads(spark: SparkSession, path: str, company_only: bool = False) -> tu
     if missing:
         raise ValueError("missing required columns: " + ", ".join(missing))
     cells = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-    numbered = cells.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0]))  # file order exists only at the scan
-    schema = "row_idx long, " + ", ".join(f"`{c}` string" for c in df.columns)
-    return spark.createDataFrame(numbered, schema), mapping
+    return numbered(cells), mapping
 
 
-def write_csv(df: DataFrame, path: str, order: str = "row_idx", mark: bool = True) -> None:
-    """One CSV file in the order of a column, written without it beside its place and then moved there.
+def numbered(df: DataFrame, out: str = "row_idx") -> DataFrame:
+    """Add the number of each row, from 1, in the order of the scan: its place in its partition and the rows of those before.
 
-    For deliveries, which are one file by contract; bulk output belongs in Parquet.
+    Only one count for each partition of the scan is gathered (and broadcast).
     """
-    target = Path(path)
-    if target.resolve().is_dir():
+    held = df.withColumn("_hw_at", F.monotonically_increasing_id())
+    part = F.shiftright("_hw_at", 33)
+    counts = held.select(part.alias("_hw_part")).groupBy("_hw_part").agg(F.count(F.lit(1)).alias("_hw_n"))
+    before = F.coalesce(F.sum("_hw_n").over(Window.partitionBy(F.lit(0)).orderBy("_hw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_hw_part", before.alias("_hw_before"))
+    joined = held.join(F.broadcast(offsets), part == F.col("_hw_part"))
+    place = F.col("_hw_at").bitwiseAND(F.lit(2**33 - 1)) + F.col("_hw_before") + 1
+    return joined.select(place.cast("long").alias(out), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def write_csv(df: DataFrame, path: str, order: str = "row_idx", mark: bool = True, quote_all: bool = False, lacking: list[str] | None = None) -> None:
+    """One CSV file in the order of a column, written without it.
+
+    Rows are sorted and written by many tasks beside the target, on its own file system; their
+    files are then joined, in order, into one that takes the target's place at once. ``lacking``
+    names columns that the file has in any case, empty where ``df`` has none. For deliveries,
+    which are one file by contract; bulk output belongs in Parquet.
+    """
+    spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if files.exists(target) and files.getFileStatus(target).isDirectory():
         raise ValueError(f"{path} is a folder")
-    work = target.with_name(f".{target.name}.work")
-    shutil.rmtree(work, ignore_errors=True)
-    df.repartitionByRange(1, order).sortWithinPartitions(order).drop(order).write.option("header", True).option("escape", '"').csv(str(work))
-    part = next(work.glob("part-*.csv"))
-    staged = target.with_name(f".{target.name}.new")
-    with open(part, "rb") as source, open(staged, "wb") as out:
-        out.write(b"\xef\xbb\xbf" if mark else b"")
-        shutil.copyfileobj(source, out)
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(staged, target)
-    shutil.rmtree(work)
+    work = hadoop.fs.Path(target.getParent(), f".{target.getName()}.work")
+    staged = hadoop.fs.Path(target.getParent(), f".{target.getName()}.new")
+    files.delete(work, True)
+    whole = df.withColumns({c: F.lit("") for c in lacking or [] if c not in df.columns})
+    columns = [c for c in whole.columns if c != order]
+    whole.repartitionByRange(order).sortWithinPartitions(order).select(*[F.col(f"`{c}`") for c in columns]).write.option("quoteAll", quote_all).option("escape", '"').csv(work.toString())
+    files.setWriteChecksum(False)  # no file of its own beside the delivery
+    out = files.create(staged, True)
+    cells = [f'"{c.replace(chr(34), chr(34) * 2)}"' if quote_all or re.search(r'[",\r\n]', c) else c for c in columns]
+    out.write(bytearray((b"\xef\xbb\xbf" if mark else b"") + (",".join(cells) + "\n").encode()))
+    for name in sorted(s.getPath().getName() for s in files.listStatus(work) if s.getPath().getName().startswith("part-")):
+        part = files.open(hadoop.fs.Path(work, name))
+        hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+        part.close()
+    out.close()
+    files.setWriteChecksum(True)
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    overwrite[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, overwrite)
+    files.delete(work, True)
 
 
 def distinct_paths(*paths: str) -> None:
