@@ -63,6 +63,8 @@ _NUMBER = re.compile(r"\d+")
 
 #: _WORDS and the sign of a field, for Java.
 _LINE_WORDS = r"\{\}|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+#: Pages, and their length, that a task keeps the reading of; both bound memory, not results.
+KEPT_PAGES, KEPT_LENGTH = 5_000, 20_000
 #: Most fields that are broadcast to the sentences.
 SOME_FIELDS = 10_000
 
@@ -173,25 +175,40 @@ def signs(df: DataFrame) -> DataFrame:
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = field_here()
+        known: dict[tuple[str, str | None], tuple] = {}
+
+        def read(body: str | None, host: str, sentences: set[str]) -> tuple[bool, list[dict], str | None, bool]:
+            """Whether a page is residue for certain, its possible fields, its template's hash, and whether it holds a cue."""
+            blocks = blocks_of(body)
+            kind, main = judged(blocks, field.decode(blocks))
+            cut = [s for t in paragraphs(blocks) for s in _SENTENCE.split(t)]
+            sure, slots = fields_in(cut)
+            sentences.update(cut)
+            sure = sure or kind in ("notice", "filler")
+            template, cue = None, False
+            if not sure and main:
+                words = template_of([b.text for b in main], host)
+                each = set(words)
+                template = sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if each - {"*", "0"} else None
+                cue = _cued(each)
+            return sure, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], template, cue
+
         for part in parts:
             rows = []
             sentences: set[str] = set()
             for fetch_id, url, body, error in zip(part["fetch_id"], part["url"], part["body"], part["error"], strict=True):
-                blocks = blocks_of(body)
-                kind, main = judged(blocks, field.decode(blocks))
-                cut = [s for t in paragraphs(blocks) for s in _SENTENCE.split(t)]
-                sure, slots = fields_in(cut)
-                sentences.update(cut)
-                sure = sure or kind in ("notice", "filler") or unfilled_error(error)
                 host = host_of(url)
-                template, cue = None, False
-                if not sure and main:
-                    words = template_of([b.text for b in main], host)
-                    each = set(words)
-                    template = sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if each - {"*", "0"} else None
-                    cue = _cued(each)
+                if (seen := known.get((host, body))) is None:  # the same page fetched again is read once
+                    seen = read(body, host, sentences)
+                    if len(known) > KEPT_PAGES:
+                        known.clear()
+                    if len(body or "") < KEPT_LENGTH:
+                        known[host, body] = seen
+                sure, slots, template, cue = seen
+                if unfilled_error(error):
+                    sure, template = True, None
                 if sure or slots or template:
-                    rows.append((fetch_id, sure, host, template, cue, [dict(zip(("before", "after", "token", "pre", "post"), slot, strict=True)) for slot in dict.fromkeys(slots)], None))
+                    rows.append((fetch_id, sure, host, template, cue, slots, None))
             rows.append((None, False, None, None, False, [], [VARIABLE.sub(" {} ", t) if _signed(t) else t for t in sentences]))
             yield pd.DataFrame(rows, columns=["fetch_id", "sure", "host", "template", "cue", "slots", "lines"]).astype({"fetch_id": "Int64"})
 
