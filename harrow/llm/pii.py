@@ -336,23 +336,8 @@ def masked(text: str | None, lexicon: NameLexicon) -> str | None:
 
 # -- DataFrames ---------------------------------------------------------------------------------
 
-#: Most names of each sort that the lexicon holds.
-LEXICON_BOUND = 50_000
-
-
-def learn_lexicon(people: DataFrame, given: str = "first_name", surname: str = "last_name", bound: int = LEXICON_BOUND, least: int = 2) -> NameLexicon:
-    """The lexicon of the ``bound`` most frequent given names and surnames of a table that occur ``least`` times or more.
-
-    Counted over all rows; blank values, values with digits and single letters are left out.
-    """
-
-    def top(column: str) -> frozenset[str]:
-        word = F.explode(F.split(F.lower(F.trim(F.col(column).cast("string"))), r"[\s -]+"))
-        counts = people.select(word.alias("w")).where(r"w rlike '^[\\p{L}\\p{M}]{2,}$'").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        rows = counts.orderBy(F.col("n").desc(), "w").limit(bound).collect()
-        return frozenset(r.w for r in rows)
-
-    return NameLexicon(top(given), top(surname))
+#: Most names that are broadcast.
+SOME_NAMES = 100_000
 
 
 def all_names(people: DataFrame, given: str = "first_name", surname: str = "last_name") -> DataFrame:
@@ -378,6 +363,12 @@ def candidates(text: str | None) -> list[str]:
     return sorted(words | {p for w in words if "-" in w for p in w.split("-")})
 
 
+def lexicon_of(names: DataFrame, bound: int = SOME_NAMES) -> NameLexicon | None:
+    """The lexicon of all of ``all_names``; None if there are more than ``bound``."""
+    few = names.limit(bound + 1).collect()
+    return None if len(few) > bound else NameLexicon(frozenset(r.w for r in few if r.given), frozenset(r.w for r in few if r.surname))
+
+
 def _by_names(documents: DataFrame, people: DataFrame, text: str, out: str, kind: str, read: Callable, bound: int) -> DataFrame:
     """Add ``read(text, lexicon)`` for each text, where the lexicon holds all names of ``people`` that the text may need.
 
@@ -385,9 +376,8 @@ def _by_names(documents: DataFrame, people: DataFrame, text: str, out: str, kind
     distinct text (by its SHA-256), and each text gets the names among its own words.
     """
     names = all_names(people)
-    few = names.limit(bound + 1).collect()
-    if len(few) <= bound:
-        return _with_lexicon(documents, NameLexicon(frozenset(r.w for r in few if r.given), frozenset(r.w for r in few if r.surname)), text, out, kind, read)
+    if (lexicon := lexicon_of(names, bound)) is not None:
+        return _with_lexicon(documents, lexicon, text, out, kind, read)
 
     @F.pandas_udf("array<string>")
     def words_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -437,13 +427,13 @@ def with_items(documents: DataFrame, lexicon: NameLexicon, text: str = "text", o
     return _with_lexicon(documents, lexicon, text, out, _ITEMS, _items)
 
 
-def found_items(documents: DataFrame, people: DataFrame, bound: int = 2 * LEXICON_BOUND) -> DataFrame:
+def found_items(documents: DataFrame, people: DataFrame, bound: int = SOME_NAMES) -> DataFrame:
     """(doc_id, kind, pii_text): each distinct item of each document; up to ``bound`` names are broadcast."""
     found = _by_names(documents.select("doc_id", "text"), people, "text", "items", _ITEMS, _items, bound)
     distinct = F.array_distinct(F.transform("items", lambda i: F.struct(i["kind"].alias("kind"), i["pii_text"].alias("pii_text"))))
     return found.select("doc_id", F.explode(distinct).alias("item")).select("doc_id", "item.kind", "item.pii_text")
 
 
-def with_masked(documents: DataFrame, people: DataFrame, text: str = "text", out: str = "masked", bound: int = 2 * LEXICON_BOUND) -> DataFrame:
+def with_masked(documents: DataFrame, people: DataFrame, text: str = "text", out: str = "masked", bound: int = SOME_NAMES) -> DataFrame:
     """Add the text with typed placeholders in place of personal data; NULL stays NULL and empty text empty. Up to ``bound`` names are broadcast."""
     return _by_names(documents, people, text, out, "string", masked, bound)

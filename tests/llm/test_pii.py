@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from harrow.llm.pii import NameLexicon, find, found_items, learn_lexicon, masked, normal_form, with_masked
+from harrow.llm.pii import NameLexicon, all_names, find, found_items, lexicon_of, masked, normal_form, with_masked
 
 LEXICON = NameLexicon(frozenset(("ana", "søren", "małgorzata", "hana", "luca")), frozenset(("nibheim", "kekström", "kammoor", "fodez", "movquist")))
 
@@ -60,8 +60,9 @@ def test_long_text():
 
 def test_frame(spark):
     people = spark.createDataFrame([("Ana", "Nibheim")] * 2 + [(None, " "), ("X1", "?"), ("Once", "Only")], "first_name string, last_name string")
-    lexicon = learn_lexicon(people)
-    assert (lexicon.given, lexicon.surnames) == (frozenset({"ana"}), frozenset({"nibheim"}))
+    lexicon = lexicon_of(all_names(people))
+    assert (lexicon.given, lexicon.surnames) == (frozenset({"ana", "once"}), frozenset({"nibheim", "only"}))
+    assert lexicon_of(all_names(people), bound=3) is None
     docs = spark.createDataFrame([(1, "Ana and Ana Nibheim, Ana"), (2, None), (None, "Ana")], "doc_id long, text string")
     found = {(r.doc_id, r.kind, r.pii_text) for r in found_items(docs, people).collect()}
     assert found == {(1, "name", "Ana"), (1, "name", "Ana Nibheim"), (None, "name", "Ana")}
