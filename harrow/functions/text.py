@@ -161,6 +161,11 @@ def match_form(col: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.translate(col, "\"'“”‘’`…", "        "), r"\s+", " "), "^[ .,;:!?-]+|[ .,;:!?-]+$", ""))
 
 
+def unfenced(col: Column) -> Column:
+    """A text without a code fence (with or without a language) around it, outer white space off."""
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(col), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
 def is_quoted_in(quote: Column, text: Column) -> Column:
     """Whether a quote stands word for word in a text; false for a blank quote or NULL."""
     q = match_form(quote)

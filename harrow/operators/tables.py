@@ -70,3 +70,18 @@ def pooled(df: DataFrame, label: Column, pools: list[tuple[str, tuple[str, ...]]
     exact = F.array_compact(F.array(*[F.when(label.isin(*labels), F.lit(name)) for name, labels in pools]))
     rest = F.array(*[F.lit(name) for name, labels in pools if "*" in labels]).cast("array<string>")
     return df.withColumn(out, F.array_join(F.when(F.size(exact) > 0, exact).otherwise(rest), ","))
+
+
+def cached(df: DataFrame, path: str, namespace: str, key: Column, stored_at: Column) -> None:
+    """Append entries to a cache in Parquet, one folder for each namespace: all columns, their key's SHA-256 and the time they were stored.
+
+    An entry is never changed; ``latest_valid`` reads the latest one of a key.
+    """
+    entries = df.withColumns({"key_hash": F.sha2(key, 256), "stored_at": stored_at, "namespace": F.lit(namespace)})
+    entries.write.mode("append").partitionBy("namespace").parquet(path)
+
+
+def compacted(df: DataFrame, keys: list[str], stored_at: str) -> DataFrame:
+    """The latest entry of each key of a cache, as one row with all columns."""
+    row = F.struct(stored_at, *[c for c in df.columns if c != stored_at and c not in keys])
+    return df.groupBy(*keys).agg(F.max(row).alias("_hw_r")).select(*keys, *[F.col(f"_hw_r.`{c}`").alias(c) for c in df.columns if c not in keys])

@@ -336,11 +336,73 @@ def domain_top_facts(spark, d):
     return once_each.withColumn("rank", place).where("rank <= 3").select("domain", "rank", "r.key.focus", F.col("r.key.text").alias("evidence"), F.round(-F.col("r.key.s"), 2).alias("confidence"))
 
 
+def row_facts(spark, d):
+    """The facts that a row's own fields state: each field with more than a placeholder, in order; no (focus, evidence) twice."""
+    cells = tables.unpivoted(table(spark, d, "leads", ["row_idx", *[f for f, _ in R.FIELDS]]), "row_idx", R.FIELDS)
+    told = signals.with_company_signal(cells, "value").where("signal.focus <> ''")
+    row = F.struct("pos", "header", "confidence", F.col("signal.signal_type").alias("signal_type"), F.col("signal.focus").alias("focus"))
+    first = told.groupBy("row_idx", F.lower("signal.focus").alias("fk"), F.lower("value").alias("ek")).agg(F.min(row).alias("r"))
+    return first.select("row_idx", "r.header", "r.confidence", "r.signal_type", "r.focus")
+
+
+def primary_fact(spark, d):
+    """A signal's first fact, else one derived from its evidence or observation; its own fields come first."""
+    s = _signals(spark, d, "signal_type", "focus", "observation", "evidence", "facts")
+    text = F.coalesce(F.nullif("evidence", F.lit("")), "observation", F.lit(""))
+    held = signals.with_company_signal(s.withColumn("_t", F.get(F.split(text, "\n"), F.lit(0))), "_t", "_s")
+    first = F.get("facts", F.lit(0))
+    own = lambda name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.col(f"_s.{name}"))
+    there = first.isNotNull()
+    return held.select("signal_id", F.when(there, first["signal_type"]).otherwise(own("signal_type")).alias("signal_type"), F.when(there, first["focus"]).otherwise(own("focus")).alias("focus"))
+
+
+def _home(spark, d):
+    pages = table(spark, d, "fetch_results", ["fetch_id", "url", "final_url", "body", "status_code", "provider"]).withColumn("domain", T.domain_of(F.col("url")))
+    good = F.coalesce(F.col("status_code").between(200, 299) & (F.trim("body") != ""), F.lit(False))
+    return pages, good
+
+
+def site_status(spark, d):
+    """What a domain's pages come to: ``fetch_error``, ``redirect_mismatch``, ``no_signal`` or ``ok``."""
+    pages, good = _home(spark, d)
+    home = records.first_success(pages, "domain", F.col("fetch_id"), good, ["final_url"])
+    some = html.with_candidates(html.with_page(pages.where(good)), out="c").where("size(c) > 0").select("domain").distinct().withColumn("some", F.lit(True))
+    same = T.same_site(F.col("domain"), T.domain_of(F.col("final_url")))
+    status = F.when(~F.col("found"), "fetch_error").when(~same, "redirect_mismatch").when(F.col("some").isNull(), "no_signal").otherwise("ok")
+    return home.join(some, "domain", "left").select("domain", status.alias("status"))
+
+
+def rendered_choice(spark, d):
+    """Whether the rendered page of a domain is preferred: the direct one scores below 0.86, and less than the rendered one."""
+    pages, good = _home(spark, d)
+    told = html.with_candidates(html.with_page(pages.where(good)), out="c").select("domain", "provider", F.coalesce(F.array_max(F.transform("c", lambda x: x["score"])), F.lit(0.0)).alias("score"))
+    best = told.groupBy("domain").agg(F.max(F.when(F.col("provider") != "firecrawl", F.col("score"))).alias("direct"), F.max(F.when(F.col("provider") == "firecrawl", F.col("score"))).alias("rendered"))
+    return best.select("domain", "direct", "rendered", (F.col("rendered").isNotNull() & (F.coalesce("direct", F.lit(0.0)) < 0.86) & (F.col("rendered") > F.coalesce("direct", F.lit(0.0)))).alias("use_rendered"))
+
+
+def row_fingerprint(spark, d):
+    """A hash of what a row says, whatever the names and the order of its columns elsewhere; blank and NULL alike."""
+    leads = R._leads(spark, d, "email", "company_name", "website")
+    return leads.select("row_idx", F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.coalesce(T.stripped(F.col(c)), F.lit(""))) for c in ("company_name", "email", "website")]), 256).alias("fingerprint"))
+
+
+def unfenced(spark, d):
+    """Texts without code fences around them."""
+    text = F.concat(F.lit("```json\n"), "focus", F.lit("\n```"))
+    return _signals(spark, d, "focus").where("focus IS NOT NULL").select("signal_id", T.unfenced(F.when(F.col("signal_id") % 2 == 0, text).otherwise(F.col("focus"))).alias("text"))
+
+
+def replay_join(spark, d):
+    """Jobs joined back to their rows by number; a job without its row, and a row without a job, are kept apart by ``found``."""
+    jobs = _signals(spark, d, "status").select((F.col("signal_id") * 3).alias("row_idx"), "status")
+    return jobs.join(R._leads(spark, d, "email"), "row_idx", "left").select("row_idx", "status", F.col("email").isNotNull().alias("found"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         focus_rule_match, focus_resolve, signal_normalize, evidence_signals, clause_shorten, phrase_shorten, generic_focus, phrase_checks, plain_text, text_counts, digest_column, first_domain,
         angle_choice, persona_templates, status_class, dedupe_by_fit, contact_sequencing, candidate_selection, corroborated_rules, focus_gaps, batch_shares, quality_flags, exact_pitch_capacity,
         evidence_choice, homepage_choice, decision_match, resume_pending, facts_json, record_json, context_map, cache_keys, number_text, usage_sums, cohort_counts, usage_totals, blocked_evidence,
-        focus_errors, assigned_variants, delivery_ledger, copy_review_queue, ready_rows, domain_top_facts,
+        focus_errors, assigned_variants, delivery_ledger, copy_review_queue, ready_rows, domain_top_facts, row_facts, primary_fact, site_status, rendered_choice, row_fingerprint, unfenced, replay_join,
     )
     return {f.__name__: f for f in every}

@@ -173,6 +173,11 @@ def oracle_sql() -> dict[str, str]:
         "usage_totals": "SELECT event_type, count(*) AS calls, count(*) FILTER (value > 50) AS large, sum(round(value * 100)::BIGINT)::BIGINT AS hundredths FROM events GROUP BY 1",
         "blocked_evidence": "SELECT signal_id FROM site_signals WHERE evidence IS NOT NULL AND NOT regexp_matches(lower(evidence), 'cookies|accept all|all rights reserved')",
         "assigned_variants": f"WITH {_DOMAINS}, {_FIRST_DOMAINS}, v AS (SELECT domain, ((row_number() OVER (ORDER BY sha256('balance:' || domain)) - 1) % 5)::INT AS variant FROM fd) SELECT row_idx, variant FROM dom JOIN v USING (domain)",
+        "row_facts": f"""WITH c AS ({core['fallback_unpivot']}), s AS ({_signal('c', 'row_idx, pos, header, value, confidence', 'value')})
+          SELECT row_idx, header, confidence, signal_type, focus FROM s WHERE focus <> '' QUALIFY row_number() OVER (PARTITION BY row_idx, lower(focus), lower(value) ORDER BY pos) = 1""",
+        "row_fingerprint": f"SELECT row_idx, sha256('company_name=' || coalesce({strip('company_name')}, '') || chr(31) || 'email=' || coalesce({strip('email')}, '') || chr(31) || 'website=' || coalesce({strip('website')}, '')) AS fingerprint FROM leads",
+        "unfenced": f"SELECT signal_id, {strip('focus')} AS text FROM site_signals WHERE focus IS NOT NULL",
+        "replay_join": "SELECT s.signal_id * 3 AS row_idx, status, email IS NOT NULL AS found FROM site_signals s LEFT JOIN leads l ON l.row_idx = s.signal_id * 3",
         "delivery_ledger": f"WITH RECURSIVE {_LEDGER} SELECT * FROM ledger",
         "copy_review_queue": f"""WITH RECURSIVE {_LEDGER}, m AS (SELECT l.row_idx, coalesce(job_department, '') AS job_department, coalesce(list_source, '') AS list_source, {_RULES} AS priority FROM leads l JOIN ledger USING (row_idx) WHERE status = 'included')
           SELECT job_department, coalesce(persona, '') AS persona, list_source, min(row_idx) AS row_idx FROM m LEFT JOIN title_hooks h ON h.priority = m.priority GROUP BY 1, 2, 3""",

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -60,3 +61,30 @@ def upserted(stream: DataFrame, path: str, checkpoint: str, transform: Callable[
         transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``told`` with the name of a query and the rows it has read so far, whenever another ``every`` rows are through.
+
+    Register it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, told: Callable[[str, int], None], every: int = 25) -> None:
+        self.told, self.every = told, every
+        self.rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        before = self.rows.get(str(p.id), 0)
+        after = self.rows[str(p.id)] = before + max(0, p.numInputRows)
+        if after // self.every > before // self.every:
+            self.told(p.name or str(p.id), after)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.rows.pop(str(event.id), None)

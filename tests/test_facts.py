@@ -13,6 +13,8 @@ from harrow.operators.delivery import first_users, ledger
 from harrow.operators.focus import chosen, read_focus_rules, resolved
 from harrow.operators.quality import overflow_keys, value_shares
 from harrow.operators.ranks import range_bucket, ranked
+from harrow.operators.tables import cached, compacted
+from harrow.functions.text import unfenced
 from harrow.operators.records import clamped, first_success, listed, parsed_records, two_decimals
 
 SIGNALS = {
@@ -129,3 +131,12 @@ def test_sparse_numbers_share_buckets(spark):
     placed = ranked(df.drop("b"), ["g"], [range_bucket(df, "n", 100)], [F.col("n")], out="k")
     assert placed.where("k <> n / 1000000000000 + 1").count() == 0
     assert ranked(df.drop("b").limit(0), ["g"], [range_bucket(df.limit(0), "n")], [F.col("n")], out="k").count() == 0
+
+
+def test_cache_keeps_the_latest(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for v, at in (("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00")):
+        cached(spark.createDataFrame([("k", v), (None, v)], "k string, v string"), path, "pages", F.col("k"), F.lit(at).cast("timestamp_ntz"))
+    entries = spark.read.parquet(path)
+    assert entries.count() == 4 and {(r.k, r.v, r.namespace) for r in compacted(entries, ["k"], "stored_at").collect()} == {("k", "b", "pages"), (None, "b", "pages")}
+    assert [spark.range(1).select(unfenced(F.lit(t)).alias("t")).first().t for t in ("```json\n{}\n```", " x ", "```\ny```")] == ["{}", "x", "y"]

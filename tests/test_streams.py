@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,16 @@ def test_running_totals(spark, data, events):
 def test_upserted(spark, data, events, tmp_path):
     streams.upserted(events.select("event_id"), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_progress(spark, events):
+    told = []
+    listener = streams.Progress(lambda name, rows: told.append((name, rows)), every=10)
+    spark.streams.addListener(listener)
+    run(spark, events.select("event_id"), "told", "append")
+    for _ in range(100):
+        if told:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert told and told[-1][0] == "told" and told[-1][1] > 10
