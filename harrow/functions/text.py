@@ -32,6 +32,13 @@ BUSINESS_VERBS = (
     r"serve|serves|work with|works with|enable|enables|acquire|acquires|acquiring|buy|buys|buying|invest|invests|investing)\b"
 )
 
+#: What notices about cookies and rights say, claims in numbers, and openings that tell the reader what to do.
+NOTICES = (
+    r"(?i)\b(?:(?:we|this (?:site|website)) uses? cookies|accept (?:all )?cookies|cookie (?:policy|preferences|consent)|manage (?:your )?(?:cookies|consent)|consent preferences|all rights reserved)\b"
+)
+METRICS = r"(?i)\b\d+(?:\.\d+)?%|\b\d+[kmb]\+?\b|\b\d+\+\s+years?\b|\b(?:million|billion)\b"
+ORDERS = r"^(?:visit|click|shop|browse|contact|download)\b|^\(?see\b"
+
 _WORD = r"([A-Za-z0-9]+(?:[&'-][A-Za-z0-9]+)*)"
 _ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -210,9 +217,8 @@ def tidy(col: Column) -> Column:
 def evidence_flaw(col: Column) -> Column:
     """Why a text is no evidence: too short, a notice, or navigation; '' if it may be evidence."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("([a-z]+)"), F.lit(1)))
-    notice = r"(?i)\b(?:(?:we|this (?:site|website)) uses? cookies|accept (?:all )?cookies|cookie (?:policy|preferences|consent)|manage (?:your )?(?:cookies|consent)|consent preferences|all rights reserved)\b"
     navigation = (F.size(found) > 0) & (F.size(F.array_except(found, F.array(*map(F.lit, NAVIGATION_WORDS)))) == 0)
-    return F.when(F.size(words(col)) < 4, "short").when(col.rlike(notice), "notice").when(navigation, "navigation").otherwise("")
+    return F.when(F.size(words(col)) < 4, "short").when(col.rlike(NOTICES), "notice").when(navigation, "navigation").otherwise("")
 
 
 def acceptable(col: Column, least: int = 6) -> Column:
@@ -221,15 +227,14 @@ def acceptable(col: Column, least: int = 6) -> Column:
     parts = F.split(stripped(col), r"\s+")
     last = F.regexp_replace(F.lower(F.element_at(parts, -1)), "[^a-z]", "")
     bars, slashes = F.length(col) - F.length(F.translate(col, "|", "")), F.length(col) - F.length(F.translate(col, "/", ""))
-    metric = r"(?i)\b\d+(?:\.\d+)?%|\b\d+[kmb]\+?\b|\b\d+\+\s+years?\b|\b(?:million|billion)\b"
     return (
         F.size(parts).between(least, 42)
         & ~low.rlike("|".join(BLOCKED_PHRASES))
-        & ~col.rlike(metric)
+        & ~col.rlike(METRICS)
         & (bars <= 1)
         & (slashes <= 3)
         & ~col.rlike(r"(?i)https?://|www\.|\S@\S")
-        & ~low.rlike(r"^(?:visit|click|shop|browse|contact|download)\b|^\(?see\b")
+        & ~low.rlike(ORDERS)
         & ~last.isin(*CUT_WORDS)
     )
 

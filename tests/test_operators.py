@@ -12,19 +12,20 @@ PAGE = """<html><head><title>Acme | Pumps</title><meta property="og:description"
 <p>See <a href="/about/#team">about us</a> and <a href="https://other.example/about">them</a><a href="mailto:a@b">m</a><a href="/about/">a</a></p><h2>Pump repair</h2><p>never closed"""
 
 
-def test_page():
-    page = html.read_page(PAGE)
-    assert page["title"] == "Acme | Pumps"
-    assert page["meta_description"] == "We repair & rent pumps for farms across the county."
-    assert page["headings"] == ["Pump repair"]
-    assert page["paragraphs"] == ["We provide pump repair to farms and mills in the valley.", "See about us and them m a"]
-    assert html.ranked_links("https://acme.example/", page["links"], "acme.example", 5) == ["https://acme.example/about"]
-    assert html.read_page(None)["links"] == [] and html.read_page("<<<p>")["title"] == ""
+def test_page(spark):
+    title, description, headings, paragraphs, links = html.read_page(PAGE)
+    assert title == "Acme | Pumps"
+    assert description == "We repair & rent pumps for farms across the county."
+    assert headings == ["Pump repair"]
+    assert paragraphs == ["We provide pump repair to farms and mills in the valley.", "See about us and them m a"]
+    ranked = html.ranked_links(F.lit("https://acme.example/"), F.array(*map(F.lit, links)), F.lit("acme.example"), 5)
+    assert spark.range(1).select(ranked.alias("r")).first().r == ["https://acme.example/about"]
+    assert html.read_page(None)[4] == [] and html.read_page("<<<p>")[0] == ""
 
 
 def test_candidates(spark):
     df = spark.createDataFrame([(1, "https://acme.example/about", PAGE), (2, None, None)], "fetch_id int, final_url string, body string")
-    found = html.best_candidates(html.page_candidates(html.with_page(df)), ["fetch_id"], 2).orderBy("rank").collect()
+    found = html.top_candidates(html.with_page(df), 2).orderBy("rank").collect()
     assert [(r.kind, round(r.score, 2)) for r in found] == [("meta", 0.92), ("paragraph", 0.82)]
 
 
@@ -51,7 +52,7 @@ def test_balanced(spark):
 
 def test_running_total_and_split(spark):
     df = spark.range(1, 101).withColumnRenamed("id", "seq")
-    got = {r.seq: r.total for r in ranks.running_total(df, "seq", F.col("seq"), bucket_ids=7).collect()}
+    got = {r.seq: r.total for r in ranks.running_total(df, "seq", F.col("seq"), bucket_rows=7).collect()}
     assert got == {i: i * (i + 1) // 2 for i in range(1, 101)}
     shares = [r.share for r in ranks.split_total(df.withColumn("g", F.lit(None).cast("int")), ["g"], "seq", 1003).orderBy("seq").collect()]
     assert sum(shares) == 1003 and shares == sorted(shares, reverse=True) and shares[0] - shares[-1] == 1
