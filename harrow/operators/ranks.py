@@ -79,15 +79,21 @@ def running_total(df: DataFrame, seq: str, amount: Column, out: str = "total", b
     return joined.withColumn(out, F.col("_hw_before") + F.col("_hw_in")).drop("_hw_a", "_hw_b", "_hw_rb", "_hw_before", "_hw_in")
 
 
-def split_total(df: DataFrame, group: list[str], order: str, total: int, out: str = "share") -> DataFrame:
-    """Deal ``total`` whole units to the rows of each group; the first rows by ``order`` get what does not divide."""
-    placed = ranked(df, group, [range_bucket(df, order)], [F.col(order)], out="_hw_k", size="_hw_size")
+def split_total(df: DataFrame, group: list[str], order: str, total: int, out: str = "share", over: DataFrame | None = None) -> DataFrame:
+    """Deal ``total`` whole units to the rows of each group; the first rows by ``order`` get what does not divide.
+
+    ``over`` may be a cheaper table with about the same range of ``order`` (see ``range_bucket``).
+    """
+    placed = ranked(df, group, [range_bucket(df if over is None else over, order)], [F.col(order)], out="_hw_k", size="_hw_size")
     share = F.floor(F.lit(total) / F.col("_hw_size")) + F.when(F.col("_hw_k") <= F.lit(total) % F.col("_hw_size"), 1).otherwise(0)
     return placed.withColumn(out, share.cast("long")).drop("_hw_k", "_hw_size")
 
 
-def chunked(df: DataFrame, order: str, per_call: int, calls_per_wave: int) -> DataFrame:
-    """Add ``call_no`` and ``wave_no`` (from 1): rows by ``order`` in calls of a size, calls in waves of a size."""
-    placed = ranked(df, [], [range_bucket(df, order)], [F.col(order)], out="_hw_k")
+def chunked(df: DataFrame, order: str, per_call: int, calls_per_wave: int, over: DataFrame | None = None) -> DataFrame:
+    """Add ``call_no`` and ``wave_no`` (from 1): rows by ``order`` in calls of a size, calls in waves of a size.
+
+    ``over`` may be a cheaper table with about the same range of ``order`` (see ``range_bucket``).
+    """
+    placed = ranked(df, [], [range_bucket(df if over is None else over, order)], [F.col(order)], out="_hw_k")
     call = F.floor((F.col("_hw_k") - 1) / per_call)
     return placed.withColumns({"call_no": (call + 1).cast("long"), "wave_no": (F.floor(call / calls_per_wave) + 1).cast("long")}).drop("_hw_k")

@@ -209,7 +209,7 @@ def contact_ranking(spark, d):
     seniority = F.coalesce(F.array_position(F.array(*map(F.lit, ("Founder/Owner", "C-Suite", "Vice President", "Director", "Manager", "Senior", "entry"))), F.col("job_seniority")), F.lit(0))
     seniority = F.when(seniority > 0, seniority).otherwise(F.lit(99))
     held = leads.withColumns({"t": title, "s": seniority.cast("int")})
-    out = ranks.ranked(held, ["domain"], [F.col("t"), F.col("s"), ranks.range_bucket(leads, "row_idx")], [F.col("row_idx")], out="contact_rank", size="contact_count")
+    out = ranks.ranked(held, ["domain"], [F.col("t"), F.col("s"), ranks.range_bucket(_leads(spark, d), "row_idx")], [F.col("row_idx")], out="contact_rank", size="contact_count")
     return out.select("row_idx", "domain", "contact_rank", "contact_count")
 
 
@@ -233,7 +233,7 @@ def first_per_key(spark, d):
 
 
 def chunk_waves(spark, d):
-    return ranks.chunked(distinct_domains(spark, d), "first_row", 5, 8).select("domain", "call_no", "wave_no")
+    return ranks.chunked(distinct_domains(spark, d), "first_row", 5, 8, over=_leads(spark, d).withColumnRenamed("row_idx", "first_row")).select("domain", "call_no", "wave_no")
 
 
 def facts_concat_distinct(spark, d):
