@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.hashing import sha_mod
 from ..operators import delivery, html, ranks, rules, tables
 from ..operators.skew import join_counted
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: Parameters of the queries.
 VARIANTS = 5
@@ -286,7 +286,7 @@ def included_held_split(spark, d):
 
 
 def _pages(spark, d):
-    return html.with_page(table(spark, d, "fetch_results", ["fetch_id", "url", "final_url", "body"]).where("body IS NOT NULL")).withColumn("domain", T.domain_of(F.col("url")))
+    return html.with_page(spread(table(spark, d, "fetch_results", ["fetch_id", "url", "final_url", "body"]).where("body IS NOT NULL"))).withColumn("domain", T.domain_of(F.col("url")))
 
 
 def page_extract(spark, d):

@@ -9,3 +9,12 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     """Read ``folder/name.parquet``; ``columns`` narrows the scan's read schema."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan of fewer pieces than there are cores, dealt to as many tasks; any other scan as it is.
+
+    For costly work on each row of small tables. At scale a scan has more pieces than cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
