@@ -17,8 +17,9 @@ an initial only go to the most frequent core they abbreviate. Lines of business
 a core: two names that state different ones name different companies, and a name that states
 none goes to the most frequent one.
 
-Candidates are found by joins on exact keys, never by comparing all. Two edits leave one of a
-core's two ends with one edit at most, and strings within one edit have a form in common in
+Candidates are found by exact keys, never by comparing all. Cores up to 24 letters meet in the
+forms that they have in common with up to two letters taken out (see ``near_cores``). Of longer
+cores, two edits leave one of a core's two ends with one edit at most, and strings within one edit have a form in common in
 which each lacks a letter at most; these forms are the keys. Cores of a key that many share
 are divided by the rest of them with up to two letters taken out, which two strings within two
 edits have in common. So no pair is lost, and no key holds many cores unless they are near
@@ -32,6 +33,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,8 +42,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions.barrier import once
 from ..functions.missing import STAND_INS
-from ..session import checkpointed
+from ..session import checkpointed, released
+from . import near_cores
 from .edit_tree import distance
+from .near_cores import LONGEST
 
 #: Words that say that there is no employer.
 NO_EMPLOYER = frozenset(
@@ -237,22 +241,55 @@ def _listed(make, *columns: str) -> Column:
     return F.explode(once(made if len(columns) > 1 else made_of_one)(*columns))
 
 
-def candidate_pairs(cores: DataFrame, many: int = SHARED_BY_MANY) -> DataFrame:
+def near_rounds(cores: DataFrame, many: int = SHARED_BY_MANY) -> Iterator[DataFrame]:
     """(core, n, to, m, d): each core with the more frequent cores within the edits allowed to it, d edits apart.
 
-    Pairs are tested where they meet, before anything else is shuffled.
+    The rounds together have every pair, some more than once. The last is of pairs of which one core at least is above LONGEST letters.
+    """
+    sizes = {r.k: r.c for r in cores.groupBy(F.length("core").alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    yield from near_cores.near_rounds(cores, sum(near_cores.forms_of(k) * c for k, c in sizes.items() if k <= LONGEST))
+    if any(k > LONGEST for k in sizes):
+        yield _apart(_met_by_ends(cores.where(F.length("core") > LONGEST - 2), many).where(F.greatest(F.length("core"), F.length("to")) > LONGEST))
+
+
+def candidate_pairs(cores: DataFrame, many: int = SHARED_BY_MANY) -> DataFrame:
+    """The pairs of ``near_rounds``, each once."""
+    met = cores.sparkSession.createDataFrame([], "core string, n long, to string, m long, d int")
+    for part in near_rounds(cores, many):
+        met = met.unionByName(part)
+    return met.distinct()
+
+
+def nearest(cores: DataFrame) -> DataFrame:
+    """(core, n, kinds, d, m, to): of the pairs of ``near_rounds``, the most frequent ``to`` for each core and kinds of edits.
+
+    Nothing else can be the best candidate, and there are six rows for a core at most, however many pairs it has.
     """
+    best = lambda df: df.groupBy("core", "n", "kinds", "d").agg(F.max("top").alias("top"))
+    parts = []
+    for part in near_rounds(cores):
+        if parts:
+            released(cores.sparkSession)
+        parts.append(checkpointed(best(part.select("core", "n", "d", F.struct("m", "to").alias("top"), once(_kinds)("core", "to").alias("kinds")))))
+    if not parts:
+        return cores.sparkSession.createDataFrame([], "core string, n long, kinds array<string>, d int, m long, to string")
+    near = parts[0] if len(parts) == 1 else checkpointed(best(reduce(DataFrame.unionByName, parts)))
+    return near.select("core", "n", "kinds", "d", "top.m", "top.to")
+
+
+def _met_by_ends(cores: DataFrame, many: int) -> DataFrame:
+    """(core, n, to, m) of cores that may be near each other. Pairs are tested where they meet, before anything else is shuffled."""
     held = cores.select(F.col("core").alias("to"), F.col("n").alias("m"), _listed(own_keys, "core").alias("key"))
     asked = cores.where("length(core) >= 6").select("core", "n", _listed(asked_keys, "core").alias("key"))
     near = "(m > n OR (m = n AND to < core)) AND abs(length(core) - length(to)) <= 2 AND levenshtein(core, to, 4) >= 0"
     shared = checkpointed(held.where("key NOT LIKE 'W%'").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > many).select("key"))
     if shared.isEmpty():
-        return _apart(asked.join(held, "key").where(near).select("core", "n", "to", "m"))
+        return asked.join(held, "key").where(near).select("core", "n", "to", "m")
     met = asked.join(shared, "key", "left_anti").join(held, "key").where(near).select("core", "n", "to", "m")
     divided_held = held.join(shared, "key", "left_semi").select("to", "m", "key", _listed(own_parts, "to", "key").alias("part"))
     divided_asked = asked.join(shared, "key", "left_semi").select("core", "n", "key", _listed(asked_parts, "core", "key").alias("part"))
     met = met.unionByName(divided_asked.join(divided_held, ["key", "part"]).where(near).select("core", "n", "to", "m"))
-    return _apart(met)
+    return met
 
 
 def _apart(met: DataFrame) -> DataFrame:
@@ -317,7 +354,7 @@ def learned(near: DataFrame, cores: DataFrame) -> Channel:
     An edit counts if it is the only one between a core of ten letters or more and one ten times
     as frequent; a kind that was never seen counts half a time.
     """
-    sure = near.where("d = 1 AND length(core) >= 10 AND 10 * n <= m").groupBy("core").agg(F.max("n").alias("n"), F.max_by("kinds", "m").alias("kinds"))
+    sure = near.where("d = 1 AND length(core) >= 10 AND 10 * n <= m").groupBy("core").agg(F.max("n").alias("n"), F.max_by("kinds", F.struct("m", "to")).alias("kinds"))
     seen = {r.kind: r.n for r in sure.select(F.explode("kinds").alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     each = cores.select(F.explode(F.split("core", "")).alias("c"), (1 / F.length("core")).alias("share")).where("c <> ''")  # a long core counts as much as a short one
     letters = each.groupBy("c").agg(F.sum("share").alias("k"))
@@ -367,7 +404,7 @@ def companies(df: DataFrame, name: str = "company_name") -> DataFrame:
     parts = checkpointed(parsed_names(names))
     whole = parts.where("initial = ''")
     cores = checkpointed(whole.groupBy("core").agg(F.sum("n").alias("n"), F.max("first").alias("first")))
-    near = checkpointed(candidate_pairs(cores).withColumn("kinds", once(_kinds)("core", "to")))
+    near = nearest(cores)
     channel = learned(near, cores)
     letters = F.length("core")
     posterior = F.log("m") - channel.cost(F.col("kinds"), letters)
@@ -377,13 +414,14 @@ def companies(df: DataFrame, name: str = "company_name") -> DataFrame:
     rooted = cores.select("core", "n", "first").join(roots, "core", "left").select("core", "n", "first", F.coalesce("root", "core").alias("root"))
     rooted = checkpointed(rooted)
     # Second words as initials: the most frequent core whose first word agrees up to one edit.
-    short = parts.where("initial <> ''").select("name", "first", "initial")
+    short = parts.where("initial <> ''").select("first", "initial")
     deletions = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(64))))))
-    full = rooted.where("first <> ''").select(F.col("first").alias("word"), "core", "n", "root", F.explode(deletions(F.col("first"))).alias("key"))
-    asked = short.select("name", "first", "initial", F.explode(deletions(F.col("first"))).alias("key"))
-    fits = asked.join(full, "key").where("substring(core, length(word) + 1, 1) = initial AND levenshtein(first, word) <= 2")
-    held = fits.groupBy("name").agg(F.max_by("root", F.struct(F.log("n") - F.lit(channel.mean_cost) * F.levenshtein("first", "word"), "root")).alias("root"))
-    abbreviated = parts.where("initial <> ''").join(held, "name", "left").select("name", "n", "business", F.coalesce("root", F.concat("first", F.lit(" "), "initial")).alias("root"))
+    full = rooted.where("first <> ''").groupBy(F.col("first").alias("word"), F.expr("substring(core, length(first) + 1, 1)").alias("initial")).agg(F.max(F.struct("n", "root")).alias("top"))
+    full = full.select("word", "initial", "top.n", "top.root", F.explode(deletions(F.col("word"))).alias("key"))
+    asked = short.select("first", "initial").distinct().select("first", "initial", F.explode(deletions(F.col("first"))).alias("key"))
+    fits = asked.join(full, ["key", "initial"]).where("levenshtein(first, word) <= 2")
+    held = fits.groupBy("first", "initial").agg(F.max_by("root", F.struct(F.log("n") - F.lit(channel.mean_cost) * F.levenshtein("first", "word"), "root")).alias("root"))
+    abbreviated = parts.where("initial <> ''").join(held, ["first", "initial"], "left").select("name", "n", "business", F.coalesce("root", F.concat("first", F.lit(" "), "initial")).alias("root"))
     placed = whole.join(rooted.select("core", "root"), "core").select("name", "n", "business", "root").unionByName(abbreviated)
     # Lines of business divide a root; a name that leaves it open goes to the most frequent one it may mean.
     stated = placed.where("size(business) = 1").groupBy("root", F.col("business")[0].alias("b")).agg(F.sum("n").alias("bn"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,3 +40,9 @@ def checkpointed(df):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="harrow-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def released(spark):
+    """Have the files of shuffles and checkpoints that nothing refers to any more deleted now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+from harrow.llm import near_cores
 from harrow.llm.edit_tree import distance
-from harrow.llm.names import asked_keys, asked_parts, candidate_pairs, edit_kinds, own_keys, own_parts, parsed, spelling_classes, spelling_pairs
+from harrow.llm.names import asked_keys, asked_parts, candidate_pairs, edit_kinds, nearest, own_keys, own_parts, parsed, spelling_classes, spelling_pairs
 
 
 @pytest.mark.parametrize(
@@ -68,3 +69,37 @@ def test_keys_that_many_share(spark):
 def test_kinds_of_edits():
     pairs = [("abcd", "abdc"), ("abcd", "abcdd"), ("abcd", "abxcd"), ("abcd", "abxd"), ("abcd", "axcx"), ("abc", "bc"), ("abc", "abcx")]
     assert [edit_kinds(a, b) for a, b in pairs] == [["swap"], ["double"], ["letter"], ["other"], ["other"] * 2, ["letter"], ["letter"]]
+
+
+def test_pairs_within_the_edits_allowed(spark, monkeypatch):
+    rng = random.Random(7)
+    cores = {"".join(rng.choice("abcdeö") for _ in range(rng.randint(4, 30))) for _ in range(60)}
+    for c in sorted(cores):
+        cores |= {edited(c, rng), edited(edited(c, rng), rng)}
+    counted = {c: rng.randint(1, 3) for c in sorted(cores) if len(c) >= 4}
+    df = spark.createDataFrame(list(counted.items()), "core string, n long")
+    allowed = lambda d, core: d == 1 and len(core) >= 6 or d == 2 and len(core) >= 10
+    wanted = {(a, b, d) for a, n in counted.items() for b, m in counted.items() if a != b and (m > n or m == n and b < a) and allowed(d := distance(a, b), a)}
+    assert len(wanted) > 100
+    assert {(r.core, r.to, r.d) for r in candidate_pairs(df).collect()} == wanted
+    best = {r.core: r.m for r in nearest(df).where("d = 1").collect()}
+    monkeypatch.setattr(near_cores, "ROUND_FORMS", 5000)  # in rounds, the same
+    assert {(r.core, r.to, r.d) for r in candidate_pairs(df).collect()} == wanted
+    assert {r.core: r.m for r in nearest(df).where("d = 1").collect()} == best
+
+
+def test_crowded_cores_write_no_more(spark):
+    rng = random.Random(11)
+    cores = sorted({"stavvukb" + "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(1500)})
+
+    def written() -> int:
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        candidate_pairs(spark.createDataFrame([(c, 1) for c in cores], "core string, n long")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (written() - before) / len(cores) < 4000
