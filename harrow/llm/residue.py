@@ -65,6 +65,8 @@ _NUMBER = re.compile(r"\d+")
 _LINE_WORDS = r"\{\}|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 #: Pages, and their length, that a task keeps the reading of; both bound memory, not results.
 KEPT_PAGES, KEPT_LENGTH = 5_000, 20_000
+#: Sentences whose words a task keeps; it bounds memory, not results.
+KEPT_SENTENCES = 50_000
 #: Most fields that are broadcast to the sentences.
 SOME_FIELDS = 10_000
 
@@ -153,9 +155,19 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def template_of(texts: list[str], host: str) -> list[str]:
-    """The words of a page with numbers and the names of its host masked."""
-    words = _WORDS.findall(_NUMBER.sub("0", "\n".join(texts).lower()))
+def template_of(texts: list[str], host: str, known: dict[str, list[str]] | None = None) -> list[str]:
+    """The words of a page with numbers and the names of its host masked; ``known`` keeps the words of sentences that come again."""
+    known = {} if known is None else known
+    words: list[str] = []
+    for t in texts:
+        for s in _SENTENCE.split(t):
+            if (found := known.get(s)) is None:
+                if len(known) > KEPT_SENTENCES:
+                    known.clear()
+                found = _WORDS.findall(_NUMBER.sub("0", s.lower()))
+                if len(s) < 500:
+                    known[s] = found
+            words += found
     stem = re.sub(r"[^a-z]", "", host.split(".")[0])
     own = {w for w in set(words) if len(w) > 3 and w in stem} if stem else ()
     return ["*" if w in own else w for w in words] if own else words
@@ -176,18 +188,19 @@ def signs(df: DataFrame) -> DataFrame:
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = field_here()
         known: dict[tuple[str, str | None], tuple] = {}
+        worded: dict[str, list[str]] = {}
 
         def read(body: str | None, host: str, sentences: set[str]) -> tuple[bool, list[dict], str | None, bool]:
             """Whether a page is residue for certain, its possible fields, its template's hash, and whether it holds a cue."""
             blocks = blocks_of(body)
             kind, main = judged(blocks, field.decode(blocks))
             cut = [s for t in paragraphs(blocks) for s in _SENTENCE.split(t)]
-            sure, slots = fields_in(cut)
+            sure, slots = fields_in(cut) if _quick("\n".join(cut)) else (False, [])
             sentences.update(cut)
             sure = sure or kind in ("notice", "filler")
             template, cue = None, False
             if not sure and main:
-                words = template_of([b.text for b in main], host)
+                words = template_of([b.text for b in main], host, worded)
                 each = set(words)
                 template = sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if each - {"*", "0"} else None
                 cue = _cued(each)

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import json
 
+from harrow.llm import boilerplate
 from harrow.llm.boilerplate import MODEL_FILE, ChainField, judged, main_lines
 from harrow.llm.pages import blocks_of
-from harrow.llm.residue import found_residue, slots_of, unfilled_error
+from harrow.llm.residue import found_residue, slots_of, template_of, unfilled_error
 from harrow.llm.train_boilerplate import examples, label, train
 
 PAGE = """<!doctype html>
@@ -110,3 +111,21 @@ def test_long_templates_in_any_language(spark):
     rows += [(30 + i, f"https://{h}.example", alone.replace("{h}", h.title()).replace("oak", "ash"), "") for i, h in enumerate(hosts[:9])]
     df = spark.createDataFrame(rows, "fetch_id long, url string, body string, error string")
     assert sorted(r.fetch_id for r in found_residue(df).collect()) == [0, 1, 2, *range(10, 20)]
+
+
+def test_read_once(monkeypatch):
+    known: dict[str, list[str]] = {}
+    texts = ["Call 12 of ACME now. ΑΣ. It's 3-fold!", "Call 12 of ACME now."]
+    wanted = ["call", "0", "of", "*", "now", "ας", "it's", "0-fold", "call", "0", "of", "*", "now"]
+    assert template_of(texts, "acme.example", known) == wanted == template_of(texts, "acme.example", known) == template_of(texts, "acme.example")
+    assert len(known) == 3
+    read = []
+    monkeypatch.setattr(boilerplate, "is_filler", lambda t: bool(read.append(t)))
+    blocks = boilerplate.plain_blocks("We restore harbour cranes " * 40 + "\nCranes for Bremen")
+    assert boilerplate.judged(blocks, [True, True])[0] == "content"
+    assert read == ["Cranes for Bremen"]  # long texts are not read where a short one decides
+
+
+def test_plain_tokens_are_the_same():
+    for t in ("It's 12% off_a - co-op, A1b2 x--y 'q' #z_9", "naïve l’été 5€", "_", ""):
+        assert boilerplate.tokens_of(t) == boilerplate._TOKEN.findall(boilerplate._DIGITS.sub("0", t.lower()))
