@@ -419,10 +419,10 @@ def companies(df: DataFrame, name: str = "company_name") -> DataFrame:
     full = rooted.where("first <> ''").groupBy(F.col("first").alias("word"), F.expr("substring(core, length(first) + 1, 1)").alias("initial")).agg(F.max(F.struct("n", "root")).alias("top"))
     full = full.select("word", "initial", "top.n", "top.root", F.explode(deletions(F.col("word"))).alias("key"))
     asked = short.select("first", "initial").distinct().select("first", "initial", F.explode(deletions(F.col("first"))).alias("key"))
-    fits = asked.join(full, ["key", "initial"]).where("levenshtein(first, word) <= 2")
+    fits = asked.hint("merge").join(full, ["key", "initial"]).where("levenshtein(first, word) <= 2")
     held = fits.groupBy("first", "initial").agg(F.max_by("root", F.struct(F.log("n") - F.lit(channel.mean_cost) * F.levenshtein("first", "word"), "root")).alias("root"))
     abbreviated = parts.where("initial <> ''").join(held, ["first", "initial"], "left").select("name", "n", "business", F.coalesce("root", F.concat("first", F.lit(" "), "initial")).alias("root"))
-    placed = whole.join(rooted.select("core", "root"), "core").select("name", "n", "business", "root").unionByName(abbreviated)
+    placed = checkpointed(whole.join(rooted.select("core", "root"), "core").select("name", "n", "business", "root").unionByName(abbreviated))
     # Lines of business divide a root; a name that leaves it open goes to the most frequent one it may mean.
     stated = placed.where("size(business) = 1").groupBy("root", F.col("business")[0].alias("b")).agg(F.sum("n").alias("bn"))
     options = stated.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("bn", "b")), asc=False).alias("options"))  # at most len(BUSINESS) for each root
