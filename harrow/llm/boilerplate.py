@@ -29,6 +29,9 @@ _DIGITS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\d+|[^\w\s]")
 #: The same for lower case ASCII, for which sets of letters are faster than classes.
 _PLAIN_TOKEN = re.compile(r"[a-z]+(?:['-][a-z]+)*|[0-9]+|[^\w\s]")
+#: The same once more as bytes: lower case with 0 for digits and a gap for _, and what is no sign.
+_LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789_", b"abcdefghijklmnopqrstuvwxyz000000000 ")
+_NO_SIGNS = bytes(c for c in range(128) if chr(c).isalnum() or chr(c).isspace() or chr(c) in "_-'")
 
 
 def _size(n: int) -> int:
@@ -41,10 +44,45 @@ def _end(text: str) -> str:
     return text[-1] if not text[-1].isalnum() else "0" if text[-1].isdigit() else "a"
 
 
+def joins(sign: str, low: str) -> bool:
+    """Whether each ``sign`` in a text stands between two letters or digits."""
+    last = len(low) - 1
+    at = low.find(sign)
+    while at >= 0:
+        if not (0 < at < last and low[at - 1].isalnum() and low[at + 1].isalnum()):
+            return False
+        at = low.find(sign, at + 1)
+    return True
+
+
+def _alone(low: str) -> bool:
+    """Whether no 0 in a text stands beside a letter, or a sign that may join words."""
+    at = low.find("0")
+    while at >= 0:
+        before, after = low[at - 1 : at], low[at + 1 : at + 2]
+        if before.isalpha() or after.isalpha() or before in ("-", "'") or after in ("-", "'"):
+            return False
+        at = low.find("0", at + 1)
+    return True
+
+
 def tokens_of(text: str) -> list[str]:
     """The words, numbers (as 0) and signs of a text, lower case."""
-    low = _DIGITS.sub("0", text.lower())
-    return (_PLAIN_TOKEN if low.isascii() else _TOKEN).findall(low)
+    if not text.isascii():
+        low = _DIGITS.sub("0", text.lower())
+        return (_PLAIN_TOKEN if low.isascii() else _TOKEN).findall(low)
+    raw = text.encode()
+    low = raw.translate(_LOW).decode()
+    if "0" in low:
+        while "00" in low:
+            low = low.replace("00", "0")
+        if not _alone(low):
+            return _PLAIN_TOKEN.findall(low)
+    if not joins("-", low) or not joins("'", low):
+        return _PLAIN_TOKEN.findall(low)
+    for sign in set(raw.translate(None, _NO_SIGNS).decode()):
+        low = low.replace(sign, f" {sign} ")
+    return low.split()
 
 
 def _menu_feature(menu: int, words: int) -> str:
@@ -91,6 +129,8 @@ class ChainField:
         self.worded: dict[str, tuple[float, int, str]] = {}
         self.placed: dict[tuple, float] = {}
         self.sized: dict[tuple[int, str], float] = {}
+        #: Classes of containers with 0 for numbers, as their features have them.
+        self.classes: dict[str, str] = {}
         #: The weights of words, without their feature's prefix.
         self.words = {f[2:]: v for f, v in weights.items() if f.startswith("w=")}
 
@@ -133,7 +173,12 @@ class ChainField:
                 if len(b.text) < 200:
                     self.worded[b.text] = worded
             left = n - 1 - i
-            key = (b.tag, b.linked, b.path, b.classes, worded[1], worded[2], i if i < 4 else 4, left if left < 5 else 5)
+            classes = self.classes.get(b.classes)
+            if classes is None:
+                if len(self.classes) > 50_000:
+                    self.classes.clear()
+                classes = self.classes[b.classes] = _DIGITS.sub("0", b.classes)
+            key = (b.tag, b.linked, b.path, classes, worded[1], worded[2], i if i < 4 else 4, left if left < 5 else 5)
             placed = self.placed.get(key)
             if placed is None:
                 if len(self.placed) > 200_000:

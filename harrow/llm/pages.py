@@ -20,6 +20,8 @@ _VOID = frozenset(("meta", "br", "img", "hr", "input", "link", "base", "wbr", "s
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>|<!--.*?-->|<![^>]*>")
 _LEAF = re.compile(r"<(p|span|div|li|h[1-6])(?: class=\"([^\"<>]*)\")?>(?:<a [^<>]*>([^<]*)</a>|([^<]*))</\1>\s*$")
+#: A line that is one tag of a container.
+_ALONE = re.compile(r"<(/?)(" + "|".join(sorted(CONTAINERS - {"td"})) + r")(?: class=\"([^\"'<>]*)\")?>\s*$")
 _CLASS = re.compile(r"\bclass\s*=\s*[\"']?([^\"'>]*)")
 _LEFTOVER = re.compile(r"<[/!]?[a-zA-Z][^<>]*$")
 
@@ -75,11 +77,26 @@ def html_blocks(body: str) -> list[Block]:
             leaf = ""
             name, kind, link, text = simple.groups()
             text = link if text is None else text
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            text = _visible(text)
             if text:
                 out.append(Block(n, text, name + ("." if kind is not None and name == "div" else ""), link is not None, inner, kind_here, depth, fresh, path))
                 fresh = False
             continue
+        alone = _ALONE.match(raw) if not hidden else None
+        if alone is not None:  # nothing to see, only the surroundings change
+            ends, name, kind = alone.groups()
+            if not ends:
+                within.append((name, kind.strip() if kind else ""))
+            elif name == leaf:
+                leaf = ""
+                continue
+            else:
+                i = next((i for i in reversed(range(len(within))) if within[i][0] == name), None)
+                if i is not None:
+                    del within[i:]
+            inner, kind_here, depth, path = _surroundings(within)
+            fresh = True
+            continue
         parts: list[str] = []
         at = 0
         first = ""
@@ -144,7 +161,8 @@ def html_blocks(body: str) -> list[Block]:
                     first = first or name
                     leaf = name
             if not hidden:
-                parts.append(_LEFTOVER.sub("", raw[at:]))
+                rest = raw[at:]
+                parts.append(_LEFTOVER.sub("", rest) if "<" in rest else rest)
         elif not hidden:
             parts.append(raw)
         if not parts:
@@ -160,8 +178,16 @@ def html_blocks(body: str) -> list[Block]:
 
 def _joined(parts: list[str]) -> str:
     """Pieces of visible text as one, entities decoded and white space collapsed."""
-    text = parts[0] if len(parts) == 1 else " ".join(parts)
-    return " ".join((html.unescape(text) if "&" in text else text).split())
+    return _visible(parts[0] if len(parts) == 1 else " ".join(parts))
+
+
+def _visible(text: str) -> str:
+    """A text with entities decoded and white space collapsed."""
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isprintable() and "  " not in text and text[:1] != " " != text[-1:]:  # the only white space that is printable is the blank
+        return text
+    return " ".join(text.split())
 
 
 def _surroundings(within: list[tuple[str, str]]) -> tuple[str, str, int, str]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.barrier import settled
 from ..operators.skew import attach_counted
 from ..session import checkpointed
-from .boilerplate import field_here, judged
+from .boilerplate import field_here, joins, judged
 from .pages import Block, blocks_of
 
 #: A variable's name: of any length, five words at most (more are prose), in which brackets of one kind hold letters only.
@@ -59,6 +59,11 @@ _WEAK = frozenset(
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _NUMBER = re.compile(r"\d+")
+#: For ASCII: lower case with 0 for digits and gaps for signs, without those - and ' that join no words.
+_LOW = bytes(ord(c.lower()) if c.isalpha() else ord("0") if c.isdigit() else ord(c) if c in "-'" else ord(" ") for c in map(chr, range(128))) + bytes(128)
+_LOOSE = re.compile(r"(?<![a-z0])[-']|[-'](?![a-z0])")
+#: Addresses whose host is written plainly.
+_PLAIN_HOST = re.compile(r"https?://([a-z0-9.-]+)(?:[/?#]|$)")
 
 
 #: _WORDS and the sign of a field, for Java.
@@ -81,7 +86,25 @@ def _quick(t: str) -> bool:
     if _signed(t) or " ," in t or " !" in t or " ?" in t or "TODO" in t or "FIXME" in t or "TBD" in t:
         return True
     low = t.casefold()
-    return "here" in low or "xxx" in low or "(add" in low or "(insert" in low or "(enter" in low
+    if "here" in low and ("your" in low or "nsert" in low or "enter" in low or "add" in low or "type" in low):
+        return True
+    return "xxx" in low or "(add" in low or "(insert" in low or "(enter" in low
+
+
+def sentences_of(text: str) -> list[str]:
+    """The sentences of texts of blocks, in which single blanks part words; a line break parts the texts."""
+    return text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, with 0 for numbers."""
+    if not text.isascii():
+        return _WORDS.findall(_NUMBER.sub("0", text.lower()))
+    low = text.encode().translate(_LOW).decode()
+    if "0" in low:
+        while "00" in low:
+            low = low.replace("00", "0")
+    return (low if joins("-", low) and joins("'", low) else _LOOSE.sub(" ", low)).split()
 
 
 def slots_of(texts: list[str]) -> tuple[bool, list[tuple[str, str, str]]]:
@@ -149,6 +172,8 @@ def unfilled_error(text: str | None) -> bool:
 
 
 def host_of(url: str | None) -> str:
+    if url and (plain := _PLAIN_HOST.match(url)):
+        return plain[1].removeprefix("www.")
     try:
         return (urlsplit(url or "").hostname or "").removeprefix("www.")
     except ValueError:
@@ -156,15 +181,19 @@ def host_of(url: str | None) -> str:
 
 
 def template_of(texts: list[str], host: str, known: dict[str, list[str]] | None = None) -> list[str]:
-    """The words of a page with numbers and the names of its host masked; ``known`` keeps the words of sentences that come again."""
+    """The words of a page with numbers and the names of its host masked; ``known`` keeps the words of sentences that come again in texts with other letters than ASCII."""
     known = {} if known is None else known
-    words: list[str] = []
-    for t in texts:
-        for s in _SENTENCE.split(t):
+    text = "\n".join(texts)
+    words: list[str] = words_of(text) if text.isascii() else []
+    for t in () if text.isascii() else texts:
+        if t.isascii():
+            words += words_of(t)
+            continue
+        for s in sentences_of(t):
             if (found := known.get(s)) is None:
                 if len(known) > KEPT_SENTENCES:
                     known.clear()
-                found = _WORDS.findall(_NUMBER.sub("0", s.lower()))
+                found = words_of(s)
                 if len(s) < 500:
                     known[s] = found
             words += found
@@ -194,8 +223,9 @@ def signs(df: DataFrame) -> DataFrame:
             """Whether a page is residue for certain, its possible fields, its template's hash, and whether it holds a cue."""
             blocks = blocks_of(body)
             kind, main = judged(blocks, field.decode(blocks))
-            cut = [s for t in paragraphs(blocks) for s in _SENTENCE.split(t)]
-            sure, slots = fields_in(cut) if _quick("\n".join(cut)) else (False, [])
+            text = "\n".join(paragraphs(blocks))
+            cut = sentences_of(text) if text else []
+            sure, slots = fields_in(cut) if _quick(text) else (False, [])
             sentences.update(cut)
             sure = sure or kind in ("notice", "filler")
             template, cue = None, False

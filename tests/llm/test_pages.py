@@ -5,7 +5,7 @@ import json
 from harrow.llm import boilerplate
 from harrow.llm.boilerplate import MODEL_FILE, ChainField, judged, main_lines
 from harrow.llm.pages import blocks_of
-from harrow.llm.residue import found_residue, slots_of, template_of, unfilled_error
+from harrow.llm.residue import _NUMBER, _SENTENCE, _WORDS, found_residue, host_of, sentences_of, slots_of, template_of, unfilled_error, words_of
 from harrow.llm.train_boilerplate import examples, label, train
 
 PAGE = """<!doctype html>
@@ -129,3 +129,34 @@ def test_read_once(monkeypatch):
 def test_plain_tokens_are_the_same():
     for t in ("It's 12% off_a - co-op, A1b2 x--y 'q' #z_9", "naïve l’été 5€", "_", ""):
         assert boilerplate.tokens_of(t) == boilerplate._TOKEN.findall(boilerplate._DIGITS.sub("0", t.lower()))
+
+
+def test_ordinary_texts_need_no_pattern(monkeypatch):
+    monkeypatch.setattr(boilerplate, "_PLAIN_TOKEN", None)
+    monkeypatch.setattr(boilerplate, "_DIGITS", None)
+    wanted = ["outside", "it", ",", "we", "bring", "heat-pump", "surveys", "to", "0", "farms", ".", "it's", "0", "!"]
+    assert boilerplate.tokens_of("Outside it, we bring heat-pump surveys to 15 farms. It's 5!") == wanted
+
+
+def test_numbered_classes_are_weighed_once(monkeypatch):
+    model, weighed, real = field(), [], boilerplate.place_features
+    monkeypatch.setattr(boilerplate, "place_features", lambda *a: weighed.append(a[0].classes) or real(*a))
+    pages = [blocks_of(f'<div class="c{n} box-{n}">\n<p>Cranes for Bremen</p>\n</div>') for n in (7, 12, 984)]
+    assert [b.classes for p in pages for b in p] == ["c7 box-7", "c12 box-12", "c984 box-984"]
+    assert len({tuple(model.scores(p)) for p in pages}) == 1 and weighed == ["c7 box-7"]
+
+
+def test_words_and_sentences_are_the_same():
+    texts = ["It's 12% off_a - co-op, A1b2 x--y 'q' #z_9", "12-15 -a- b'' 1,000.50", "naïve l’été 5€ ٣", "_", "", "ΑΣ. ΑΣ", "a\tb\x1cc\x00d", "x'-y -", "-", "'"]
+    for t in texts:
+        assert words_of(t) == _WORDS.findall(_NUMBER.sub("0", t.lower()))
+        assert boilerplate.tokens_of(t) == boilerplate._TOKEN.findall(boilerplate._DIGITS.sub("0", t.lower()))
+    for t in ("One. Two! Three? Four", "a. . b", "Dr.No .x", "?! ok", ".", "End."):
+        assert sentences_of(t) == _SENTENCE.split(t)
+    assert [host_of(u) for u in ("https://www.a-b.example/x[", "http://A.example", "https://u@b.example:80", "https://c.example?q", "x", "https://[", None)] == ["a-b.example", "a.example", "b.example", "c.example", "", "", ""]
+
+
+def test_lines_with_one_tag():
+    body = '<div class=" a1 ">\n<div>\n<p>x</p>\n</div> \n</section>\n<p>y</p>\n</div>\n<td>z</td>\n<nav class="q" id="n">\nw'
+    assert [(b.text, b.container, b.classes, b.depth, b.fresh) for b in blocks_of(body)] == [("x", "div", "", 2, True), ("y", "div", "a1", 1, True), ("z", "", "", 0, True), ("w", "nav", "q", 1, True)]
+    assert [b.text for b in blocks_of("<p> a  b&nbsp;c\x1cd </p>\n<p>e&amp;f</p>")] == ["a b c d", "e&f"]
