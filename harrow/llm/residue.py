@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
+from operator import or_
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -74,6 +76,8 @@ KEPT_PAGES, KEPT_LENGTH = 5_000, 20_000
 KEPT_SENTENCES = 50_000
 #: Most fields that are broadcast to the sentences.
 SOME_FIELDS = 10_000
+#: Most words that are looked for in a sentence before it is taken apart; more are found after it, with the same result.
+SOME_WORDS = 50
 
 
 def _signed(t: str) -> bool:
@@ -274,11 +278,14 @@ def filled(lines: DataFrame, fields: DataFrame) -> DataFrame:
     few = [r.key for r in asked.select("key").distinct().limit(SOME_FIELDS + 1).collect()]
     if not few:
         return fields.select("pre", "post").limit(0)
-    words = F.concat(F.array(F.lit("^")), F.regexp_extract_all(F.lower("line"), F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$")))
+    words = F.concat(F.array(F.lit("^")), F.regexp_extract_all("line", F.lit(_LINE_WORDS), F.lit(0)), F.array(F.lit("$")))
+    lines = lines.select(settled(F.lower("line")).alias("line"))
+    telling = sorted({max(k.split(" "), key=len) for k in few})
+    if len(telling) <= SOME_WORDS and not {"^", "$"} & set(telling):
+        lines = lines.where(reduce(or_, [F.contains("line", F.lit(w)) for w in telling]))
     lines = lines.select(settled(words).alias("words"))
     if len(few) <= SOME_FIELDS:
         asked = F.broadcast(asked)
-        telling = sorted({max(k.split(" "), key=len) for k in few})
         lines = lines.where(F.exists("words", lambda w: w.isin(telling)))
     pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
     met = lines.select(F.array_join("words", " ").alias("line"), F.explode(pairs).alias("key")).join(asked, "key")

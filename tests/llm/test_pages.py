@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import json
 
-from harrow.llm import boilerplate
+from harrow.llm import boilerplate, residue
 from harrow.llm.boilerplate import MODEL_FILE, ChainField, judged, main_lines
 from harrow.llm.pages import blocks_of
 from harrow.llm.residue import _NUMBER, _SENTENCE, _WORDS, found_residue, host_of, sentences_of, slots_of, template_of, unfilled_error, words_of
@@ -160,3 +160,16 @@ def test_lines_with_one_tag():
     body = '<div class=" a1 ">\n<div>\n<p>x</p>\n</div> \n</section>\n<p>y</p>\n</div>\n<td>z</td>\n<nav class="q" id="n">\nw'
     assert [(b.text, b.container, b.classes, b.depth, b.fresh) for b in blocks_of(body)] == [("x", "div", "", 2, True), ("y", "div", "a1", 1, True), ("z", "", "", 0, True), ("w", "nav", "q", 1, True)]
     assert [b.text for b in blocks_of("<p> a  b&nbsp;c\x1cd </p>\n<p>e&amp;f</p>")] == ["a b c d", "e&f"]
+
+
+def test_lines_are_passed_over_before_they_are_taken_apart(spark, monkeypatch):
+    lines = spark.createDataFrame([("Welcome to Rapholm, your partner.",), ("WELCOME to  {} , your partner",), ("Unwelcome to X your Partnership",), ("A is b.",), ("We go",), (None,)], "line string")
+    fields = spark.createDataFrame([("welcome to", "your partner"), ("^ a", "b $"), ("unseen words", "")], "pre string, post string")
+    wanted = [("^ a", "b $"), ("welcome to", "your partner")]
+    found = residue.filled(lines, fields)
+    assert sorted(map(tuple, found.collect())) == wanted
+    without = fields.where("pre <> '^ a'")
+    assert [tuple(r) for r in residue.filled(lines, without).collect()] == wanted[1:]
+    assert "contains(line" in residue.filled(lines, without)._jdf.queryExecution().optimizedPlan().toString().lower()
+    monkeypatch.setattr(residue, "SOME_WORDS", 0)
+    assert [tuple(r) for r in residue.filled(lines, without).collect()] == wanted[1:]
